@@ -30,7 +30,7 @@ SLOTS_PER_CHUNK = 16
 
 @dataclass(frozen=True)
 class Cuts:
-    """Where heavy keys are cut: their slot counts, and the chunk of every slot in use."""
+    """Where heavy keys are cut: their slot counts, and the chunk of every slot."""
 
     low: dt.datetime
     high: dt.datetime
@@ -43,7 +43,10 @@ def _key_hash(keys: Sequence[str]) -> Column:
 
 
 def _slot(df: DataFrame, ts: str, low: dt.datetime, high: dt.datetime, slots: Column) -> Column:
-    """Equal-width slot of `ts` within [low, high]; rows without a time sort first, so slot 0."""
+    """Equal-width slot of `ts`: 1 to `slots` within [low, high], the outer ones also beyond it.
+
+    Rows without a time sort first, so they are in slot 0.
+    """
     span = high - low + dt.timedelta(microseconds=1)
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
         slot = F.width_bucket(
@@ -54,7 +57,7 @@ def _slot(df: DataFrame, ts: str, low: dt.datetime, high: dt.datetime, slots: Co
         slot = F.width_bucket(
             micros.cast("double"), F.lit(0.0), F.lit(float(span / dt.timedelta(microseconds=1))), slots
         )
-    return F.coalesce(slot, F.lit(0))
+    return F.coalesce(F.least(slot, slots), F.lit(0))
 
 
 def find_cuts(
@@ -81,24 +84,25 @@ def find_cuts(
     slot_counts = spark.createDataFrame(
         [(h, SLOTS_PER_CHUNK * math.ceil(n / chunk_rows)) for h, n in heavy], "_h bigint, _slots bigint"
     )
-    by_time = Window.partitionBy("_h").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slot_chunks = (
+    counted = (
         df.select(_key_hash(keys).alias("_h"), ts)
         .join(F.broadcast(slot_counts), "_h")
         .groupBy("_h", _slot(df, ts, stats.low, stats.high, F.col("_slots")).alias("_slot"))
-        .agg(F.count("*").alias("n"))
-        .select(
-            "_h",
-            "_slot",
-            F.floor(F.coalesce(F.sum("n").over(by_time), F.lit(0)) / chunk_rows).alias(CHUNK),
-        )
+        .count()
+        .collect()  # at most SLOTS_PER_CHUNK rows per chunk, and about 8 * tasks chunks
     )
-    rows = slot_chunks.collect()  # at most SLOTS_PER_CHUNK rows per chunk, and 8 * tasks chunks
+    sizes = {(r["_h"], r["_slot"]): r["count"] for r in counted}
+    slot_chunks = []
+    for h, slots in ((r["_h"], r["_slots"]) for r in slot_counts.collect()):
+        seen = 0
+        for slot in range(slots + 1):
+            slot_chunks.append((h, slot, seen // chunk_rows))
+            seen += sizes.get((h, slot), 0)
     return Cuts(
         stats.low,
         stats.high,
         slot_counts,
-        spark.createDataFrame(rows, f"_h bigint, _slot bigint, {CHUNK} bigint"),
+        spark.createDataFrame(slot_chunks, f"_h bigint, _slot bigint, {CHUNK} bigint"),
     )
 
 
@@ -159,13 +163,15 @@ class Timeline:
     def add(
         self,
         last: dict[str, Column] | None = None,
+        coming: dict[str, Column] | None = None,
         previous: dict[str, Column] | None = None,
         following: dict[str, Column] | None = None,
         total: dict[str, Column] | None = None,
     ) -> Timeline:
         """Adds running columns; all that are named in one call share one chunk summary.
 
-        last: last non-null value at or before the row. total: sum at or before the row.
+        last: last non-null value at or before the row. coming: first non-null value after it.
+        total: sum at or before the row.
         previous, following: value of the neighbouring row as a struct with field `v`, null where
         the key has no such row.
         """
@@ -183,6 +189,18 @@ class Timeline:
                 F.max_by(v, F.when(v.isNotNull(), place)),
                 F.last(f"_s_{n}", ignorenulls=True).over(before),
             ))
+        backwards = Window.partitionBy(*self.parts).orderBy(*[F.col(c).desc() for c in self.order])
+        after = backwards.rowsBetween(Window.unboundedPreceding, -1)
+        later_chunks = Window.partitionBy(*self.keys).orderBy(F.col(CHUNK).desc())
+        for n, v in (coming or {}).items():
+            rules.append((
+                n,
+                F.last(v, ignorenulls=True).over(after),
+                F.min_by(v, F.when(v.isNotNull(), place)),
+                F.last(f"_s_{n}", ignorenulls=True).over(
+                    later_chunks.rowsBetween(Window.unboundedPreceding, -1)
+                ),
+            ))
         for n, v in (previous or {}).items():
             rules.append((
                 n,
