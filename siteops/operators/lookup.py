@@ -188,7 +188,7 @@ def chart_styles(config: DataFrame, chart: str, themes: Mapping[str, str] = THEM
     lines = expand(config, tuple(themes), keep_empty=True).withColumn(
         "line", style_line(F.col("series"), F.col("colour"))
     )
-    blocks = rollup_text(lines, [chart, "variant_pos", "variant"], ["pos"], "line")
+    blocks = rollup_text(lines, [chart, "variant_pos", "variant"], ["pos", "series"], "line")
     prefix = F.create_map(*[F.lit(x) for pair in themes.items() for x in pair])[F.col("variant")]
     opening = F.concat(F.lit("\n"), prefix, F.lit(" [data-chart="), F.col(chart), F.lit("] {\n"))
     blocks = blocks.withColumn("text", F.concat(opening, F.col("text"), F.lit("\n}\n")))
