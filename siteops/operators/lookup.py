@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteops.functions import first_truthy, format_value, has_colour, strip_colons, style_line, truthy
-from siteops.operators.joins import MAX_ROWS, small_side
+from siteops.operators.joins import MAX_ROWS, is_small, small_side
 
 # Fixed values of the observed behaviour: theme name and the selector that precedes its block.
 THEMES = {"light": "", "dark": ".dark"}
@@ -28,7 +28,9 @@ def lookup(
     """
     if gate is not None:
         df = df.filter(F.coalesce(gate, F.lit(False)))
-    return df.join(small_side(dim, max_rows), key, "left_semi" if gate_only else "inner")
+    if gate_only:
+        return df.join(small_side(dim.select(key).distinct(), max_rows), key, "left_semi")
+    return df.join(small_side(dim, max_rows), key)
 
 
 def lookup_default(
@@ -43,13 +45,15 @@ def lookup_default(
     `dictionary` has axis, value, text and is_default; `choices` maps an axis to the column that
     holds the choice. A choice that the dictionary does not know gives null.
     """
+    small = is_small(dictionary, max_rows)
     for axis, column in choices.items():
         entries = dictionary.filter(F.col("axis") == axis)
         named = entries.select(F.col("value").alias("_value"), F.col("text").alias(axis + suffix))
         missing = entries.filter("is_default").select(
             F.lit(None).cast("string").alias("_value"), F.col("text").alias(axis + suffix)
         )
-        side = small_side(named.unionByName(missing), max_rows)
+        side = named.unionByName(missing)
+        side = F.broadcast(side) if small else side
         df = df.join(side, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
     return df
 
@@ -185,7 +189,8 @@ def chart_styles(config: DataFrame, chart: str, themes: Mapping[str, str] = THEM
 
     `config` has the chart id, pos, series, color and theme. Charts without any colour get no row.
     """
-    lines = expand(config, tuple(themes), keep_empty=True).withColumn(
+    # One shuffle by chart, before rows are multiplied, serves both rollups.
+    lines = expand(config.repartition(chart), tuple(themes), keep_empty=True).withColumn(
         "line", style_line(F.col("series"), F.col("colour"))
     )
     blocks = rollup_text(lines, [chart, "variant_pos", "variant"], ["pos", "series"], "line")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from siteops.functions import truthy
+from siteops.operators.joins import join_same
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
 from siteops.operators.timeline import CHUNK, Timeline
 
@@ -138,16 +139,11 @@ def _carry_segments(
         .agg(F.min(dismissed).alias("_d"), F.min(cleared).alias("_c"))
         .withColumn("_edge", edge)
         .filter("_edge")
-        .select(
-            *[F.col(c).alias(f"_m_{c}") for c in match],
-            F.min("_d").over(earlier).alias("_d"),
-            F.min("_c").over(earlier).alias("_c"),
-        )
+        .select(*match, F.min("_d").over(earlier).alias("_d"), F.min("_c").over(earlier).alias("_c"))
         .filter("_d IS NOT NULL OR _c IS NOT NULL")
     )
-    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in match]
     return (
-        rows.join(F.broadcast(pieces), same, "left")
+        join_same(rows, F.broadcast(pieces), match)
         .withColumns(
             {
                 "dismissed_before": F.least("dismissed_before", "_d"),
@@ -182,9 +178,9 @@ def _replay_many(line: Timeline, k: int, delay: dt.timedelta, fields: Sequence[s
         .withColumns({f: F.col("patch")[f] for f in fields})
         .select(*keys, "id", *order, *fields, "dismiss_all", "clear_all")
     )
+    one = [*keys, "id"]
     named = (
-        log.filter(~to_all & ~_is("ADD"))
-        .join(adds.select(*keys, "id", place.alias("added")), [*keys, "id"])
+        join_same(log.filter(~to_all & ~_is("ADD")), adds.select(*one, place.alias("added")), one, "inner")
         .filter(place > F.col("added"))
         .groupBy(*keys, "id")
         .agg(
@@ -192,7 +188,7 @@ def _replay_many(line: Timeline, k: int, delay: dt.timedelta, fields: Sequence[s
             F.min(F.when(_is("REMOVE"), place)).alias("clear_id"),
         )
     )
-    adds = adds.join(named, [*keys, "id"], "left").withColumns(
+    adds = join_same(adds, named, one).withColumns(
         {
             "dismissed_at": F.least("dismiss_all", "dismiss_id"),
             "cleared": F.least("clear_all", "clear_id"),
@@ -234,10 +230,10 @@ def _final_fields(
         .filter("probe")
         .drop("probe", *line.order)
     )
-    live = (
-        log.filter(F.col("id").isNotNull() & F.col("kind").isin("DISMISS", "UPDATE"))
-        .join(fates.select(*keys, "id", "added", "gone"), [*keys, "id"])
-        .filter((place > F.col("added")) & (place < F.col("gone")))
+    one = [*keys, "id"]
+    changes = log.filter(F.col("id").isNotNull() & F.col("kind").isin("DISMISS", "UPDATE"))
+    live = join_same(changes, fates.select(*one, "added", "gone"), one, "inner").filter(
+        (place > F.col("added")) & (place < F.col("gone"))
     )
     carries = {f: _is("UPDATE") & F.map_contains_key("patch", f) for f in fields}
     named = live.groupBy(*keys, "id").agg(
@@ -258,7 +254,7 @@ def _final_fields(
         F.when(F.col(f"_p_{f}").isNotNull(), F.col(f"_p_{f}.v")).otherwise(F.col(f)).alias(f)
         for f in fields
     ]
-    return probes.join(named, [*keys, "id"], "left").select(
+    return join_same(probes, named, one).select(
         *keys, "id", F.col("added.ts").alias("added_at"), "removed_at", "cause",
         is_open.alias("open"), *merged,
     )
@@ -309,9 +305,8 @@ def _evictions(line: Timeline, k: int) -> DataFrame:
     if line.cuts is None:
         return out
     late = _late_evictions(line, k)
-    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*line.keys, "id"]]
     return (
-        out.join(F.broadcast(late), same, "left")  # at most k rows per chunk
+        join_same(out, F.broadcast(late), [*line.keys, "id"])  # at most k rows per chunk
         .withColumns(
             {
                 "evict_ts": F.coalesce("evict_ts", "late_ts"),
@@ -387,16 +382,17 @@ def _late_evictions(line: Timeline, k: int) -> DataFrame:
         late["late_seq"] = rows.loc[by, "seq"].to_numpy()
         return late
 
-    heavy = line.df.filter(F.col(CHUNK) >= 0).select(*columns)
+    # Whole numbers with nulls would reach pandas as floats; the time alone says if a row goes.
+    goes_seq = F.coalesce("goes_seq", F.lit(0))
+    heavy = line.df.filter(F.col(CHUNK) >= 0).withColumn("goes_seq", goes_seq).select(*columns)
     few = heavy.groupBy(*parts).applyInPandas(
         summarise,
         f"{key_schema}, {CHUNK} bigint, id string, ts {ts_type}, seq bigint, goes_ts {ts_type}, "
         "goes_seq bigint, level int",
     )
-    late = few.groupBy(*keys).applyInPandas(
+    return few.groupBy(*keys).applyInPandas(
         settle, f"{key_schema}, id string, late_ts {ts_type}, late_seq bigint"
     )
-    return late.withColumnsRenamed({c: f"_m_{c}" for c in [*keys, "id"]})
 
 
 def _pandas_places(rows: pd.DataFrame, ts: str, seq: str) -> list[tuple]:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siteops.functions import next_id, truthy
+from siteops.operators.joins import join_same
 from siteops.operators.storage import shared_folder
 from siteops.operators.timeline import Timeline
 
@@ -84,7 +85,7 @@ def _last_hit(
         .agg(F.max(place).alias("_one"))
     )
     every = hits.filter(F.col(id_col).isNull()).groupBy(*keys).agg(F.max(place).alias("_all"))
-    out = state.join(one, [*keys, id_col], "left").join(every, list(keys), "left")
+    out = join_same(join_same(state, one, [*keys, id_col]), every, keys)
     later = F.greatest("_one", "_all") > place
     return out, F.coalesce(later, F.lit(False))
 

@@ -16,16 +16,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from siteops.operators.joins import join_same
 from siteops.operators.storage import shared_folder
 
 CHUNK = "_chunk"
 UNCUT = -1
 
-# A key is cut when it has more rows than this, and more than a fair share of the rows per task.
+# A chunk has at least this many rows, and at least a quarter of a task's fair share of all rows.
 MIN_CHUNK_ROWS = 2_000_000
-# Time slots counted per chunk. More slots follow bursts better; the slot table stays proportional
-# to the number of shuffle tasks, so it is always small enough to broadcast.
-SLOTS_PER_CHUNK = 16
+# Time slots counted per chunk. More slots follow bursts better; the slot table grows with the number
+# of shuffle tasks, not with the data, so it is always small enough to broadcast.
+SLOTS_PER_CHUNK = 8
+# Heavy keys are sought in this many groups of keys, so that no single task merges all sketches.
+SKETCHES = 32
 
 
 @dataclass(frozen=True)
@@ -61,35 +64,48 @@ def _slot(df: DataFrame, ts: str, low: dt.datetime, high: dt.datetime, slots: Co
 
 
 def find_cuts(
-    df: DataFrame, keys: Sequence[str], ts: str, min_chunk_rows: int = MIN_CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], ts: str, chunk_rows: int | None = None
 ) -> Cuts | None:
     """Finds heavy keys with one sketch pass; returns None when no key needs cutting.
 
-    The pass reads the key and time columns only. It runs when called, so give it a table rather
-    than a long lineage, or reuse its result for every operator over the same rows.
+    A key is heavy when it has more than two tasks' fair share of the rows, or more than `chunk_rows`
+    when that is given. The pass reads the key and time columns only. It runs when called, so give
+    it a table rather than a long lineage, and reuse its result for operators over the same rows. A
+    key that the sketches miss is left whole, which costs balance and nothing else.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    heavy_limit = min(4 * tasks + 1, 50_000)
-    stats = df.select(_key_hash(keys).alias("h"), ts).agg(
-        F.count("*").alias("n"),
-        F.min(ts).alias("low"),
-        F.max(ts).alias("high"),
-        F.expr(f"approx_top_k(h, {heavy_limit}, {max(10_000, 2 * heavy_limit)})").alias("top"),
-    ).first()
-    chunk_rows = max(min_chunk_rows, math.ceil(stats.n / (4 * tasks)))
-    heavy = [(t["item"], t["count"]) for t in stats.top or [] if t["count"] > chunk_rows]
-    if not heavy or stats.low is None:
+    tracked = min(100_000, max(1024, tasks // 4))
+    found = (
+        df.select(_key_hash(keys).alias("h"), ts)
+        .groupBy(F.col("h") % SKETCHES)
+        .agg(
+            F.count("*").alias("n"),
+            F.min(ts).alias("low"),
+            F.max(ts).alias("high"),
+            F.expr(f"approx_top_k(h, {tracked // 2}, {tracked})").alias("top"),
+        )
+        .collect()  # one row per sketch
+    )
+    total = sum(r["n"] for r in found)
+    limit = chunk_rows
+    if chunk_rows is None:
+        chunk_rows = max(MIN_CHUNK_ROWS, math.ceil(total / (4 * tasks)))
+        limit = max(chunk_rows, 2 * total / tasks)
+    heavy = [(t["item"], t["count"]) for r in found for t in r["top"] if t["count"] > limit]
+    times = [r for r in found if r["low"] is not None]
+    if not heavy or not times:
         return None
+    low, high = min(r["low"] for r in times), max(r["high"] for r in times)
     slot_counts = spark.createDataFrame(
         [(h, SLOTS_PER_CHUNK * math.ceil(n / chunk_rows)) for h, n in heavy], "_h bigint, _slots bigint"
     )
     counted = (
         df.select(_key_hash(keys).alias("_h"), ts)
         .join(F.broadcast(slot_counts), "_h")
-        .groupBy("_h", _slot(df, ts, stats.low, stats.high, F.col("_slots")).alias("_slot"))
+        .groupBy("_h", _slot(df, ts, low, high, F.col("_slots")).alias("_slot"))
         .count()
-        .collect()  # at most SLOTS_PER_CHUNK rows per chunk, and about 8 * tasks chunks
+        .collect()  # at most SLOTS_PER_CHUNK rows per chunk, and about 5 * tasks chunks
     )
     sizes = {(r["_h"], r["_slot"]): r["count"] for r in counted}
     slot_chunks = []
@@ -99,8 +115,8 @@ def find_cuts(
             slot_chunks.append((h, slot, seen // chunk_rows))
             seen += sizes.get((h, slot), 0)
     return Cuts(
-        stats.low,
-        stats.high,
+        low,
+        high,
         slot_counts,
         spark.createDataFrame(slot_chunks, f"_h bigint, _slot bigint, {CHUNK} bigint"),
     )
@@ -133,10 +149,10 @@ class Timeline:
         keys: Sequence[str],
         order: Sequence[str],
         cuts: Cuts | None | str = "auto",
-        min_chunk_rows: int = MIN_CHUNK_ROWS,
+        chunk_rows: int | None = None,
     ) -> Timeline:
         if cuts == "auto":
-            cuts = find_cuts(df, keys, order[0], min_chunk_rows)
+            cuts = find_cuts(df, keys, order[0], chunk_rows)
         return cls(df, keys, order, cuts)
 
     @property
@@ -226,13 +242,9 @@ class Timeline:
             self.df.filter(F.col(CHUNK) >= 0)
             .groupBy(*self.parts)
             .agg(*[summary.alias(f"_s_{n}") for n, _, summary, _ in rules])
-            .select(
-                *[F.col(k).alias(f"_k_{k}") for k in self.parts],
-                *[other.alias(f"_c_{n}") for n, _, _, other in rules],
-            )
+            .select(*self.parts, *[other.alias(f"_c_{n}") for n, _, _, other in rules])
         )
-        same_chunk = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.parts]
-        df = df.join(F.broadcast(carried), same_chunk, "left")  # one row per chunk
+        df = join_same(df, F.broadcast(carried), self.parts)  # one row per chunk
         sums = set(total or {})
         merged = {
             n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) if n in sums else F.coalesce(n, f"_c_{n}")

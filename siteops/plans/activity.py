@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siteops import functions as fx
 from siteops.operators import interaction, state
 from siteops.operators.replay import replay
+from siteops.operators.storage import shared_folder
 from siteops.operators.timeline import Timeline, find_cuts
 from siteops.sources import prepare_streams, read_table, stream_table
 from siteops.streaming import (
@@ -19,13 +22,12 @@ from siteops.streaming import (
     sessions_stream,
     ttl_stream,
 )
-from siteops.operators.storage import shared_folder
 
 USER = ["user_id"]
 ORDER = ["ts", "seq"]
 DAY = dt.timedelta(days=1)
 HOUR = dt.timedelta(hours=1)
-# Rows above which the `_cut` jobs cut a user's events, so that the cutting itself is exercised.
+# Rows per chunk in the `_cut` jobs, small enough that the cutting itself is exercised.
 CUT_ROWS = 20
 
 KINDS = {
@@ -77,7 +79,7 @@ def replay_limit_1(spark, folder):
 
 
 def replay_limit_1_cut(spark, folder):
-    return _replay(spark, folder, 1, min_chunk_rows=CUT_ROWS)
+    return _replay(spark, folder, 1, chunk_rows=CUT_ROWS)
 
 
 def replay_limit_3(spark, folder):
@@ -85,7 +87,7 @@ def replay_limit_3(spark, folder):
 
 
 def replay_limit_3_cut(spark, folder):
-    return _replay(spark, folder, 3, min_chunk_rows=CUT_ROWS)
+    return _replay(spark, folder, 3, chunk_rows=CUT_ROWS)
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +118,7 @@ def replay_as_stream(spark, folder):
 
 def fan_out_twice(spark, folder):
     """Two sinks of one stream: every removal once in each, counted by sink and cause."""
-    base = state_folder(spark)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     sinks = FanOut({"first": parquet_sink(f"{base}/first"), "second": parquet_sink(f"{base}/second")})
     stream = _fate_stream(spark, folder)
     fan_out(stream, sinks, f"{base}/state", availableNow=True).awaitTermination()
@@ -128,12 +130,6 @@ def fan_out_twice(spark, folder):
     )
 
 
-def state_folder(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-
-
 def latest_event(spark, folder):
     return state.latest_k(events(spark, folder), USER, ORDER).drop("pos")
 
@@ -198,7 +194,7 @@ def hourly_sessions(spark, folder):
 
 
 def hourly_sessions_cut(spark, folder):
-    return interaction.sessions(events(spark, folder), USER, "ts", HOUR, min_chunk_rows=CUT_ROWS)
+    return interaction.sessions(events(spark, folder), USER, "ts", HOUR, chunk_rows=CUT_ROWS)
 
 
 def sessions_as_stream(spark, folder):
@@ -225,7 +221,7 @@ def menu_intervals(spark, folder):
 
 def menu_intervals_cut(spark, folder):
     hovers = _hovers(events(spark, folder))
-    return interaction.hover_intervals(hovers, USER, ORDER, 6 * HOUR, min_chunk_rows=CUT_ROWS)
+    return interaction.hover_intervals(hovers, USER, ORDER, 6 * HOUR, chunk_rows=CUT_ROWS)
 
 
 def threshold_changes(spark, folder):
@@ -238,7 +234,7 @@ def threshold_changes(spark, folder):
 def threshold_changes_cut(spark, folder):
     out = interaction.changes_only(
         events(spark, folder), USER, ORDER, F.col("value") < 76.8, "is_low",
-        min_chunk_rows=CUT_ROWS,
+        chunk_rows=CUT_ROWS,
     )
     return out.select("user_id", "ts", "seq", "is_low")
 
@@ -264,7 +260,17 @@ def panel_state(spark, folder):
 
 
 def panel_state_cut(spark, folder):
-    return _toggle_state(spark, folder, min_chunk_rows=CUT_ROWS)
+    return _toggle_state(spark, folder, chunk_rows=CUT_ROWS)
+
+
+def panel_cookies(spark, folder):
+    """The stored panel state of each user: desktop writes only, kept for seven days."""
+    panels = _toggle_state(spark, folder).filter(F.col("device") == "desktop")
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    latest = interaction.ttl_latest(panels, USER, ORDER, F.col("is_open"), as_of)
+    return latest.select(
+        "user_id", fx.cookie_text("panel", F.col("value"), 604800).alias("cookie"), "expires_at"
+    )
 
 
 def unexpired_values(spark, folder):

@@ -348,6 +348,13 @@ WHERE session_end + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= {_SEEN}""",
     "threshold_changes_cut": _CHANGES,
     "panel_state": _PANELS,
     "panel_state_cut": _PANELS,
+    "panel_cookies": f"""
+SELECT user_id, 'panel=' || CASE WHEN is_open THEN 'true' ELSE 'false' END
+         || '; path=/; max-age=604800' AS cookie, ts + INTERVAL 7 DAY AS expires_at
+FROM (
+  SELECT * FROM ({_PANELS}) WHERE device = 'desktop' AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1
+) WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00'""",
     "unexpired_values": """
 SELECT user_id, event_type, value, ts AS written_at, ts + INTERVAL 7 DAY AS expires_at FROM (
   SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteops import functions as fx
 from siteops.operators import hierarchy, lookup, routing
+from siteops.operators.joins import small_side
 from siteops.sources import prepare_streams, read_table, stream_table
 from siteops.streaming import not_found_stream, run_to_parquet
 
@@ -46,18 +47,20 @@ def supplier_menus(spark, folder):
     Suppliers are nested in blocks of 64 keys, which bounds the size of every array.
     """
     suppliers = read_table(spark, folder, "supplier")
-    nations = read_table(spark, folder, "nation")
     regions = read_table(spark, folder, "region")
-    block = F.floor(F.col("s_suppkey") / 64)
-    subs = (
-        suppliers.groupBy("s_nationkey", block.alias("block"))
-        .agg(
-            F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("subPages")
-        )
+    nations = (
+        read_table(spark, folder, "nation")
+        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "r_name")
+    )
+    subs = suppliers.groupBy("s_nationkey", F.floor(F.col("s_suppkey") / 64).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("subPages")
     )
+    # Nations without suppliers are added, rather than kept by an outer join on 25 keys.
+    childless = nations.join(suppliers.select("s_nationkey").distinct(), "s_nationkey", "left_anti")
     rows = (
-        nations.join(regions, nations.n_regionkey == regions.r_regionkey)
-        .join(subs, nations.n_nationkey == subs.s_nationkey, "left")
+        subs.join(small_side(nations), "s_nationkey")
+        .unionByName(childless, allowMissingColumns=True)
         .select(
             "block",
             F.create_map(

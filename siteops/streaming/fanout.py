@@ -63,6 +63,8 @@ def run_to_parquet(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     """Runs a stream over the data available now and returns what it wrote, with its batch ids."""
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    # An empty batch, so that there is a result to read when the source has no data.
+    parquet_sink(f"{folder}/out")(spark.createDataFrame([], stream.schema), -1)
     query = fan_out(
         stream, {"out": parquet_sink(f"{folder}/out")}, f"{folder}/state", output_mode, availableNow=True
     )

@@ -18,8 +18,8 @@ from siteops.operators.timeline import find_cuts
 
 T0 = dt.datetime(2024, 1, 1)
 SEC = dt.timedelta(seconds=1)
-# One chunk row: every key with more than a row or so is cut into many chunks.
-MODES = [{"cuts": None}, {"min_chunk_rows": 3}]
+# Left whole, and cut into chunks of about 20 rows.
+MODES = [{"cuts": None}, {"chunk_rows": 20}]
 
 
 def at(seconds):
@@ -156,6 +156,6 @@ def test_cuts_follow_the_heavy_key(spark):
     rows = [(1, at(t)) for t in times(rng, 900)] + [(k, at(k)) for k in range(2, 600)]
     df = spark.createDataFrame(rows, "k bigint, ts timestamp")
     assert find_cuts(df, ["k"], "ts") is None
-    cuts = find_cuts(df, ["k"], "ts", min_chunk_rows=50)
+    cuts = find_cuts(df, ["k"], "ts", chunk_rows=50)
     assert cuts.slot_counts.count() == 1
     assert cuts.slot_chunks.select("_chunk").distinct().count() >= 15

@@ -53,17 +53,17 @@ def expected(rows, k, delay):
     return sorted(out, key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("mode", [{"cuts": None}, {"min_chunk_rows": 3}], ids=["whole", "cut"])
+@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}], ids=["whole", "cut"])
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_random_logs(spark, k, mode):
     for seed, adds in ((1, 0.3), (2, 0.6), (3, 0.1)):
-        rows = random_log(seed * 10 + k, {1: 600, 2: 80, 3: 7, 4: 1}, adds)
+        rows = random_log(seed * 10 + k, {1: 600, 2: 80, 3: 7, 4: 1, None: 60}, adds)
         df = spark.createDataFrame(rows, SCHEMA)
         got = replay(df, k=k, delay=DELAY, fields=FIELDS, **mode).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows, k, DELAY)
 
 
-@pytest.mark.parametrize("mode", [{"cuts": None}, {"min_chunk_rows": 3}], ids=["whole", "cut"])
+@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}], ids=["whole", "cut"])
 def test_one_row_updated_throughout(spark, mode):
     """One row of one store gets nearly all actions, so its segment spans many chunks."""
     rng = random.Random(9)

@@ -64,6 +64,25 @@ def test_replay_stream_equals_batch(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_replay_stream_survives_a_restart(spark, tmp_path):
+    rows = sorted(random_log(22, {1: 120, 2: 40}), key=lambda r: r[1])
+    half, out = len(rows) // 2, f"{tmp_path}/out"
+    for n, part in enumerate((rows[:half], rows[half:])):
+        spark.createDataFrame(part, STREAM_SCHEMA).coalesce(1).write.mode("append").parquet(
+            f"{tmp_path}/in"
+        )
+        stream = replay_stream(
+            read_stream(spark, f"{tmp_path}/in", STREAM_SCHEMA), delay=DELAY, fields=FIELDS
+        )
+        fan_out(
+            stream, {"out": parquet_sink(out)}, f"{tmp_path}/state", availableNow=True
+        ).awaitTermination()
+    got = spark.read.parquet(out).drop("batch_id").collect()
+    batch = replay(spark.createDataFrame(rows, STREAM_SCHEMA), delay=DELAY, fields=FIELDS, cuts=None)
+    want = batch.filter(F.col("removed_at") <= F.lit(rows[-1][1])).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_sessions_stream_equals_batch(spark, tmp_path):
     rng = random.Random(12)
     t0 = dt.datetime(2024, 1, 1)
