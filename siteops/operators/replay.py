@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from siteops.functions import truthy
 from siteops.operators.joins import join_same
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
-from siteops.operators.timeline import CHUNK, Timeline
+from siteops.operators.timeline import CHUNK, Timeline, settle
 
 TIMER_SEQ = -(1 << 63)  # a timer due at the time of an action fires before it
 END_OF_TIME = "9999-12-31 00:00:00"
@@ -41,6 +41,20 @@ def replay(
     **options,
 ) -> DataFrame:
     """Fate of every added row. With k = 1 this is windows only; see `_replay_many` for larger k."""
+    fates = replay_with_timers(actions, keys, k, delay, fields, cuts, **options)
+    return fates.drop("added_seq", "dismissed_at")
+
+
+def replay_with_timers(
+    actions: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    delay: dt.timedelta,
+    fields: Sequence[str],
+    cuts="auto",
+    **options,
+) -> DataFrame:
+    """The same with `added_seq` and `dismissed_at`, the first dismissal of rows still stored."""
     keys = list(keys)
     named = truthy(F.col("id")).isNotNull()
     to_all = F.col("id").isNull() & F.col("kind").isin("DISMISS", "REMOVE")
@@ -113,10 +127,11 @@ def _replay_one(line: Timeline, delay: dt.timedelta, fields: Sequence[str]) -> D
         )
         .select("*", *[F.col(f"seg.{c}").alias(c) for c in order], "seg.id")
     )
-    fates = Timeline(fates, keys, order, line.cuts).add(following={"next": F.col("ts")}).df
+    fates = Timeline(fates, keys, order, line.cuts).settled().add(following={"next": F.col("ts")}).df
     fates = _with_cause(fates, F.col("next.v"), delay)
     return fates.select(
-        *keys, "id", F.col("ts").alias("added_at"), "removed_at", "cause", "open", *fields
+        *keys, "id", F.col("ts").alias("added_at"), F.col("seq").alias("added_seq"), "dismissed_at",
+        "removed_at", "cause", "open", *fields,
     )
 
 
@@ -210,9 +225,10 @@ def _replay_many(line: Timeline, k: int, delay: dt.timedelta, fields: Sequence[s
         .otherwise(_at(never, F.lit(0).cast("bigint")))
     )
     fates = fates.select(
-        *keys, "id", place.alias("added"), gone.alias("gone"), "removed_at", "cause", *fields
+        *keys, "id", place.alias("added"), gone.alias("gone"), "dismissed_at", "removed_at", "cause",
+        *fields,
     )
-    return _final_fields(fates, log, line, fields)
+    return _final_fields(settle(fates, line.cuts), log, line, fields)
 
 
 def _final_fields(
@@ -255,8 +271,8 @@ def _final_fields(
         for f in fields
     ]
     return join_same(probes, named, one).select(
-        *keys, "id", F.col("added.ts").alias("added_at"), "removed_at", "cause",
-        is_open.alias("open"), *merged,
+        *keys, "id", F.col("added.ts").alias("added_at"), F.col("added.seq").alias("added_seq"),
+        "dismissed_at", "removed_at", "cause", is_open.alias("open"), *merged,
     )
 
 

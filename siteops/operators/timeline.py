@@ -122,6 +122,14 @@ def find_cuts(
     )
 
 
+def settle(df: DataFrame, cuts: Cuts | None) -> DataFrame:
+    """Stores the rows so far when keys are cut, so that later chunk summaries do not redo them."""
+    if cuts is None:
+        return df
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 class Timeline:
     """A frame with its key and order columns, and running values that cross chunk borders.
 
@@ -170,11 +178,7 @@ class Timeline:
         return self.df.drop(CHUNK)
 
     def settled(self) -> Timeline:
-        """Stores the rows so far when keys are cut, so that later chunk summaries do not redo them."""
-        if self.cuts is None:
-            return self
-        shared_folder(self.df.sparkSession)
-        return self.with_df(self.df.checkpoint())
+        return self.with_df(settle(self.df, self.cuts))
 
     def add(
         self,

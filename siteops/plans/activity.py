@@ -15,6 +15,7 @@ from siteops.operators.timeline import Timeline, find_cuts
 from siteops.sources import prepare_streams, read_table, stream_table
 from siteops.streaming import (
     FanOut,
+    ReplayBatches,
     fan_out,
     parquet_sink,
     replay_stream,
@@ -96,13 +97,16 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return stream.withColumnRenamed("event_id", "seq")
 
 
-def _fate_stream(spark: SparkSession, folder: str) -> DataFrame:
+def _action_stream(spark: SparkSession, folder: str) -> DataFrame:
     """At one row per store, acting on the newest row and acting on all rows are the same."""
     own = F.when(_is("signup") | _is("view"), F.col("seq").cast("string"))
-    rows = _event_stream(spark, folder).select(
+    return _event_stream(spark, folder).select(
         "user_id", "ts", "seq", _kind().alias("kind"), own.alias("id"), _patch().alias("patch")
     )
-    return replay_stream(rows, USER, 1, DAY)
+
+
+def _fate_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return replay_stream(_action_stream(spark, folder), USER, 1, DAY)
 
 
 def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,6 +120,15 @@ def replay_as_stream(spark, folder):
     return _plain_times(out, "added_at", "removed_at")
 
 
+def replay_in_batches(spark, folder):
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    replays = ReplayBatches(f"{base}/slots", parquet_sink(f"{base}/out"), USER, 1, DAY)
+    stream = _action_stream(spark, folder)
+    fan_out(stream, {"replay": replays}, f"{base}/state", availableNow=True).awaitTermination()
+    out = spark.read.parquet(f"{base}/out").select("user_id", "id", "added_at", "removed_at", "cause")
+    return _plain_times(out, "added_at", "removed_at")
+
+
 def fan_out_twice(spark, folder):
     """Two sinks of one stream: every removal once in each, counted by sink and cause."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"

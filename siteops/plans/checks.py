@@ -291,6 +291,9 @@ SQL = {
     "replay_limit_3": _REPLAY_3,
     "replay_limit_3_cut": _REPLAY_3,
     "replay_as_stream": _STREAM_FATES,
+    "replay_in_batches": f"""
+SELECT user_id, id, added_at, removed_at, cause FROM ({_REPLAY_1})
+WHERE removed_at <= (SELECT max(ts) FROM events)""",
     "fan_out_twice": f"""
 SELECT sink, cause, count(*) AS n_rows, count(DISTINCT id) AS n_ids
 FROM ({_STREAM_FATES}), (VALUES ('first'), ('second')) s(sink) GROUP BY sink, cause""",

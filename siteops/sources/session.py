@@ -8,6 +8,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def prepare_streams(spark: SparkSession) -> None:
-    """UTC times, and the state store that keyed state with timers needs."""
+    """UTC times, the state store that timers need, and sessions merged before the shuffle."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")

@@ -1,9 +1,11 @@
+from siteops.streaming.batches import ReplayBatches
 from siteops.streaming.fanout import FanOut, fan_out, parquet_sink, run_to_parquet
 from siteops.streaming.interaction import not_found_stream, sessions_stream, ttl_stream
 from siteops.streaming.replay import replay_stream
 
 __all__ = [
     "FanOut",
+    "ReplayBatches",
     "fan_out",
     "not_found_stream",
     "parquet_sink",

@@ -59,9 +59,17 @@ class _Latest(StatefulProcessor):
         rows = [(*key, value, at, at + self.ttl, live) for at, value, live in changes]
         return pd.DataFrame(rows, columns=columns)
 
+    def _edges(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """First and last write of every stretch of one lifetime: the others expire unseen."""
+        rows = rows.sort_values(["at", "seq"])
+        stretch = rows["at"] // self.ttl
+        return rows[~stretch.duplicated() | ~stretch.duplicated(keep="last")]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = self.latest.get() if self.latest.exists() else None
-        new = pd.concat([part[["at", "seq", "value"]] for part in rows]).sort_values(["at", "seq"])
+        new = pd.DataFrame()
+        for part in rows:
+            new = self._edges(pd.concat([new, part[["at", "seq", "value"]]]))
         if before is not None:
             later = (new["at"] > before[0]) | ((new["at"] == before[0]) & (new["seq"] > before[1]))
             new = new[later]

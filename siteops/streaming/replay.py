@@ -135,8 +135,8 @@ def replay_stream(
 
     Each row is emitted once, when the watermark passes its removal; rows still stored are not
     emitted. Actions more than `lateness` behind are dropped by the watermark. Per store the state
-    is its k rows and the actions of the last `lateness`; a micro-batch brings a store at most its
-    own rows, so bound the batch at the source for stores that get a large share of the actions.
+    is its k rows and the actions of the last `lateness`, and one task handles a store's actions of a
+    micro-batch. Where a store may get a large share of the actions, use `ReplayBatches`.
     """
     named = truthy(F.col("id")).isNotNull()
     to_all = F.col("id").isNull() & F.col("kind").isin("DISMISS", "REMOVE")

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from test_replay import DELAY, FIELDS, SCHEMA, random_log
 
@@ -12,6 +13,7 @@ from siteops.operators.replay import replay
 from siteops.operators.routing import not_found
 from siteops.streaming import (
     FanOut,
+    ReplayBatches,
     fan_out,
     not_found_stream,
     parquet_sink,
@@ -64,6 +66,34 @@ def test_replay_stream_equals_batch(spark, tmp_path):
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_replay_by_batches_equals_batch(spark, tmp_path, k):
+    rng = random.Random(14)
+    late = dt.timedelta(seconds=30)
+    rows = sorted(random_log(23, {1: 250, 2: 60, 3: 9, None: 20}), key=lambda r: r[1])
+    jitter = {id(r): r[1] + dt.timedelta(seconds=rng.uniform(0, 29)) for r in rows}
+    arrived = sorted(rows, key=lambda r: jitter[id(r)])
+    path = write_files(spark, arrived, STREAM_SCHEMA, str(tmp_path), 4)
+    replays = ReplayBatches(
+        f"{tmp_path}/slots", parquet_sink(f"{tmp_path}/out"), k=k, delay=DELAY, fields=FIELDS,
+        lateness=late, chunk_rows=20,
+    )
+
+    def twice(batch, batch_id):
+        """A batch may be delivered again after a failure."""
+        replays(batch, batch_id)
+        if batch_id == 2:
+            replays(batch, batch_id)
+
+    stream = read_stream(spark, path, STREAM_SCHEMA)
+    fan_out(stream, {"replay": twice}, f"{tmp_path}/state", availableNow=True).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").drop("batch_id").collect()
+    batch = replay(spark.createDataFrame(rows, STREAM_SCHEMA), k=k, delay=DELAY, fields=FIELDS, cuts=None)
+    want = batch.filter(F.col("removed_at") <= F.lit(rows[-1][1] - late)).collect()
+    assert len(want) > 30
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
 def test_replay_stream_survives_a_restart(spark, tmp_path):
     rows = sorted(random_log(22, {1: 120, 2: 40}), key=lambda r: r[1])
     half, out = len(rows) // 2, f"{tmp_path}/out"
