@@ -97,21 +97,27 @@ def _replay_one(line: Timeline, delay: dt.timedelta, fields: Sequence[str]) -> D
     whether an action still finds it there follows from earlier actions of the segment.
     """
     keys, order = line.keys, line.order
-    line = line.add(last={"seg": F.when(_is("ADD"), F.struct(*order, "id"))})
+    # Whole stores find the next ADD among the few added rows below; for cut ones that would be a
+    # second round of chunk summaries, so they look it up in the same round.
+    cut, next_add = line.cuts is not None, F.when(_is("ADD"), F.col("ts"))
+    line = line.add(
+        last={"seg": F.when(_is("ADD"), F.struct(*order, "id"))},
+        coming={"next_at": next_add} if cut else None,
+    )
     hits = line.df.filter(
         F.col("seg").isNotNull() & (F.col("id").isNull() | (F.col("id") == F.col("seg.id")))
     )
     dismissed = F.when(_is("DISMISS"), F.col("ts"))
     cleared = F.when(_is("REMOVE"), F.col("ts"))
-    before = (
-        Window.partitionBy(*line.parts, "seg")
+    before = (  # the chunk last, so that the rows are in order for the grouping below
+        Window.partitionBy(*keys, "seg", *line.parts[len(keys):])
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = hits.withColumns(
         {"dismissed_before": F.min(dismissed).over(before), "cleared_before": F.min(cleared).over(before)}
     )
-    if line.cuts is not None:
+    if cut:
         rows = _carry_segments(hits, rows, line, dismissed, cleared)
     expired = F.coalesce(F.col("ts") >= F.col("dismissed_before") + F.lit(delay), F.lit(False))
     live = F.col("cleared_before").isNull() & ~expired
@@ -124,11 +130,13 @@ def _replay_one(line: Timeline, delay: dt.timedelta, fields: Sequence[str]) -> D
             F.min(cleared).alias("cleared_at"),
             F.max_by(_open_value(), F.when(live & _sets_open(), place)).alias("open"),
             *[F.max_by(F.col("patch")[f], F.when(live & c, place)).alias(f) for f, c in carried.items()],
+            *([F.max("next_at").alias("next_at")] if cut else []),
         )
         .select("*", *[F.col(f"seg.{c}").alias(c) for c in order], "seg.id")
     )
-    fates = Timeline(fates, keys, order, line.cuts).settled().add(following={"next": F.col("ts")}).df
-    fates = _with_cause(fates, F.col("next.v"), delay)
+    if not cut:
+        fates = Timeline(fates, keys, order, None).add(following={"next": F.col("ts")}).df
+    fates = _with_cause(fates, F.col("next_at") if cut else F.col("next.v"), delay)
     return fates.select(
         *keys, "id", F.col("ts").alias("added_at"), F.col("seq").alias("added_seq"), "dismissed_at",
         "removed_at", "cause", "open", *fields,

@@ -63,8 +63,9 @@ def actions(df: DataFrame, cuts) -> DataFrame:
     """Events as actions of the user's store. Actions by id concern the row that was added last."""
     line = Timeline(df, USER, ORDER, cuts).add(last={"newest": F.when(_is("signup"), F.col("seq"))})
     one = F.coalesce(F.col("newest").cast("string"), F.lit("none"))
-    return line.result().select(
-        "user_id", "ts", "seq", _kind().alias("kind"),
+    # The chunk stays with the rows, so that a replay finds them in place.
+    return line.df.select(
+        *line.parts, "ts", "seq", _kind().alias("kind"),
         F.when(_is("error"), F.lit(None)).otherwise(one).alias("id"), _patch().alias("patch"),
     )
 

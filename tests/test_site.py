@@ -239,12 +239,6 @@ def test_id_wraps(spark):
     assert got == ["1", str(limit - 1), "0", "1"]
 
 
-def plan_of(df):
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-
-
 def test_large_sides_are_not_broadcast(spark):
     dim = spark.range(50).withColumnRenamed("id", "k")
     assert "ResolvedHint" in small_side(dim)._jdf.queryExecution().analyzed().toString()
