@@ -115,7 +115,10 @@ def _replay_one(line: Timeline, delay: dt.timedelta, fields: Sequence[str]) -> D
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = hits.withColumns(
-        {"dismissed_before": F.min(dismissed).over(before), "cleared_before": F.min(cleared).over(before)}
+        {
+            "dismissed_before": F.min(dismissed).over(before),
+            "cleared_before": F.min(cleared).over(before),
+        }
     )
     if cut:
         rows = _carry_segments(hits, rows, line, dismissed, cleared)
@@ -202,8 +205,9 @@ def _replay_many(line: Timeline, k: int, delay: dt.timedelta, fields: Sequence[s
         .select(*keys, "id", *order, *fields, "dismiss_all", "clear_all")
     )
     one = [*keys, "id"]
+    by_id = log.filter(~to_all & ~_is("ADD"))
     named = (
-        join_same(log.filter(~to_all & ~_is("ADD")), adds.select(*one, place.alias("added")), one, "inner")
+        join_same(by_id, adds.select(*one, place.alias("added")), one, "inner")
         .filter(place > F.col("added"))
         .groupBy(*keys, "id")
         .agg(

@@ -52,14 +52,12 @@ def _slot(df: DataFrame, ts: str, low: dt.datetime, high: dt.datetime, slots: Co
     """
     span = high - low + dt.timedelta(microseconds=1)
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        slot = F.width_bucket(
-            F.col(ts) - F.lit(low).cast("timestamp_ntz"), F.lit(dt.timedelta(0)), F.lit(span), slots
-        )
+        since = F.col(ts) - F.lit(str(low)).cast("timestamp_ntz")
+        slot = F.width_bucket(since, F.lit(dt.timedelta(0)), F.lit(span), slots)
     else:
-        micros = F.unix_micros(ts) - F.unix_micros(F.lit(low).cast("timestamp"))
-        slot = F.width_bucket(
-            micros.cast("double"), F.lit(0.0), F.lit(float(span / dt.timedelta(microseconds=1))), slots
-        )
+        since = F.unix_micros(ts) - F.unix_micros(F.lit(low).cast("timestamp"))
+        micros = float(span / dt.timedelta(microseconds=1))
+        slot = F.width_bucket(since.cast("double"), F.lit(0.0), F.lit(micros), slots)
     return F.coalesce(F.least(slot, slots), F.lit(0))
 
 

@@ -256,7 +256,8 @@ def threshold_changes_cut(spark, folder):
 def _toggles(df: DataFrame) -> DataFrame:
     """Clicks toggle and errors set; large values come from the desktop."""
     return df.filter(F.col("event_type").isin("click", "error")).select(
-        "user_id", "ts", "seq", F.when(F.col("value") >= 12, "desktop").otherwise("mobile").alias("device"),
+        "user_id", "ts", "seq",
+        F.when(F.col("value") >= 12, "desktop").otherwise("mobile").alias("device"),
         F.when(_is("click"), "toggle").otherwise("set").alias("kind"),
         F.when(_is("error"), F.col("value") > 20).alias("value"),
     )

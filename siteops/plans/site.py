@@ -248,6 +248,9 @@ def dead_page_links(spark, folder):
 def scalar_values(spark, folder):
     """The scalar expressions, applied to events."""
     event, value = F.col("event_type"), F.col("value")
+    theme = F.when(value > 30, F.create_map(F.lit("light"), F.lit("#l")))
+    items = F.when(event == "click", F.array()).when(event == "view", F.array(event))
+    keys = (F.when(event == "click", ""), F.when(value > 9, event), F.lit("value"))
     return read_table(spark, folder, "events").select(
         "event_id",
         fx.status_variant(F.when(event == "view", "Draft").otherwise(event)).alias("variant"),
@@ -255,12 +258,12 @@ def scalar_values(spark, folder):
         fx.open_label(value > 20).alias("panel"),
         fx.is_shortcut(F.substring(event, 4, 1), value > 50, event == "error").alias("shortcut"),
         fx.is_one_of(event, "click", "view").alias("pointer"),
-        fx.has_colour(F.when(value > 30, F.create_map(F.lit("light"), F.lit("#l"))), F.nullif(event, F.lit("error"))).alias("styled"),
+        fx.has_colour(theme, F.nullif(event, F.lit("error"))).alias("styled"),
         fx.strip_colons(F.col("props")).alias("stripped"),
         fx.cookie_text("panel", value > 20, 604800).alias("cookie"),
         fx.format_value(value * 1000).alias("formatted"),
         fx.remaining_percent(F.when(value <= 100, F.floor(value))).cast("bigint").alias("remaining"),
         fx.next_id(F.col("event_id")).alias("text_id"),
-        fx.first_truthy(F.when(event == "click", ""), F.when(value > 9, event), F.lit("value")).alias("key"),
-        fx.is_empty(F.when(event == "click", F.array()).when(event == "view", F.array(event))).alias("is_empty"),
+        fx.first_truthy(*keys).alias("key"),
+        fx.is_empty(items).alias("is_empty"),
     )

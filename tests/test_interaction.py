@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteops.functions import is_mobile
+from siteops.operators import timeline
 from siteops.operators.interaction import (
     changes_only,
     hover_intervals,
@@ -151,6 +152,34 @@ def test_ttl_latest(spark):
     assert sorted((r.k, r.value, r.expires_at) for r in got) == [(1, None, at(11))]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_cuts_do_not_depend_on_the_session_zone(spark, kind):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 11, 2, 12)  # the clock goes back in New York the next night
+    rows = [(k, start + dt.timedelta(seconds=60 * t)) for k in (1, 2) for t in times(rng, 300)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(rows, f"k bigint, ts {kind}")
+        whole = sessions(df, ["k"], "ts", 300 * SEC, cuts=None).collect()
+        cut = sessions(df, ["k"], "ts", 300 * SEC, chunk_rows=20).collect()
+        assert find_cuts(df, ["k"], "ts", 20).slot_chunks.select("_chunk").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
+
+
+def test_a_third_of_the_rows_is_heavy(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "MIN_CHUNK_ROWS", 10)
+    rows = [(k, at(t)) for t in range(900) for k in (0 if t % 3 == 0 else t,)]
+    df = spark.createDataFrame(rows, "k bigint, ts timestamp_ntz")
+    cuts = find_cuts(df, ["k"], "ts")
+    assert cuts.slot_counts.count() == 1
+    sizes = timeline.Timeline(df, ["k"], ["ts"], cuts).df.filter("_chunk >= 0").groupBy("_chunk").count()
+    sizes = [r["count"] for r in sizes.collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 900 / 32 + 10
+
+
 def test_cuts_follow_the_heavy_key(spark):
     rng = random.Random(5)
     rows = [(1, at(t)) for t in times(rng, 900)] + [(k, at(k)) for k in range(2, 600)]
