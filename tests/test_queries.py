@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -26,12 +27,16 @@ def normal(value):
     return value
 
 
+#: Those of the text pipeline have tests of their own.
+OWN = sorted(n for n in entry_point.queries() if n != "pipeline" and not re.match(r"op\d+_", n))
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, name):
     df = entry_point.queries()[name](spark, FOLDER)
     sql = entry_point.oracle_sql()[name]
@@ -49,4 +54,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(OWN) <= set(entry_point.oracle_sql()) <= set(entry_point.queries())
