@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteops.llm import media, quality
+from siteops.llm import language, media, quality
 
-QUERIES = {q.__name__: q for q in [quality.op3_quality_trees, media.op9_telephony_audio]}
+QUERIES = {q.__name__: q for q in [quality.op3_quality_trees, language.op7_language, media.op9_telephony_audio]}
 SQL: dict[str, str] = {}
