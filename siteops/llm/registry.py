@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from siteops.llm import language, media, quality
+from siteops.llm import language, lines, media, quality
 
-QUERIES = {q.__name__: q for q in [quality.op3_quality_trees, language.op7_language, media.op9_telephony_audio]}
-SQL: dict[str, str] = {}
+_QUERIES = [
+    quality.op3_quality_trees,
+    language.op7_language,
+    lines.op8_line_dedup,
+    media.op9_telephony_audio,
+]
+QUERIES = {q.__name__: q for q in _QUERIES}
+SQL = {
+    "op8_line_dedup": lines.SQL,
+}
