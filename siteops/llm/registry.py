@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from siteops.llm import language, lines, media, quality
+from siteops.llm import language, lines, lm, media, quality
 
 _QUERIES = [
     quality.op3_quality_trees,
+    lm.op6_backoff_scores,
     language.op7_language,
     lines.op8_line_dedup,
     media.op9_telephony_audio,
 ]
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
+    "op6_backoff_scores": lm.SQL,
     "op8_line_dedup": lines.SQL,
 }
