@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteops.llm import language, lines, lm, media, quality
+from siteops.llm import bpe, language, lines, lm, media, quality
 
 _QUERIES = [
     quality.op3_quality_trees,
+    bpe.op4_byte_bpe,
     lm.op6_backoff_scores,
     language.op7_language,
     lines.op8_line_dedup,
