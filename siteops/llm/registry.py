@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, language, lines, lm, media, quality
+from siteops.llm import bpe, language, lines, lm, media, packing, quality
 
 _QUERIES = [
+    packing.op1_length_buckets,
     quality.op3_quality_trees,
     bpe.op4_byte_bpe,
     lm.op6_backoff_scores,
@@ -14,6 +15,7 @@ _QUERIES = [
 ]
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
+    "op1_length_buckets": packing.SQL,
     "op6_backoff_scores": lm.SQL,
     "op8_line_dedup": lines.SQL,
 }
