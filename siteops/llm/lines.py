@@ -190,7 +190,8 @@ def dedup_lines(df: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     rows = base.select(F.col("_line_id").alias("id"), F.col("_line_mark").alias("mark"), "text")
     found = stored(suspects(rows, least))
     first = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    gone = found.join(first, "key").where("id > first")
+    # Written, so that the join stands alone and Spark can split a key that very many documents have.
+    gone = found.join(stored(first), "key").where("id > first")
     gone = gone.groupBy(F.col("id").alias("_line_id"), F.col("mark").alias("_line_mark")).agg(
         F.collect_set("place").alias("_gone")
     )
