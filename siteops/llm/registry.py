@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, language, lines, lm, media, packing, quality
+from siteops.llm import bpe, language, lines, lm, media, packing, quality, tokenfiles
 
 _QUERIES = [
     packing.op1_length_buckets,
+    tokenfiles.op2_separator_scan,
     quality.op3_quality_trees,
     bpe.op4_byte_bpe,
     lm.op6_backoff_scores,
@@ -16,6 +17,7 @@ _QUERIES = [
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
     "op1_length_buckets": packing.SQL,
+    "op2_separator_scan": tokenfiles.SQL,
     "op6_backoff_scores": lm.SQL,
     "op8_line_dedup": lines.SQL,
 }
