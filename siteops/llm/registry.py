@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, language, lines, lm, media, packing, quality, tokenfiles
+from siteops.llm import bpe, language, lines, lm, media, packing, quality, tokenfiles, topk
 
 _QUERIES = [
     packing.op1_length_buckets,
     tokenfiles.op2_separator_scan,
     quality.op3_quality_trees,
     bpe.op4_byte_bpe,
+    topk.op5_exact_topk,
     lm.op6_backoff_scores,
     language.op7_language,
     lines.op8_line_dedup,
@@ -18,6 +19,7 @@ QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
     "op1_length_buckets": packing.SQL,
     "op2_separator_scan": tokenfiles.SQL,
+    "op5_exact_topk": topk.SQL,
     "op6_backoff_scores": lm.SQL,
     "op8_line_dedup": lines.SQL,
 }
