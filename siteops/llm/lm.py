@@ -17,7 +17,7 @@ from siteops.llm.common import slices, stored, table
 from siteops.llm.ngrams import BITS, PAIR, code_points, trigrams
 
 BACKOFF = 0.4
-SLICE = 2 << 20
+SLICE = 1 << 19
 LETTER = (1 << BITS) - 1
 
 
