@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, language, lines, lm, media, packing, quality, tokenfiles, topk
+from siteops.llm import bpe, jaccard, language, lines, lm, media, packing, quality, tokenfiles, topk
 
 _QUERIES = [
     packing.op1_length_buckets,
@@ -14,6 +14,7 @@ _QUERIES = [
     language.op7_language,
     lines.op8_line_dedup,
     media.op9_telephony_audio,
+    jaccard.op10_ngram_jaccard,
 ]
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
