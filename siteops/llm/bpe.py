@@ -6,9 +6,9 @@ joined piece has the lowest rank. The ranks are a literal hash table: an array o
 piece stands at one of two places given by its hash.
 
 The most frequent words of the corpus, `FREQUENT` at most, are counted over all texts, folded once, and
-become a second literal of that form. All other words are folded where they stand. Both ways give the
-same ids. Words of more than `LONG` characters are merged with a heap in Python, as folding takes a
-number of steps that grows with the square of a word's length.
+become a second literal of that form. All other words are merged where they stand by a function in
+Python that gives the same ids: folding them there took several times the limit of processor time, as
+each step of a fold is interpreted, and for a long word a number of steps that grows with its square.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import heapq
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from siteops.llm.common import stored, table
 
 FREQUENT = 1 << 16
-LONG = 200
+#: Words of more bytes are neither counted as frequent ones nor merged without a heap.
+SHORT = 64
 NONE = 2**31 - 1
 
 
@@ -131,53 +133,86 @@ class Tokenizer:
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
 
-    def long_ids(self) -> Callable[[Column], Column]:
-        """Ids of each of some long words; the merge of the lowest rank, then leftmost, comes from a heap."""
+    def merge_in_python(self) -> Callable[[Column], Column]:
+        """Ids of each of some words, in arrays in which other places are null and stay so."""
         ranks = self.ranks
 
-        def merged(word: bytes) -> list[int]:
-            if word in ranks:
-                return [ranks[word]]
-            n = len(word)
-            end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            heap: list[tuple[int, int, int]] = []
-
-            def offer(i: int) -> None:
-                if i >= 0 and end[i] < n and (r := ranks.get(word[i : end[end[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[end[i]]))
-
-            for i in range(n - 1):
-                offer(i)
-            while heap:
-                _, i, stop = heapq.heappop(heap)
-                middle = end[i]
-                if middle < 0 or middle >= n or end[middle] != stop:
-                    continue  # one of the two pieces has changed
-                end[i], end[middle] = stop, -1
-                if stop < n:
-                    before[stop] = i
-                offer(i)
-                offer(before[i])
-            out, i = [], 0
-            while i < n:
-                out.append(ranks[word[i : end[i]]])
-                i = end[i]
-            return out
-
-        @F.pandas_udf("array<array<int>>")
-        def ids(words: pd.Series) -> pd.Series:
-            return pd.Series([[merged(w.encode()) for w in ws] for ws in words], dtype=object)
+        @F.arrow_udf("array<array<int>>")
+        def ids(words: pa.Array) -> pa.Array:
+            known: dict[bytes, list[int]] = {}
+            flat = words.flatten()
+            valid = flat.is_valid().to_numpy(zero_copy_only=False)
+            found = []
+            for w in flat.drop_null().cast(pa.binary()).to_pylist():
+                if (i := known.get(w)) is None:
+                    i = known[w] = merged(w, ranks)
+                found.append(i)
+            sizes = np.zeros(len(flat), np.int64)
+            sizes[valid] = [len(i) for i in found]
+            inner = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = pa.array(np.fromiter((x for i in found for x in i), np.int32, int(inner[-1])))
+            lists = pa.ListArray.from_arrays(pa.array(inner), values, mask=pa.array(~valid))
+            outer = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(outer), lists)
 
         return ids
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word; of the merges with the lowest rank the leftmost comes first."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > SHORT:
+        return merged_by_heap(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+    while pairs and (least := min(pairs)) < NONE:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+    return [ranks[p] for p in parts]
+
+
+def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same in a time that hardly grows faster than the word."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and end[i] < n and (r := ranks.get(word[i : end[end[i]]])) is not None:
+            heapq.heappush(heap, (r, i, end[end[i]]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if middle < 0 or middle >= n or end[middle] != stop:
+            continue  # one of the two pieces has changed
+        end[i], end[middle] = stop, -1
+        if stop < n:
+            before[stop] = i
+        offer(i)
+        offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
 def frequent_words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", most: int = FREQUENT) -> dict[str, list[int]]:
     """The most frequent words of all texts, and their ids: those at least as frequent as a level.
 
     Levels are eighths of a power of two; it is the lowest one that `most` words reach at most.
     """
     each = df.select(F.explode(tokenizer.words(F.col(f"`{text}`"))).alias("word"))
-    counted = each.groupBy("word").count().where(f"count > 1 AND length(word) <= {LONG}")
+    counted = each.groupBy("word").count().where(f"count > 1 AND octet_length(word) <= {SHORT}")
     counted = stored(counted.withColumn("level", F.floor(F.log2("count") * 8).cast("int")))
     levels = counted.groupBy("level").count().orderBy(F.desc("level")).collect()
     least, total = None, 0
@@ -203,21 +238,12 @@ def encode(
     kept = [F.col(f"`{c}`") for c in df.columns if c != out]
     cache = Literal(frequent or {}, "array<int>")
     rows = df.select(*kept, tokenizer.words(F.col(f"`{text}`")).alias("_words"))
-    long = F.array_distinct(F.filter("_words", lambda w: F.length(w) > LONG))
-    rows = rows.withColumn("_long", long).withColumn("_long_ids", tokenizer.long_ids()(F.col("_long")))
-
-    def ids(both: Column) -> Column:
-        def of(word: Column) -> Column:
-            by_heap = F.get(F.col("_long_ids"), (F.array_position("_long", word) - 1).cast("int"))
-            return F.coalesce(
-                cache.find(both["frequent"], word),
-                F.when(F.length(word) > LONG, by_heap).otherwise(tokenizer.word_ids(both["ranks"], word)),
-            )
-
-        return F.flatten(F.transform("_words", of))
-
-    both = F.struct(cache.column.alias("frequent"), tokenizer.table.column.alias("ranks"))
-    return rows.select(*kept, let(both, ids).alias(out))
+    common = let(cache.column, lambda slots: F.transform("_words", lambda w: cache.find(slots, w)))
+    rows = rows.withColumn("_common", common)
+    rare = F.transform("_common", lambda c, i: F.when(c.isNull(), F.get(F.col("_words"), i)))
+    rows = rows.withColumn("_rare", tokenizer.merge_in_python()(rare))
+    every = F.transform("_common", lambda c, i: F.coalesce(c, F.get(F.col("_rare"), i)))
+    return rows.select(*kept, F.flatten(every).alias(out))
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "bytes") -> DataFrame:
