@@ -39,6 +39,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def beside(df: DataFrame, source: str, keep: list[str] | None, added: dict[str, Column]):
+    """For functions that add columns to batches: their input, the kept columns, the schema and a place.
+
+    The input has the columns to keep (all, if `keep` is null), less those that are added anew, and
+    `source`, at the place that comes last in the result.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    columns = [F.col(f"`{c}`") for c in kept]
+    schema = df.select(*columns).withColumns(added).schema
+    if source in kept:
+        return df.select(*columns), kept, schema, kept.index(source)
+    return df.select(*columns, F.col(f"`{source}`").alias("_source")), kept, schema, len(kept)
+
+
 def slices(sizes, most: int):
     """Consecutive ranges (start, end) of items whose sizes add up to `most`, or of one item."""
     start = total = 0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteops.llm.boosting import Forest, fit
-from siteops.llm.common import held_out, slices, table
+from siteops.llm.common import beside, held_out, slices, table
 
 SAMPLE = 20_000
 SLICE = 4 << 20
@@ -110,29 +110,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:
     return fit(x, np.array([r.label for r in sample], float))
 
 
-def score(df: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
+def score(df: DataFrame, forest: Forest, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds `score` (0 to 1, higher is better) and `predicted` (1 from 0.7 on) for each whole text.
 
-    Null is scored like an empty text. Other columns stay; columns of these two names are replaced.
+    Null is scored like an empty text. The columns `keep` stay, or all others; columns of these two names
+    are replaced.
     """
-    added = {"score", "predicted"}
-    kept = [c for c in df.columns if c not in added]
-    base = df.select(*(F.col(f"`{c}`") for c in kept))
-    schema = base.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    added = {"score": F.lit(0.0), "predicted": F.lit(0)}
+    rows, kept, schema, place = beside(df, text, keep, added)
 
     def run(batches):
         kinds = byte_kinds()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
             for a, b in slices([len(t) for t in texts], SLICE):
                 p = forest.probability(statistics(texts[a:b], kinds))
                 part = batch.slice(a, b - a)
                 good = pa.array((p >= THRESHOLD).astype(np.int32))
                 columns = [*(part.column(i) for i in range(len(kept))), pa.array(p), good]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    payload = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_payload")
-    return df.select(*(F.col(f"`{c}`") for c in kept), payload).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +138,10 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = train(docs, table(spark, sf_dir, "labels"))
     rows = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    return score(rows, forest).select("doc_id", "held_out", "score", "predicted")
+    return score(rows, forest, keep=["doc_id", "held_out"])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that trees learnt from `labels` predict to be good, with their columns."""
-    clash = "_quality_text"
-    scored = score(docs.withColumn(clash, F.col("text")), train(docs, labels), clash)
-    return scored.where("predicted = 1").select(*docs.columns)
+    good = score(docs, train(docs, labels)).where("predicted = 1")
+    return good.select(*docs.columns)
