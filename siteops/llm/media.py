@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import slices, table
+from siteops.llm.common import beside, slices, table
 
 PCM, A_LAW, MU_LAW, IMA = 1, 6, 7, 17
 RATE = 8000
 #: Bytes of an ADPCM block, and of a slice of recordings that are decoded together.
 BLOCK = 192
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Payloads of stored texts are padded with spaces to a multiple of this.
 UNIT = 192
 
@@ -173,47 +173,44 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = 16000, out: str = "p
     Null and unreadable recordings give null, recordings without samples a file without samples. All
     other columns stay as they are; `out` replaces a column of that name.
     """
-    kept = [c for c in df.columns if c != out]
-    schema = df.select(*(F.col(f"`{c}`") for c in kept)).withColumn(out, F.lit(None).cast("binary")).schema
+    rows, kept, schema, place = beside(df, media, None, {out: F.lit(b"")})
 
     def run(batches):
         tables = ima_tables()
         for batch in batches:
-            files = batch.column(batch.schema.names.index(media)).to_pylist()
+            files = batch.column(place).to_pylist()
             for a, b in slices([len(f or b"") for f in files], SLICE):
                 done = decode(files[a:b], rate, tables)
                 made = [None if x is None else wav(PCM, x.tobytes(), rate, 2, 16, len(x)) for x in done]
                 part = batch.slice(a, b - a)
-                columns = [part.column(batch.schema.names.index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=[*kept, out])
+                columns = [part.column(i) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def store_texts(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
+def store_texts(
+    df: DataFrame, text: str = "text", out: str = "media", keep: list[str] | None = None
+) -> DataFrame:
     """Adds each whole text as a mu-law recording whose samples are its UTF-8 bytes.
 
     The bytes are padded with spaces to a positive multiple of 192, so nothing is lost by the law. Null
-    is stored like an empty text. `n_bytes` is the length before padding. Other columns stay.
+    is stored like an empty text. `n_bytes` is the length before padding. The columns `keep` stay, or all
+    others.
     """
-    drop = {out, "n_bytes"}
-    kept = [c for c in df.columns if c not in drop]
-    base = df.select(*(F.col(f"`{c}`") for c in kept))
-    schema = base.withColumns({"n_bytes": F.lit(0).cast("long"), out: F.lit(b"")}).schema
+    rows, kept, schema, place = beside(df, text, keep, {"n_bytes": F.lit(0).cast("long"), out: F.lit(b"")})
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(batch.num_columns - 1).to_pylist()
+            raw = [x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()]
             for a, b in slices([len(x) for x in raw], SLICE):
                 part, data = batch.slice(a, b - a), raw[a:b]
                 files = [wav(MU_LAW, x + b" " * (-len(x) % UNIT if x else UNIT)) for x in data]
                 size = pa.array([len(x) for x in data], pa.int64())
                 columns = [*(part.column(i) for i in range(len(kept))), size, pa.array(files, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_bytes", out])
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    payload = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
-    columns = [*(F.col(f"`{c}`") for c in kept), payload.alias("_payload")]
-    return df.select(*columns).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def described(pcm: np.ndarray) -> str:
@@ -272,4 +269,4 @@ def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     "tail_crc32" is that of the last 16 payload bytes.
     """
-    return features(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return features(store_texts(table(spark, sf_dir, "documents"), keep=["doc_id"]))
