@@ -208,6 +208,14 @@ def dedup_lines(df: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     return out.withColumn("text", whole).drop("_rebuilt")
 
 
+def keep_first_lines(docs: DataFrame) -> DataFrame:
+    """All documents with their columns, without the lines that an earlier document has; `n_chars` follows."""
+    left = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(*docs.columns)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of each document go, and what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
