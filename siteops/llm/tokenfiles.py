@@ -147,12 +147,13 @@ def scan(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
     )
     stops = F.concat("ends", F.coalesce(open_end, F.array().cast("array<long>")))
     starts = F.concat(F.array("begin"), F.transform("ends", lambda e: e + 1))
+    both = F.arrays_zip(F.slice(starts, 1, F.size(stops)).alias("start"), stops.alias("stop"))
     documents = F.transform(
-        stops,
-        lambda e, i: F.struct(
+        both,
+        lambda d, i: F.struct(
             (F.col("before") + i).alias("document"),
-            F.get(starts, i).alias("start"),
-            (e - F.get(starts, i)).alias("n_tokens"),
+            d["start"].alias("start"),
+            (d["stop"] - d["start"]).alias("n_tokens"),
             (i < F.size("ends")).alias("ended"),
         ),
     )
