@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import stored, table
+from siteops.llm.common import fresh, others, stored, table
 
 FREQUENT = 1 << 16
 #: Words of more bytes are neither counted as frequent ones nor merged without a heap.
@@ -235,20 +235,20 @@ def encode(
     `frequent` is what `frequent_words` found; it saves work and changes nothing. Other columns stay; a
     column named `out` is replaced.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    kept = [F.col(f"`{c}`") for c in others(df, out)]
+    words, common, rare = fresh(df, "words", "common", "rare")
     cache = Literal(frequent or {}, "array<int>")
-    rows = df.select(*kept, tokenizer.words(F.col(f"`{text}`")).alias("_words"))
-    common = let(cache.column, lambda slots: F.transform("_words", lambda w: cache.find(slots, w)))
-    rows = rows.withColumn("_common", common)
-    rare = F.transform("_common", lambda c, i: F.when(c.isNull(), F.get(F.col("_words"), i)))
-    rows = rows.withColumn("_rare", tokenizer.merge_in_python()(rare))
-    every = F.transform("_common", lambda c, i: F.coalesce(c, F.get(F.col("_rare"), i)))
+    rows = df.select(*kept, tokenizer.words(F.col(f"`{text}`")).alias(words))
+    rows = rows.withColumn(common, let(cache.column, lambda slots: F.transform(words, lambda w: cache.find(slots, w))))
+    left = F.transform(common, lambda c, i: F.when(c.isNull(), F.get(F.col(words), i)))
+    rows = rows.withColumn(rare, tokenizer.merge_in_python()(left))
+    every = F.transform(common, lambda c, i: F.coalesce(c, F.get(F.col(rare), i)))
     return rows.select(*kept, F.flatten(every).alias(out))
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """Adds the bytes that arrays of ids stand for; null for a null array. Unknown ids stand for nothing."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    kept = [F.col(f"`{c}`") for c in others(df, out)]
     pieces = let(tokenizer.pieces, lambda p: F.transform(F.col(f"`{ids}`"), lambda i: F.get(p, i)))
     joined = F.encode(F.array_join(pieces, ""), "ISO-8859-1")
     return df.select(*kept, joined.alias(out))

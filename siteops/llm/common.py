@@ -39,18 +39,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The columns of `df` without those that are to be added, whatever their case."""
+    names = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of `df` has."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def beside(df: DataFrame, source: str, keep: list[str] | None, added: dict[str, Column]):
     """For functions that add columns to batches: their input, the kept columns, the schema and a place.
 
     The input has the columns to keep (all, if `keep` is null), less those that are added anew, and
     `source`, at the place that comes last in the result.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in added]
+    kept = [c for c in others(df, *added) if keep is None or c in keep]
     columns = [F.col(f"`{c}`") for c in kept]
     schema = df.select(*columns).withColumns(added).schema
     if source in kept:
         return df.select(*columns), kept, schema, kept.index(source)
-    return df.select(*columns, F.col(f"`{source}`").alias("_source")), kept, schema, len(kept)
+    name = fresh(df, "source")[0]
+    return df.select(*columns, F.col(f"`{source}`").alias(name)), kept, schema, len(kept)
 
 
 def slices(sizes, most: int):

@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from siteops.llm.common import stored, table
+from siteops.llm.common import fresh, others, stored, table
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
@@ -163,7 +164,7 @@ def suspects(df: DataFrame, least: int) -> DataFrame:
     return hashed.select("id", "mark", F.explode(pairs).alias("p")).select("id", "mark", "p.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_lines(texts: pd.Series, places: pd.Series) -> pd.Series:
     out = []
     for text, drop in zip(texts, places):
@@ -184,28 +185,24 @@ def dedup_lines(df: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     line left becomes empty, too. Rows with the same id count as one document. A null id comes after all
     others. Other columns stay.
     """
-    kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    marks = {"_line_id": F.coalesce("doc_id", F.lit(NO_ID)), "_line_mark": F.xxhash64("text")}
-    base = df.select(*(F.col(f"`{c}`") for c in kept)).withColumns(marks)
-    rows = base.select(F.col("_line_id").alias("id"), F.col("_line_mark").alias("mark"), "text")
+    kept = [F.col(f"`{c}`") for c in others(df, "n_lines", "n_dropped")]
+    id_, mark, places, rebuilt = fresh(df, "line_id", "line_mark", "places", "rebuilt")
+    base = df.select(*kept, F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.xxhash64("text").alias(mark))
+    rows = base.select(F.col(id_).alias("id"), F.col(mark).alias("mark"), "text")
     found = stored(suspects(rows, least))
     first = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     # Written, so that the join stands alone and Spark can split a key that very many documents have.
     gone = found.join(stored(first), "key").where("id > first")
-    gone = gone.groupBy(F.col("id").alias("_line_id"), F.col("mark").alias("_line_mark")).agg(
-        F.collect_set("place").alias("_gone")
+    gone = gone.groupBy(F.col("id").alias(id_), F.col("mark").alias(mark)).agg(F.collect_set("place").alias(places))
+    whole = F.coalesce("text", F.lit(""))
+    touched = F.col(places).isNotNull()
+    out = base.join(gone, [id_, mark], "left").select(
+        *kept,
+        without_lines(F.when(touched, whole), F.col(places)).alias(rebuilt),
+        F.size(F.split(whole, "\n", -1)).cast("long").alias("n_lines"),
+        F.when(touched, F.size(places)).otherwise(0).cast("long").alias("n_dropped"),
     )
-    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    touched = F.col("_gone").isNotNull()
-    text = without_lines(F.when(touched, F.coalesce("text", F.lit(""))), F.col("_gone"))
-    out = base.join(gone, ["_line_id", "_line_mark"], "left").select(
-        *(F.col(f"`{c}`") for c in kept),
-        text.alias("_rebuilt"),
-        n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
-    whole = F.when(F.col("n_dropped") > 0, F.col("_rebuilt")).otherwise(F.coalesce("text", F.lit("")))
-    return out.withColumn("text", whole).drop("_rebuilt")
+    return out.withColumn("text", F.coalesce(rebuilt, "text", F.lit(""))).drop(rebuilt)
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:

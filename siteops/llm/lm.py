@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import slices, stored, table
+from siteops.llm.common import fresh, others, slices, stored, table
 from siteops.llm.ngrams import BITS, PAIR, code_points, trigrams
 
 BACKOFF = 0.4
@@ -102,21 +102,20 @@ def score(
     characters and a null score. Rows are told apart by a hash of their text, so equal texts get equal
     scores and ids don't matter. Other columns stay; columns of these names are replaced.
     """
-    kept = [c for c in df.columns if c not in ("lm_chars", "lm_score")]
     whole = F.col(f"`{text}`")
-    columns = [F.col(f"`{c}`") for c in kept]
+    columns = [F.col(f"`{c}`") for c in others(df, "lm_chars", "lm_score")]
+    row, total, many = fresh(df, "row", "total", "many")
     n = F.coalesce(F.length(whole), F.lit(0)).cast("long").alias("lm_chars")
-    rows = df.select(*columns, F.xxhash64(whole).alias("_lm_row"), n)
+    rows = df.select(*columns, F.xxhash64(whole).alias(row), n)
     grams = document_trigrams(df.select(F.xxhash64(whole).alias("row"), whole.alias("text")))
     if wanted is None:
         wanted = grams.select("gram").distinct()
     scores = stored(gram_scores(wanted, counts, backoff))
-    sums = grams.join(scores, "gram").groupBy("row").agg(
-        F.sum(F.col("n") * F.col("logp")).alias("_lm_sum"), F.sum("n").alias("_lm_n")
+    sums = grams.join(scores, "gram").groupBy(F.col("row").alias(row)).agg(
+        F.sum(F.col("n") * F.col("logp")).alias(total), F.sum("n").alias(many)
     )
-    found = rows.join(sums.withColumnRenamed("row", "_lm_row"), "_lm_row", "left")
-    mean = F.round(F.col("_lm_sum") / F.col("_lm_n"), 6)
-    return found.select(*columns, "lm_chars", mean.alias("lm_score"))
+    mean = F.round(F.col(total) / F.col(many), 6)
+    return rows.join(sums, row, "left").select(*columns, "lm_chars", mean.alias("lm_score"))
 
 
 def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def to_pcm(df: DataFrame, media: str = "media", rate: int = 16000, out: str = "p
     Null and unreadable recordings give null, recordings without samples a file without samples. All
     other columns stay as they are; `out` replaces a column of that name.
     """
-    rows, kept, schema, place = beside(df, media, None, {out: F.lit(b"")})
+    rows, kept, schema, place = beside(df, media, None, {out: F.lit(None).cast("binary")})
 
     def run(batches):
         tables = ima_tables()

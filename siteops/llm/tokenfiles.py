@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteops.llm.common import BLANK, scratch, stored, table
+from siteops.llm.common import BLANK, fresh, others, scratch, stored, table
 
 END = 0
 WIDTH = 2
@@ -47,7 +47,7 @@ def write(df: DataFrame, tokens: str, folder: str, end: int = END) -> DataFrame:
     equal to `end` or beyond 16 bits is an error. Each attempt of a task writes files of its own names,
     and only those of the result count; the result is kept, so nothing is written twice.
     """
-    kept = [c for c in df.columns if c not in (tokens, "file", "document")]
+    kept = others(df, tokens, "file", "document")
     base = df.select(*(F.col(f"`{c}`") for c in kept))
     schema = base.withColumns({"file": F.lit(""), "document": F.lit(0).cast("long")}).schema
 
@@ -78,7 +78,7 @@ def write(df: DataFrame, tokens: str, folder: str, end: int = END) -> DataFrame:
         if out is not None:
             out.close()
 
-    array = F.coalesce(F.col(f"`{tokens}`"), F.array().cast("array<int>")).alias("_tokens")
+    array = F.coalesce(F.col(f"`{tokens}`"), F.array().cast("array<int>")).alias(fresh(df, "ids")[0])
     return stored(df.select(*(F.col(f"`{c}`") for c in kept), array).mapInArrow(run, schema))
 
 
