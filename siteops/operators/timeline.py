@@ -9,7 +9,6 @@ result; which keys are cut only decides how the work is spread.
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,67 +21,78 @@ from siteops.operators.storage import shared_folder
 CHUNK = "_chunk"
 UNCUT = -1
 
-# A chunk has at least this many rows, and at least a quarter of a task's fair share of all rows.
+# A chunk has at least this many rows, and at least a quarter of a task's fair share of all rows, so
+# the table of borders grows with the number of shuffle tasks, not with the data.
 MIN_CHUNK_ROWS = 2_000_000
-# Time slots counted per chunk. More slots follow bursts better; the slot table grows with the number
-# of shuffle tasks, not with the data, so it is always small enough to broadcast.
-SLOTS_PER_CHUNK = 8
 # Heavy keys are sought in this many groups of keys, so that no single task merges all sketches.
 SKETCHES = 32
+# Borders of a key are looked through in two steps, this many at a time.
+STEP = 32
 
 
 @dataclass(frozen=True)
 class Cuts:
-    """Where heavy keys are cut: their slot counts, and the chunk of every slot."""
+    """Where heavy keys are cut: for each key hash `_h` the sorted places at which chunks begin.
 
-    low: dt.datetime
-    high: dt.datetime
-    slot_counts: DataFrame
-    slot_chunks: DataFrame
+    A place is a time and, inside a time that many rows share, a value of the next order column.
+    """
+
+    borders: DataFrame
+    then: str | None
 
 
 def _key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def _slot(df: DataFrame, ts: str, low: dt.datetime, high: dt.datetime, slots: Column) -> Column:
-    """Equal-width slot of `ts`: 1 to `slots` within [low, high], the outer ones also beyond it.
+def _place(ts: Column, then: Column) -> Column:
+    return F.struct(ts.alias("at"), then.cast("bigint").alias("then"))
 
-    Rows without a time sort first, so they are in slot 0.
-    """
-    span = high - low + dt.timedelta(microseconds=1)
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        since = F.col(ts) - F.lit(str(low)).cast("timestamp_ntz")
-        slot = F.width_bucket(since, F.lit(dt.timedelta(0)), F.lit(span), slots)
-    else:
-        since = F.unix_micros(ts) - F.unix_micros(F.lit(low).cast("timestamp"))
-        micros = float(span / dt.timedelta(microseconds=1))
-        slot = F.width_bucket(since.cast("double"), F.lit(0.0), F.lit(micros), slots)
-    return F.coalesce(F.least(slot, slots), F.lit(0))
+
+def _chunk_of(borders: Column, place: Column) -> Column:
+    """How many borders are at or before `place`, null without borders. Places without a time come first."""
+    some = F.filter(borders, lambda b, i: (i % STEP == 0) & (b <= place))
+    skipped = F.greatest((F.size(some) - 1) * STEP, F.lit(0))
+    rest = F.filter(F.slice(borders, skipped + 1, STEP), lambda b: b <= place)
+    return F.when(borders.isNotNull(), skipped + F.size(rest)).cast("bigint")
+
+
+def _quantiles(rows: DataFrame, by: Sequence[str], value: str, parts: str, most: int) -> DataFrame:
+    """(by, cut): for each group the values that split its rows into `parts` parts of equal size."""
+    shares = F.lit([i / most for i in range(1, most)])
+    all_cuts = F.percentile_approx(value, shares, F.lit(max(10_000, 16 * most)))
+    found = rows.groupBy(*by, parts).agg(all_cuts.alias("all"))
+    own = F.transform(
+        F.sequence(F.lit(1), F.col(parts) - 1),
+        lambda i: F.get(F.col("all"), (F.round(i * most / F.col(parts)) - 1).cast("int")),
+    )
+    return found.select(*by, F.when(F.col(parts) > 1, own).alias("cuts"))
 
 
 def find_cuts(
-    df: DataFrame, keys: Sequence[str], ts: str, chunk_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    chunk_rows: int | None = None,
+    then: str | None = None,
 ) -> Cuts | None:
     """Finds heavy keys with one sketch pass; returns None when no key needs cutting.
 
     A key is heavy when it has more than two tasks' fair share of the rows, or more than `chunk_rows`
-    when that is given. The pass reads the key and time columns only. It runs when called, so give
-    it a table rather than a long lineage, and reuse its result for operators over the same rows. A
-    key that the sketches miss is left whole, which costs balance and nothing else.
+    when that is given. Each heavy key is cut at quantiles of its own times, and times at which it has
+    more rows than a chunk at quantiles of `then`, a whole number that orders rows of the same time. The
+    passes read the key and order columns only. They run when called, so give a table rather than a
+    long lineage, and reuse the result for operators over the same rows. A key that the sketches miss
+    is left whole, which costs balance and nothing else. The table of borders has one for each
+    `chunk_rows` rows of heavy keys and is broadcast; a small number is for tests.
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tracked = min(100_000, max(1024, tasks // 4))
     found = (
-        df.select(_key_hash(keys).alias("h"), ts)
+        df.select(_key_hash(keys).alias("h"))
         .groupBy(F.col("h") % SKETCHES)
-        .agg(
-            F.count("*").alias("n"),
-            F.min(ts).alias("low"),
-            F.max(ts).alias("high"),
-            F.expr(f"approx_top_k(h, {tracked // 2}, {tracked})").alias("top"),
-        )
+        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {tracked // 2}, {tracked})").alias("top"))
         .collect()  # one row per sketch
     )
     total = sum(r["n"] for r in found)
@@ -90,34 +100,29 @@ def find_cuts(
     if chunk_rows is None:
         chunk_rows = max(MIN_CHUNK_ROWS, math.ceil(total / (4 * tasks)))
         limit = max(chunk_rows, 2 * total / tasks)
-    heavy = [(t["item"], t["count"]) for r in found for t in r["top"] if t["count"] > limit]
-    times = [r for r in found if r["low"] is not None]
-    if not heavy or not times:
+    heavy = [(t["item"], math.ceil(t["count"] / chunk_rows)) for r in found for t in r["top"] if t["count"] > limit]
+    if not heavy:
         return None
-    low, high = min(r["low"] for r in times), max(r["high"] for r in times)
-    slot_counts = spark.createDataFrame(
-        [(h, SLOTS_PER_CHUNK * math.ceil(n / chunk_rows)) for h, n in heavy], "_h bigint, _slots bigint"
-    )
-    counted = (
-        df.select(_key_hash(keys).alias("_h"), ts)
-        .join(F.broadcast(slot_counts), "_h")
-        .groupBy("_h", _slot(df, ts, low, high, F.col("_slots")).alias("_slot"))
-        .count()
-        .collect()  # at most SLOTS_PER_CHUNK rows per chunk, and about 5 * tasks chunks
-    )
-    sizes = {(r["_h"], r["_slot"]): r["count"] for r in counted}
-    slot_chunks = []
-    for h, slots in ((r["_h"], r["_slots"]) for r in slot_counts.collect()):
-        seen = 0
-        for slot in range(slots + 1):
-            slot_chunks.append((h, slot, seen // chunk_rows))
-            seen += sizes.get((h, slot), 0)
-    return Cuts(
-        low,
-        high,
-        slot_counts,
-        spark.createDataFrame(slot_chunks, f"_h bigint, _slot bigint, {CHUNK} bigint"),
-    )
+    parts = spark.createDataFrame(heavy, "_h bigint, _parts int")
+    named = [F.col(then).cast("bigint").alias("_then")] if then is not None else []
+    rows = df.select(_key_hash(keys).alias("_h"), F.col(ts).alias("_ts"), *named)
+    rows = rows.join(F.broadcast(parts), "_h")  # one row per heavy key
+    cuts = _quantiles(rows, ["_h"], "_ts", "_parts", max(n for _, n in heavy))
+    each = cuts.select("_h", F.explode("cuts").alias("at")).where("at IS NOT NULL")
+    times = each.groupBy("_h", "at").agg(F.count("*").cast("int").alias("n"))
+    shared_folder(spark)
+    times = times.checkpoint()  # a few rows for each task
+    most = times.agg(F.max("n")).first()[0] or 0
+    places = times.select("_h", "at", F.lit(None).cast("bigint").alias("then"))
+    if most > 1 and then is not None:
+        # A time that came out several times has that many chunks' rows.
+        shared = times.where("n > 1").select("_h", F.col("at").alias("_ts"), (F.col("n") + 1).alias("_parts"))
+        own = rows.drop("_parts").join(F.broadcast(shared), ["_h", "_ts"])
+        inside = _quantiles(own, ["_h", "_ts"], "_then", "_parts", most + 1)
+        inner = inside.select("_h", F.col("_ts").alias("at"), F.explode("cuts").alias("then"))
+        places = places.unionByName(inner.distinct()).checkpoint()
+    borders = F.sort_array(F.collect_set(_place(F.col("at"), F.col("then"))))
+    return Cuts(places.groupBy("_h").agg(borders.alias("_borders")), then)
 
 
 def settle(df: DataFrame, cuts: Cuts | None) -> DataFrame:
@@ -137,14 +142,13 @@ class Timeline:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Cuts | None):
         self.keys, self.order, self.cuts = list(keys), list(order), cuts
         if cuts is not None and CHUNK not in df.columns:
-            ts = self.order[0]
+            then = F.col(self.order[1]) if cuts.then is not None and len(self.order) > 1 else F.lit(None)
+            chunk = _chunk_of(F.col("_borders"), _place(F.col(self.order[0]), then))
             df = (
                 df.withColumn("_h", _key_hash(self.keys))
-                .join(F.broadcast(cuts.slot_counts), "_h", "left")
-                .withColumn("_slot", _slot(df, ts, cuts.low, cuts.high, F.col("_slots")))
-                .join(F.broadcast(cuts.slot_chunks), ["_h", "_slot"], "left")
-                .withColumn(CHUNK, F.coalesce(CHUNK, F.lit(UNCUT)))
-                .drop("_h", "_slot", "_slots")
+                .join(F.broadcast(cuts.borders), "_h", "left")
+                .withColumn(CHUNK, F.coalesce(chunk, F.lit(UNCUT)))
+                .drop("_h", "_borders")
             )
         self.df = df
 
@@ -158,7 +162,8 @@ class Timeline:
         chunk_rows: int | None = None,
     ) -> Timeline:
         if cuts == "auto":
-            cuts = find_cuts(df, keys, order[0], chunk_rows)
+            whole = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
+            cuts = find_cuts(df, keys, order[0], chunk_rows, order[1] if whole else None)
         return cls(df, keys, order, cuts)
 
     @property

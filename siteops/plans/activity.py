@@ -72,7 +72,7 @@ def actions(df: DataFrame, cuts) -> DataFrame:
 
 def _replay(spark: SparkSession, folder: str, k: int, **cutting) -> DataFrame:
     df = events(spark, folder)
-    cuts = find_cuts(df, USER, "ts", **cutting)
+    cuts = find_cuts(df, USER, "ts", then="seq", **cutting)
     return replay(actions(df, cuts), USER, k, DAY, ["note"], cuts)
 
 
@@ -182,13 +182,13 @@ def _added(df: DataFrame) -> DataFrame:
 
 def dismissed_rows(spark, folder):
     df = events(spark, folder)
-    return state.dismiss(_added(df), actions(df, find_cuts(df, USER, "ts")), USER, ORDER)
+    return state.dismiss(_added(df), actions(df, find_cuts(df, USER, "ts", then="seq")), USER, ORDER)
 
 
 def remaining_rows(spark, folder):
     """Purchases remove the newest row, errors clear the store."""
     df = events(spark, folder)
-    log = actions(df, find_cuts(df, USER, "ts"))
+    log = actions(df, find_cuts(df, USER, "ts", then="seq"))
     clears = log.withColumn("kind", F.when(F.col("id").isNull(), "REMOVE").otherwise(F.col("kind")))
     return state.remove(_added(df), clears, USER, ORDER)
 

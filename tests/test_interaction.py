@@ -163,7 +163,7 @@ def test_cuts_do_not_depend_on_the_session_zone(spark, kind):
         df = spark.createDataFrame(rows, f"k bigint, ts {kind}")
         whole = sessions(df, ["k"], "ts", 300 * SEC, cuts=None).collect()
         cut = sessions(df, ["k"], "ts", 300 * SEC, chunk_rows=20).collect()
-        assert find_cuts(df, ["k"], "ts", 20).slot_chunks.select("_chunk").distinct().count() > 10
+        assert len(chunk_sizes(df, ["ts"], find_cuts(df, ["k"], "ts", 20))) > 20
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert sorted(map(tuple, cut)) == sorted(map(tuple, whole))
@@ -174,9 +174,8 @@ def test_a_third_of_the_rows_is_heavy(spark, monkeypatch):
     rows = [(k, at(t)) for t in range(900) for k in (0 if t % 3 == 0 else t,)]
     df = spark.createDataFrame(rows, "k bigint, ts timestamp_ntz")
     cuts = find_cuts(df, ["k"], "ts")
-    assert cuts.slot_counts.count() == 1
-    sizes = timeline.Timeline(df, ["k"], ["ts"], cuts).df.filter("_chunk >= 0").groupBy("_chunk").count()
-    sizes = [r["count"] for r in sizes.collect()]
+    assert cuts.borders.count() == 1
+    sizes = chunk_sizes(df, ["ts"], cuts)
     assert sum(sizes) == 300 and max(sizes) <= 900 / 32 + 10
 
 
@@ -186,5 +185,37 @@ def test_cuts_follow_the_heavy_key(spark):
     df = spark.createDataFrame(rows, "k bigint, ts timestamp")
     assert find_cuts(df, ["k"], "ts") is None
     cuts = find_cuts(df, ["k"], "ts", chunk_rows=50)
-    assert cuts.slot_counts.count() == 1
-    assert cuts.slot_chunks.select("_chunk").distinct().count() >= 15
+    assert cuts.borders.count() == 1
+    assert len(chunk_sizes(df, ["ts"], cuts)) >= 15
+
+
+def chunk_sizes(df, order, cuts):
+    cut = timeline.Timeline(df, ["k"], order, cuts).df.filter("_chunk >= 0")
+    return [r["count"] for r in cut.groupBy("k", "_chunk").count().collect()]
+
+
+def in_one_hour(n):
+    return [(1, at(0) + i * dt.timedelta(milliseconds=150), i) for i in range(n)]
+
+
+HEAVY = {
+    "one hour of a year": in_one_hour(4000) + [(9, at(0) + i * dt.timedelta(hours=80), i) for i in range(100)],
+    "outliers": in_one_hour(4000)
+    + [(1, dt.datetime(1970, 1, 1), 0), (1, dt.datetime(9999, 12, 31), 1), (2, dt.datetime(9999, 12, 31), 0)],
+    "one time": [(1, at(0), i) for i in range(4000)],
+    "one time among others": in_one_hour(2000) + [(1, at(100), 5000 + i) for i in range(3000)],
+    "no time": [(1, None if i % 2 else at(i), i) for i in range(1000)],
+}
+
+
+@pytest.mark.parametrize("case", HEAVY)
+def test_heavy_keys_are_cut_by_their_own_times(spark, case):
+    df = spark.createDataFrame(HEAVY[case], "k bigint, ts timestamp_ntz, seq bigint")
+    cuts = find_cuts(df, ["k"], "ts", chunk_rows=100, then="seq")
+    if case != "no time":  # rows without a time stay in one chunk
+        assert max(chunk_sizes(df, ["ts", "seq"], cuts)) <= 200
+    ordered = df.withColumn("value", F.col("seq") % 7)
+    whole, cut = (
+        changes_only(ordered, ["k"], ["ts", "seq"], F.col("value") < 3, "low", cuts=c) for c in (None, cuts)
+    )
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
