@@ -233,7 +233,8 @@ def candidate_sets(df: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
                     names=["cluster", "doc_id", "shingles", "bits"],
                 )
 
-    rows = payload(df).join(clusters, "doc_id").select("cluster", "doc_id", "payload")
+    # By shuffle at every size: the clusters grow with the data, and so does what travels.
+    rows = payload(df).join(clusters.hint("merge"), "doc_id").select("cluster", "doc_id", "payload")
     return rows.mapInArrow(run, "cluster long, doc_id long, shingles array<long>, bits array<long>")
 
 
