@@ -1,4 +1,5 @@
 from siteops.functions.scalars import (
+    as_flag,
     cookie_text,
     first_truthy,
     format_value,
@@ -18,6 +19,7 @@ from siteops.functions.scalars import (
 )
 
 __all__ = [
+    "as_flag",
     "cookie_text",
     "first_truthy",
     "format_value",

@@ -88,6 +88,11 @@ def next_id(count: Column) -> Column:
     return (count % MAX_SAFE_INTEGER).cast("string")
 
 
+def as_flag(text: Column) -> Column:
+    """Boolean that a text stands for, as Spark casts it; null for any other text."""
+    return text.try_cast("boolean")
+
+
 def is_empty(items: Column) -> Column:
     """True for a null or zero-length array."""
     return F.coalesce(F.size(items), F.lit(0)) <= 0

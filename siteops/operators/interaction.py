@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siteops.operators.timeline import CHUNK, Timeline
+from siteops.operators.timeline import CHUNK, Timeline, settle
 
 # Fixed values of the observed behaviour.
 CLOSE_DELAY = dt.timedelta(milliseconds=150)
@@ -32,7 +32,7 @@ def sessions(
         (F.col("session_start") == F.min("session_start").over(chunk))
         | (F.col("session_start") == F.max("session_start").over(chunk))
     ) & (F.col(CHUNK) >= 0)
-    spans = spans.withColumn("at_edge", at_edge)
+    spans = settle(spans.withColumn("at_edge", at_edge), line.cuts)
     columns = [*key, "session_start", "session_end", "n_events"]
     edges = spans.filter("at_edge").select(*columns)
     merged = _islands(

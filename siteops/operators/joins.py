@@ -6,29 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_ROWS = 100_000
-MAX_BYTES = 64 << 20
-
-
-def is_small(dim: DataFrame, max_rows: int = MAX_ROWS) -> bool:
-    """Measures `dim`, reading at most `max_rows + 1` rows; with `max_rows` 0 nothing is read."""
-    if max_rows <= 0:
-        return False
-    size = dim.limit(max_rows + 1).agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-    ).first()
-    return size["rows"] <= max_rows and size["bytes"] <= MAX_BYTES
-
-
-def small_side(dim: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Marks `dim` for broadcast if it measures small; a larger one is left to a shuffle join.
-
-    Without the mark Spark joins by key and splits skewed partitions at run time.
-    """
-    return F.broadcast(dim) if is_small(dim, max_rows) else dim
-
-
 def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal columns where null equals null, as it does in grouping; keeps `left`'s columns."""
     other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})

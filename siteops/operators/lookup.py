@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteops.functions import first_truthy, format_value, has_colour, strip_colons, style_line, truthy
-from siteops.operators.joins import MAX_ROWS, is_small, small_side
 
 # Fixed values of the observed behaviour: theme name and the selector that precedes its block.
 THEMES = {"light": "", "dark": ".dark"}
@@ -20,17 +19,17 @@ def lookup(
     key: str,
     gate: Column | None = None,
     gate_only: bool = False,
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Rows that pass `gate` and whose `key` is in `dim`, with the dim's columns.
 
-    A null gate is false. `gate_only` tests membership and adds no column.
+    A null gate is false. `gate_only` tests membership and adds no column. The sizes that Spark knows
+    of the two sides, from files or at run time, decide how they are joined.
     """
     if gate is not None:
         df = df.filter(F.coalesce(gate, F.lit(False)))
     if gate_only:
-        return df.join(small_side(dim.select(key).distinct(), max_rows), key, "left_semi")
-    return df.join(small_side(dim, max_rows), key)
+        return df.join(dim.select(key), key, "left_semi")
+    return df.join(dim, key)
 
 
 def lookup_default(
@@ -38,22 +37,20 @@ def lookup_default(
     dictionary: DataFrame,
     choices: Mapping[str, str],
     suffix: str = "_text",
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Looks up one or more variant choices; a missing choice takes the default of its axis.
 
     `dictionary` has axis, value, text and is_default; `choices` maps an axis to the column that
-    holds the choice. A choice that the dictionary does not know gives null.
+    holds the choice. A choice that the dictionary does not know gives null. The dictionary is one of
+    texts that people write, small enough to be sent to every task.
     """
-    small = is_small(dictionary, max_rows)
     for axis, column in choices.items():
         entries = dictionary.filter(F.col("axis") == axis)
         named = entries.select(F.col("value").alias("_value"), F.col("text").alias(axis + suffix))
         missing = entries.filter("is_default").select(
             F.lit(None).cast("string").alias("_value"), F.col("text").alias(axis + suffix)
         )
-        side = named.unionByName(missing)
-        side = F.broadcast(side) if small else side
+        side = F.broadcast(named.unionByName(missing))
         df = df.join(side, F.col(column).eqNullSafe(F.col("_value")), "left").drop("_value")
     return df
 
@@ -70,13 +67,13 @@ def resolve_config(
     fields: Mapping[str, Column] | None = None,
     payload: Column | None = None,
     name: str = "config",
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Adds the config row of an item as struct `name`, null when there is none.
 
     If the item has a text field named by `key`, that text is the series to look for; else the same
     field of its nested payload; else `key` itself. When the config has no such series, `key` is
-    looked up instead. `config` has one row per `series`.
+    looked up instead. `config` has one row per `series` of a chart, as written by hand, and is sent to
+    every task.
     """
     steps = []
     if fields:
@@ -85,7 +82,7 @@ def resolve_config(
         steps.append(payload[F.col("_key")])
     out = df.withColumn("_key", key).withColumn("_named", F.coalesce(*steps, F.col("_key")))
     entry = F.struct(*config.columns)
-    side = small_side(config.select(F.col("series").alias("_series"), entry.alias("_entry")), max_rows)
+    side = F.broadcast(config.select(F.col("series").alias("_series"), entry.alias("_entry")))
     for column in ("_named", "_key"):
         renamed = side.withColumnsRenamed({"_series": f"_s{column}", "_entry": f"_e{column}"})
         out = out.join(renamed, F.col(column) == F.col(f"_s{column}"), "left")
@@ -100,14 +97,13 @@ def resolve_label(
     payload: Column | None = None,
     fallback: Column | None = None,
     name: str = "label",
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Adds the label of each item; `keys` are the candidates for the lookup key, in order.
 
     Tooltip rows use (nameKey, name, dataKey) with the name as fallback; legends use (nameKey,
     dataKey) without one.
     """
-    out = resolve_config(df, config, payload_key(*keys), fields, payload, "_config", max_rows)
+    out = resolve_config(df, config, payload_key(*keys), fields, payload, "_config")
     label = F.col("_config.label")
     if fallback is not None:
         label = F.coalesce(truthy(label), fallback)
@@ -123,26 +119,26 @@ def tooltip_title(
     item_name: Column,
     payload: Column | None = None,
     fields: Mapping[str, Column] | None = None,
-    formatter: Callable[[Column], Column] | None = None,
+    formatter: Callable[[Column, Column | None], Column] | None = None,
     name: str = "title",
-    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Title of a tooltip, from its first item.
 
     Without a label key, a text label is looked up and used as it is when the config lacks it.
-    Otherwise the item's own label applies. An empty title is null.
+    Otherwise the item's own label applies. An empty title is null. `formatter(title, payload)` has the
+    last word.
     """
     none = F.lit(None).cast("string")
     label, label_key = none if label is None else label, none if label_key is None else label_key
     out = df.withColumns({"_text": label, "_label_key": truthy(label_key)})
     keys = payload_key(F.col("_label_key"), data_key, item_name)
-    out = resolve_config(out, config, keys, fields, payload, "_item", max_rows)
-    out = resolve_config(out, config, F.col("_text"), name="_named", max_rows=max_rows)
+    out = resolve_config(out, config, keys, fields, payload, "_item")
+    out = resolve_config(out, config, F.col("_text"), name="_named")
     by_text = F.col("_label_key").isNull() & F.col("_text").isNotNull()
     title = F.when(by_text, F.coalesce(truthy(F.col("_named.label")), F.col("_text"))).otherwise(
         F.col("_item.label")
     )
-    title = formatter(title) if formatter is not None else truthy(title)
+    title = formatter(title, payload) if formatter is not None else truthy(title)
     return out.withColumn(name, title).select(*df.columns, name)
 
 
@@ -210,30 +206,53 @@ def series_rows(
     measures: Sequence[str],
     config: DataFrame,
     payload: Column | None = None,
-    formatter: Callable[[Column, Column, Column], Column] | None = None,
-    max_rows: int = MAX_ROWS,
+    formatter: Callable[[Column, Column, Column, Column, Column], Column] | None = None,
+    name_key: str | None = None,
 ) -> DataFrame:
     """One row per measure of each point: ids, name, value, label and formatted text.
 
-    The label is the configured one, else the measure's name. Text is "0" for zero and null for a
-    missing value. `formatter(value, name, pos)` replaces the text of present values; it takes and
-    returns columns, and a pandas UDF serves as well as an expression.
+    `name_key` is looked up in place of the measure's name. The label is the configured one, else the
+    measure's name. Text is "0" for zero and null for a missing value. `formatter(value, name, item,
+    index, payload)` replaces the text of present values; it takes and returns columns, the item being a
+    struct of name, dataKey and value.
     """
-    position = F.array_position(F.array(*[F.lit(m) for m in measures]), F.col("name")) - 1
-    long = df.select(
-        *ids,
-        *([payload.alias("_payload")] if payload is not None else []),
-        *[F.col(m).cast("double").alias(m) for m in measures],
-    )
-    carried = [*ids, *(["_payload"] if payload is not None else [])]
-    rows = long.unpivot(carried, list(measures), "name", "value")
-    nested = F.col("_payload") if payload is not None else None
-    rows = resolve_label(
-        rows, config, [F.col("name")], {"name": F.col("name"), "dataKey": F.col("name")}, nested,
-        fallback=F.col("name"), max_rows=max_rows,
-    )
+    nested = F.lit(None).cast("map<string,string>") if payload is None else payload
+    long = df.select(*ids, nested.alias("_payload"), *[F.col(m).cast("double").alias(m) for m in measures])
+    rows = long.unpivot([*ids, "_payload"], list(measures), "name", "value")
+    keys = [F.lit(name_key), F.col("name")]
+    if payload is None and name_key not in ("name", "dataKey"):
+        # Without a payload the label follows from the measure alone, so it is resolved once for each.
+        names = df.sparkSession.createDataFrame([(m,) for m in measures], "name string")
+        labels = resolve_label(names, config, keys, {"name": F.col("name"), "dataKey": F.col("name")}, fallback=F.col("name"))
+        rows = rows.join(F.broadcast(labels), "name")
+    else:
+        rows = resolve_label(
+            rows, config, keys, {"name": F.col("name"), "dataKey": F.col("name")}, F.col("_payload"),
+            fallback=F.col("name"),
+        )
     text = format_value(F.col("value"))
     if formatter is not None:
+        index = F.array_position(F.array(*[F.lit(m) for m in measures]), F.col("name")) - 1
+        item = F.struct("name", F.col("name").alias("dataKey"), "value")
         usable = F.col("value").isNotNull() & truthy(F.col("name")).isNotNull()
-        text = F.when(usable, formatter(F.col("value"), F.col("name"), position)).otherwise(text)
+        made = formatter(F.col("value"), F.col("name"), item, index, F.col("_payload"))
+        text = F.when(usable, made).otherwise(text)
     return rows.select(*ids, "name", "value", "label", text.alias("text"))
+
+
+def legend_rows(
+    df: DataFrame,
+    ids: Sequence[str],
+    config: DataFrame,
+    data_key: Column,
+    name_key: Column | None = None,
+    fields: Mapping[str, Column] | None = None,
+    payload: Column | None = None,
+) -> DataFrame:
+    """The legend entry of each item: ids, series, and the label of its config, null where it has none.
+
+    The series is the name key, else the item's data key, else "value".
+    """
+    keys = [data_key] if name_key is None else [name_key, data_key]
+    out = resolve_label(df, config, keys, fields, payload)
+    return out.select(*ids, payload_key(*keys).alias("series"), "label")

@@ -21,10 +21,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from siteops.functions import truthy
+from siteops.functions import as_flag, truthy
 from siteops.operators.joins import join_same
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
-from siteops.operators.timeline import CHUNK, Timeline, settle
+from siteops.operators.storage import shared_folder
+from siteops.operators.timeline import CHUNK, Timeline
 
 TIMER_SEQ = -(1 << 63)  # a timer due at the time of an action fires before it
 END_OF_TIME = "9999-12-31 00:00:00"
@@ -70,7 +71,7 @@ def _is(kind: str) -> Column:
 
 
 def _open_value() -> Column:
-    return F.when(_is("UPDATE"), F.col("patch")["open"].cast("boolean")).otherwise(_is("ADD"))
+    return F.when(_is("UPDATE"), as_flag(F.col("patch")["open"])).otherwise(_is("ADD"))
 
 
 def _sets_open() -> Column:
@@ -240,7 +241,9 @@ def _replay_many(line: Timeline, k: int, delay: dt.timedelta, fields: Sequence[s
         *keys, "id", place.alias("added"), gone.alias("gone"), "dismissed_at", "removed_at", "cause",
         *fields,
     )
-    return _final_fields(settle(fates, line.cuts), log, line, fields)
+    # Stored, as the rows are needed twice and the ordered pass should run once.
+    shared_folder(fates.sparkSession)
+    return _final_fields(fates.checkpoint(), log, line, fields)
 
 
 def _final_fields(

@@ -2,49 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteops.operators.hierarchy import flatten
-from siteops.operators.joins import MAX_ROWS, small_side
 
 CATCH_ALL = "*"
 
 
 def url_path(url: Column) -> Column:
     """Path of an address; "/" where it has none, null where it is not an address."""
-    path = F.try_parse_url(url, F.lit("PATH"))
-    return F.when(path == "", "/").otherwise(path)
+    return F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), "^$", "/")
+
+
+def link_path(href: Column, hosts: Sequence[str] = ()) -> Column:
+    """Path that a link leads to, without query and fragment; null where it leaves the site or the page.
+
+    Addresses of other hosts than `hosts` leave the site, as do mail addresses and the like. A bare
+    fragment or query stays on the page.
+    """
+    scheme = F.lower(F.regexp_extract(href, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_extract(href, "^(?:[A-Za-z]+:)?//([^/?#]*)", 1))
+    beyond = F.regexp_extract(href, "^(?:[A-Za-z]+:)?//[^/?#]*([^?#]*)", 1)
+    own = F.regexp_replace(href, "[?#].*$", "")
+    return (
+        F.when(host.isin(*(h.lower() for h in hosts)) & scheme.isin("", "http", "https"), F.regexp_replace(beyond, "^$", "/"))
+        .when((scheme == "") & ~href.startswith("//"), F.nullif(own, F.lit("")))
+    )
 
 
 def _exact(routes: DataFrame) -> DataFrame:
     return routes.filter(F.col("path") != CATCH_ALL)
 
 
-def resolve_route(paths: DataFrame, routes: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Adds `route`: the first route that serves `path`, in priority order.
+def resolve_route(paths: DataFrame, routes: DataFrame, catch_all: bool | None = None) -> DataFrame:
+    """Adds `route`: the route of exactly the row's `path`, else the catch-all, else null.
 
-    A route serves its exact path, the catch-all serves everything. Without a catch-all, other paths
-    have a null route. `routes` has priority and path.
+    `routes` has a column `path`. Whether it has the catch-all is looked up, unless the caller says so.
     """
-    last = routes.filter(F.col("path") == CATCH_ALL).select(F.min("priority")).scalar()
-    exact = _exact(routes).groupBy("path").agg(F.min("priority").alias("_priority"))
-    out = paths.join(small_side(exact, max_rows), "path", "left").withColumn("_last", last)
-    first = F.col("_priority").isNotNull() & (
-        F.col("_last").isNull() | (F.col("_priority") < F.col("_last"))
-    )
-    route = F.when(first, F.col("path")).when(F.col("_last").isNotNull(), CATCH_ALL)
+    if catch_all is None:
+        other = routes.filter(F.col("path") == CATCH_ALL).select(F.max("path")).scalar()
+    else:
+        other = F.lit(CATCH_ALL if catch_all else None)
+    exact = _exact(routes).select("path").distinct().withColumn("_exact", F.lit(True))
+    out = paths.join(exact, "path", "left")
+    route = F.when(F.col("_exact"), F.col("path")).otherwise(other)
     return out.withColumn("route", route).select(*paths.columns, "route")
 
 
-def not_found(paths: DataFrame, routes: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def not_found(paths: DataFrame, routes: DataFrame) -> DataFrame:
     """Accesses per path that no exact route serves: path, n_accesses.
 
     Counted before the join, so a path that is asked for very often is one row per task by then.
     Addresses without a readable path count under null.
     """
     counts = paths.groupBy("path").agg(F.count("*").alias("n_accesses"))
-    known = _exact(routes).select("path")
-    return counts.join(small_side(known, max_rows), "path", "left_anti")
+    return counts.join(_exact(routes).select("path"), "path", "left_anti")
 
 
 def nav_links(menus: DataFrame, nav_items: DataFrame, quick_actions: DataFrame) -> DataFrame:
@@ -72,8 +86,11 @@ def page_links(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ())
     return pages.select(*keep, F.explode(targets).alias("href"))
 
 
-def dead_links(links: DataFrame, routes: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Link targets that only the catch-all would serve, with their number of links."""
-    counts = links.groupBy("href").agg(F.count("*").alias("n_links"))
-    known = _exact(routes).select(F.col("path").alias("href"))
-    return counts.join(small_side(known, max_rows), "href", "left_anti")
+def dead_links(links: DataFrame, routes: DataFrame, hosts: Sequence[str] = ()) -> DataFrame:
+    """Link targets of this site that only the catch-all would serve: href, n_links.
+
+    Targets are reduced to their path; those on other hosts than `hosts` are left out (see `link_path`).
+    """
+    paths = links.select(link_path(F.col("href"), hosts).alias("href")).filter("href IS NOT NULL")
+    counts = paths.groupBy("href").agg(F.count("*").alias("n_links"))
+    return counts.join(_exact(routes).select(F.col("path").alias("href")), "href", "left_anti")

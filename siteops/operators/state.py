@@ -49,7 +49,7 @@ def apply_patches(
         for f in fields
     ]
     merged = patches.groupBy(*key).agg(*newest)
-    out = base.join(merged, list(key), "left")
+    out = join_same(base, merged, list(key))
     kinds = {f.name: f.dataType for f in base.schema}
     values = {
         f: F.when(F.col(f"_p_{f}").isNotNull(), F.col(f"_p_{f}.v").cast(kinds[f])).otherwise(F.col(f))

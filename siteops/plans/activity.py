@@ -107,7 +107,7 @@ def _action_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fate_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return replay_stream(_action_stream(spark, folder), USER, 1, DAY)
+    return replay_stream(_action_stream(spark, folder), USER, 1, DAY, lateness=dt.timedelta(0))
 
 
 def _plain_times(df: DataFrame, *columns: str) -> DataFrame:
@@ -123,7 +123,7 @@ def replay_as_stream(spark, folder):
 
 def replay_in_batches(spark, folder):
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-    replays = ReplayBatches(f"{base}/slots", parquet_sink(f"{base}/out"), USER, 1, DAY)
+    replays = ReplayBatches(f"{base}/slots", parquet_sink(f"{base}/out"), USER, 1, DAY, lateness=dt.timedelta(0))
     stream = _action_stream(spark, folder)
     fan_out(stream, {"replay": replays}, f"{base}/state", availableNow=True).awaitTermination()
     out = spark.read.parquet(f"{base}/out").select("user_id", "id", "added_at", "removed_at", "cause")
@@ -278,10 +278,14 @@ def panel_state_cut(spark, folder):
     return _toggle_state(spark, folder, chunk_rows=CUT_ROWS)
 
 
+def _newest_time(spark: SparkSession, folder: str) -> Column:
+    return events(spark, folder).select(F.max("ts")).scalar()
+
+
 def panel_cookies(spark, folder):
     """The stored panel state of each user: desktop writes only, kept for seven days."""
     panels = _toggle_state(spark, folder).filter(F.col("device") == "desktop")
-    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    as_of = _newest_time(spark, folder)
     latest = interaction.ttl_latest(panels, USER, ORDER, F.col("is_open"), as_of)
     return latest.select(
         "user_id", fx.cookie_text("panel", F.col("value"), 604800).alias("cookie"), "expires_at"
@@ -289,7 +293,7 @@ def panel_cookies(spark, folder):
 
 
 def unexpired_values(spark, folder):
-    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    as_of = _newest_time(spark, folder)
     return interaction.ttl_latest(
         events(spark, folder), ["user_id", "event_type"], ORDER, F.col("value"), as_of
     )
@@ -297,7 +301,8 @@ def unexpired_values(spark, folder):
 
 def values_with_ttl_as_stream(spark, folder):
     stream = ttl_stream(
-        _event_stream(spark, folder), ["user_id", "event_type"], ORDER, F.col("props"), 2 * DAY
+        _event_stream(spark, folder), ["user_id", "event_type"], ORDER, F.col("props"), 2 * DAY,
+        lateness=dt.timedelta(0),
     )
     out = run_to_parquet(stream, "update").drop("batch_id")
     return _plain_times(out, "written_at", "expires_at")

@@ -232,6 +232,18 @@ SELECT event_id,
          AS label
 FROM keyed LEFT JOIN config a ON a.series = named LEFT JOIN config b ON b.series = key"""
 
+_EVENT_LEGENDS = f"""
+WITH {_CONFIG}, {_ITEMS},
+keyed AS (
+  SELECT *, coalesce(nullif(name_key, ''), event_type) AS key,
+         CASE coalesce(nullif(name_key, ''), event_type)
+           WHEN 'k' THEN k WHEN 'event_type' THEN event_type
+           ELSE coalesce(nullif(name_key, ''), event_type) END AS named
+  FROM items
+)
+SELECT event_id, key AS series, CASE WHEN a.series IS NOT NULL THEN a.label ELSE b.label END AS label
+FROM keyed LEFT JOIN config a ON a.series = named LEFT JOIN config b ON b.series = key"""
+
 _EVENT_TITLES = f"""
 WITH {_CONFIG}, {_ITEMS},
 keyed AS (
@@ -293,7 +305,9 @@ SQL = {
     "replay_as_stream": _STREAM_FATES,
     "replay_in_batches": f"""
 SELECT user_id, id, added_at, removed_at, cause FROM ({_REPLAY_1})
-WHERE removed_at <= (SELECT max(ts) FROM events)""",
+-- Actions at the watermark, the newest time, still wait.
+WHERE removed_at < (SELECT max(ts) FROM events)
+   OR (removed_at = (SELECT max(ts) FROM events) AND cause = 'expiry')""",
     "fan_out_twice": f"""
 SELECT sink, cause, count(*) AS n_rows, count(DISTINCT id) AS n_ids
 FROM ({_STREAM_FATES}), (VALUES ('first'), ('second')) s(sink) GROUP BY sink, cause""",
@@ -355,14 +369,14 @@ WHERE session_end + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= {_SEEN}""",
 SELECT user_id, 'panel=' || CASE WHEN is_open THEN 'true' ELSE 'false' END
          || '; path=/; max-age=604800' AS cookie, ts + INTERVAL 7 DAY AS expires_at
 FROM (
-  SELECT * FROM ({_PANELS}) WHERE device = 'desktop' AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+  SELECT * FROM ({_PANELS}) WHERE device = 'desktop' AND ts <= (SELECT max(ts) FROM events)
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1
-) WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00'""",
+) WHERE ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)""",
     "unexpired_values": """
 SELECT user_id, event_type, value, ts AS written_at, ts + INTERVAL 7 DAY AS expires_at FROM (
-  SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-31 00:00:00'
+  SELECT * FROM events WHERE ts <= (SELECT max(ts) FROM events)
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1
-) WHERE ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-31 00:00:00'""",
+) WHERE ts + INTERVAL 7 DAY > (SELECT max(ts) FROM events)""",
     "values_with_ttl_as_stream": f"""
 WITH w AS (
   SELECT user_id, event_type, props AS value, ts AS written_at, ts + INTERVAL 2 DAY AS expires_at,
@@ -390,6 +404,10 @@ SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS pr
        CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'open' END AS status_text
 FROM orders""",
     "event_labels": _EVENT_LABELS,
+    "event_legends": _EVENT_LEGENDS,
+    "skeleton_widths": """
+SELECT event_type, count(*) AS n_in_range, count(*) AS n_same, count(*) > 40 AS varied
+FROM events GROUP BY event_type""",
     "event_titles": _EVENT_TITLES,
     "series_colours": f"""
 WITH {_COLOURED}

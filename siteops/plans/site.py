@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteops import functions as fx
 from siteops.operators import hierarchy, lookup, routing
-from siteops.operators.joins import small_side
 from siteops.sources import prepare_streams, read_table, stream_table
 from siteops.streaming import not_found_stream, run_to_parquet
 
@@ -59,7 +58,7 @@ def supplier_menus(spark, folder):
     # Nations without suppliers are added, rather than kept by an outer join on 25 keys.
     childless = nations.join(suppliers.select("s_nationkey").distinct(), "s_nationkey", "left_anti")
     rows = (
-        subs.join(small_side(nations), "s_nationkey")
+        subs.join(nations, "s_nationkey")
         .unionByName(childless, allowMissingColumns=True)
         .select(
             "block",
@@ -88,7 +87,7 @@ def nations_with_suppliers(spark, folder):
     nations = read_table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
     present = read_table(spark, folder, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
     return lookup.lookup(
-        nations, present, "n_nationkey", F.col("n_regionkey") > 0, gate_only=True, max_rows=0
+        nations, present, "n_nationkey", F.col("n_regionkey") > 0, gate_only=True
     )
 
 
@@ -145,6 +144,26 @@ def event_labels(spark, folder):
     return out.select("event_id", "label")
 
 
+def event_legends(spark, folder):
+    """Legend entries of events, by their name key, else their type; unknown series have no label."""
+    return lookup.legend_rows(
+        _labelled_events(spark, folder), ["event_id"], event_config(spark), F.col("event_type"),
+        F.col("name_key"), {"event_type": F.col("event_type")}, F.col("payload"),
+    )
+
+
+def skeleton_widths(spark, folder):
+    """Random widths of events: how many are in the range, and whether one seed gives one result."""
+    widths = read_table(spark, folder, "events").select(
+        "event_type", fx.skeleton_width(7).alias("a"), fx.skeleton_width(7).alias("b")
+    )
+    return widths.groupBy("event_type").agg(
+        F.count_if(F.col("a").between(50, 89)).alias("n_in_range"),
+        F.count_if(F.col("a") == F.col("b")).alias("n_same"),
+        (F.count_distinct("a") > 20).alias("varied"),
+    )
+
+
 def event_titles(spark, folder):
     """Titles by text label where there is no label key, else by the item."""
     items = _labelled_events(spark, folder)
@@ -178,9 +197,11 @@ def colour_lines(spark, folder):
         "line", fx.style_line(F.col("series"), F.col("colour"))
     )
     keys = ["chart", "variant"]
-    kept = lookup.rollup_text(lines, keys, ["pos", "series"], "line", name="with_empty")
-    dense = lookup.rollup_text(lines, keys, ["pos", "series"], "line", empty_lines=False, name="dense")
-    return kept.join(dense, keys)
+    rows = F.sort_array(F.collect_list(F.struct("pos", "series", "line")))
+    texts = F.transform(rows, lambda r: r["line"])
+    return lines.groupBy(*keys).agg(
+        F.array_join(texts, "\n", "").alias("with_empty"), F.array_join(texts, "\n").alias("dense")
+    )
 
 
 def chart_styles(spark, folder):
@@ -204,8 +225,8 @@ def measure_rows_with_unit(spark, folder):
     config = spark.createDataFrame(MEASURE_LABELS, "pos int, series string, label string")
     return lookup.series_rows(
         read_table(spark, folder, "orders"), ["o_orderkey"], ["o_totalprice"], config,
-        formatter=lambda value, name, pos: F.concat(
-            fx.format_value(value), F.lit(" of "), name, F.lit(" #"), pos.cast("string")
+        formatter=lambda value, name, item, index, payload: F.concat(
+            fx.format_value(item["value"]), F.lit(" of "), name, F.lit(" #"), index.cast("string")
         ),
     ).select("o_orderkey", "label", "text")
 
@@ -223,18 +244,18 @@ def _routes(spark, folder):
 
 
 def page_routes(spark, folder):
-    return routing.resolve_route(_paths(spark, folder), _routes(spark, folder), max_rows=0)
+    return routing.resolve_route(_paths(spark, folder), _routes(spark, folder), catch_all=True)
 
 
 def unrouted_accesses(spark, folder):
-    return routing.not_found(_paths(spark, folder), _routes(spark, folder), max_rows=0)
+    return routing.not_found(_paths(spark, folder), _routes(spark, folder))
 
 
 def unrouted_accesses_as_stream(spark, folder):
     prepare_streams(spark)
     pages = stream_table(spark, f"{folder}/pages*.parquet", "pages")
     paths = pages.select(routing.url_path(F.col("url")).alias("path"))
-    out = run_to_parquet(not_found_stream(paths, _routes(spark, folder), max_rows=0), "update")
+    out = run_to_parquet(not_found_stream(paths, _routes(spark, folder)), "update")
     return out.groupBy("path").agg(F.max_by("n_accesses", "batch_id").alias("n_accesses"))
 
 
@@ -242,7 +263,7 @@ def dead_page_links(spark, folder):
     """Link targets in the crawled HTML that are no crawled page's path."""
     pages = read_table(spark, folder, "pages")
     routes = _paths(spark, folder).select("path").distinct()
-    return routing.dead_links(routing.page_links(pages), routes, max_rows=0)
+    return routing.dead_links(routing.page_links(pages), routes)
 
 
 def scalar_values(spark, folder):

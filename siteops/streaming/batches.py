@@ -18,16 +18,13 @@ from siteops.operators.replay import replay_with_timers
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
 from siteops.streaming.fanout import Sink
 
-# A new action gets an even place among four; the two places after an ADD are for restating it.
-PLACES = 4
-
 
 class ReplayBatches:
     """Sink for a stream of actions that passes on the fate of every row that left its store.
 
     `folder` keeps the state in two slots that are written in turn, so a batch that is delivered
-    again finds what it read before. The watermark is the largest time seen minus `lateness`; later
-    actions are dropped. The state is read and written as a whole, so batches should be large.
+    again finds what it read before. The watermark is the largest time seen minus `lateness`; actions
+    before it are dropped. Those at the watermark wait, as more of the same time may follow. The state is read and written as a whole, so batches should be large.
     """
 
     def __init__(
@@ -38,7 +35,8 @@ class ReplayBatches:
         k: int = STORE_LIMIT,
         delay: dt.timedelta = REMOVE_DELAY,
         fields: Sequence[str] = (),
-        lateness: dt.timedelta = dt.timedelta(0),
+        *,
+        lateness: dt.timedelta,
         **options,
     ):
         self.folder, self.sink, self.keys, self.k = folder, sink, list(keys), k
@@ -47,8 +45,7 @@ class ReplayBatches:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = [*self.keys, "ts", "seq", "kind", "id", "patch"]
-        seq = F.col("seq").cast("bigint") * PLACES
-        log = batch.withColumn("seq", seq).select(*columns)
+        log = batch.withColumn("seq", F.col("seq").cast("bigint")).select(*columns)
         before, log = self._state(spark, batch_id - 1, log)
         newest = batch.agg(F.max("ts")).first()[0]
         mark = max((m for m in (before, newest and newest - self.lateness) if m), default=None)
@@ -56,14 +53,14 @@ class ReplayBatches:
             return
         upto = F.lit(mark).cast(batch.schema["ts"].dataType)
         fates = replay_with_timers(
-            log.filter(F.col("ts") <= upto), self.keys, self.k, self.delay, self.fields, **self.options
+            log.filter(F.col("ts") < upto), self.keys, self.k, self.delay, self.fields, **self.options
         )
         fates.persist()
         try:
             gone = F.coalesce(F.col("removed_at") <= upto, F.lit(False))
             self.sink(fates.filter(gone).drop("added_seq", "dismissed_at"), batch_id)
             kept = self._restated(fates.filter(~gone)).select(*columns)
-            waiting = log.filter(F.col("ts") > upto)
+            waiting = log.filter(F.col("ts") >= upto)
             # The mark travels with the state, on a row of its own.
             state = kept.unionByName(waiting).withColumn("mark", F.lit(None).cast("timestamp"))
             note = spark.createDataFrame([(mark,)], "mark timestamp")
@@ -86,11 +83,14 @@ class ReplayBatches:
                 raise
             return None, log  # nothing written yet
         mark = state.agg(F.max("mark")).first()[0]
-        on_time = log.filter(F.col("ts") > F.lit(mark).cast(log.schema["ts"].dataType))
+        on_time = log.filter(F.col("ts") >= F.lit(mark).cast(log.schema["ts"].dataType))
         return mark, state.filter("mark IS NULL").drop("mark").unionByName(on_time)
 
     def _restated(self, stored: DataFrame) -> DataFrame:
-        """Stored rows as actions: added with their fields, dismissed, and reopened or closed."""
+        """Stored rows as actions: added with their fields, dismissed, and reopened or closed.
+
+        The places after an ADD may coincide with those of other rows' actions, which don't touch it.
+        """
         pairs = [x for f in self.fields for x in (F.lit(f), F.col(f))]
         none = F.lit(None).cast("map<string,string>")
         fields = F.create_map(*pairs) if pairs else none

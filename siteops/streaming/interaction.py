@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteops.operators.interaction import STATE_TTL
-from siteops.operators.joins import MAX_ROWS, small_side
 from siteops.operators.routing import CATCH_ALL
 
 MICRO = dt.timedelta(microseconds=1)
@@ -101,13 +100,14 @@ def ttl_stream(
     order: Sequence[str],
     value: Column,
     ttl: dt.timedelta = STATE_TTL,
-    lateness: dt.timedelta = dt.timedelta(0),
+    *,
+    lateness: dt.timedelta,
 ) -> DataFrame:
     """Latest value per key as a stream of changes: value, written_at, expires_at, live.
 
     The newest write of a batch emits a live row and renews the lifetime. A value that expires, when
     the watermark passes its expiry or a later write comes after it, is emitted with `live` false.
-    Lifetimes are in event time. Update mode.
+    Lifetimes are in event time. Writes that are `lateness` behind, or more, are dropped. Update mode.
     """
     ts, seq = order
     rows = df.withWatermark(ts, f"{lateness // dt.timedelta(milliseconds=1)} milliseconds").select(
@@ -128,11 +128,11 @@ def ttl_stream(
     )
 
 
-def not_found_stream(paths: DataFrame, routes: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def not_found_stream(paths: DataFrame, routes: DataFrame) -> DataFrame:
     """Running count of accesses per path that no exact route serves. Update or complete mode.
 
     `routes` is a static table. Counts are partial before the shuffle.
     """
     known = routes.filter(F.col("path") != CATCH_ALL).select("path")
-    unrouted = paths.join(small_side(known, max_rows), "path", "left_anti")
+    unrouted = paths.join(known, "path", "left_anti")
     return unrouted.groupBy("path").agg(F.count("*").alias("n_accesses"))

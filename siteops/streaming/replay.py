@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from siteops.functions import truthy
+from siteops.functions import as_flag, truthy
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
 
 ACTION = "at bigint, seq bigint, kind string, id string, patch string"
@@ -129,18 +129,21 @@ def replay_stream(
     k: int = STORE_LIMIT,
     delay: dt.timedelta = REMOVE_DELAY,
     fields: Sequence[str] = (),
-    lateness: dt.timedelta = dt.timedelta(0),
+    *,
+    lateness: dt.timedelta,
 ) -> DataFrame:
     """Fate of every row once it leaves its store, as a stream; same rows as `replay`.
 
     Each row is emitted once, when the watermark passes its removal; rows still stored are not
-    emitted. Actions more than `lateness` behind are dropped by the watermark. Per store the state
+    emitted. Actions that are `lateness` behind, or more, are dropped by the watermark. Per store the state
     is its k rows and the actions of the last `lateness`, and one task handles a store's actions of a
     micro-batch. Where a store may get a large share of the actions, use `ReplayBatches`.
     """
     named = truthy(F.col("id")).isNotNull()
     to_all = F.col("id").isNull() & F.col("kind").isin("DISMISS", "REMOVE")
     kept = F.map_filter("patch", lambda name, _: name.isin("open", *fields))
+    flag = lambda name, v: F.when(name == "open", as_flag(v).cast("string")).otherwise(v)
+    kept = F.transform_values(kept, flag)
     rows = (
         actions.withWatermark("ts", f"{lateness // dt.timedelta(milliseconds=1)} milliseconds")
         .filter(named | to_all)

@@ -8,7 +8,6 @@ from pyspark.sql.functions import pandas_udf
 
 from siteops import functions as fx
 from siteops.operators import hierarchy, lookup, routing
-from siteops.operators.joins import small_side
 
 
 def test_flatten_keeps_childless_items_and_order(spark):
@@ -119,7 +118,7 @@ def test_tooltip_title(spark):
         0: "Desktop", 1: "January", 2: "Desktop", 3: "Chrome", 4: None, 5: "mobile", 6: None
     }
     upper = lookup.tooltip_title(
-        df, config, F.col("label"), F.col("lk"), F.col("dk"), F.col("name"), formatter=F.upper
+        df, config, F.col("label"), F.col("lk"), F.col("dk"), F.col("name"), formatter=lambda title, payload: F.upper(title)
     )
     assert {r.n: r.title for r in upper.collect()}[1] == "JANUARY"
 
@@ -160,12 +159,42 @@ def test_series_rows_with_formatters(spark):
     def shout(value: pd.Series, name: pd.Series, pos: pd.Series) -> pd.Series:
         return name.str.upper() + pos.astype(str)
 
-    plain = lambda value, name, pos: F.concat(name, F.lit("="), value.cast("int").cast("string"))
-    for formatter, want in ((plain, "desktop=2"), (shout, "DESKTOP0")):
+    plain = lambda value, name, item, index, payload: F.concat(
+        item["dataKey"], F.lit("="), item["value"].cast("int").cast("string")
+    )
+    loud = lambda value, name, item, index, payload: shout(value, name, index)
+    for formatter, want in ((plain, "desktop=2"), (loud, "DESKTOP0")):
         rows = lookup.series_rows(points, ["x"], ["desktop", "mobile"], config, formatter=formatter)
         assert {r.name: r.text for r in rows.collect()} == {"desktop": want, "mobile": None}
 
 
+def test_series_rows_with_name_key_and_payload(spark):
+    points = spark.createDataFrame(
+        [("a", 2.0, {"kind": "mobile"}), ("b", 3.0, {}), ("c", 4.0, None)],
+        "x string, desktop double, payload map<string,string>",
+    )
+    config = spark.createDataFrame([("desktop", "Desk"), ("mobile", "Phone"), ("kind", "Any")], "series string, label string")
+    rows = lookup.series_rows(
+        points, ["x"], ["desktop"], config, F.col("payload"), name_key="kind",
+        formatter=lambda value, name, item, index, payload: F.coalesce(payload["kind"], name),
+    )
+    assert {r.x: (r.label, r.text) for r in rows.collect()} == {
+        "a": ("Phone", "mobile"), "b": ("Any", "desktop"), "c": ("Any", "desktop"),
+    }
+
+
+def test_legend_rows(spark):
+    items = spark.createDataFrame(
+        [(1, "desktop", None), (2, "desktop", "mobile"), (3, "none", ""), (4, None, None)],
+        "id int, key string, name_key string",
+    )
+    config = spark.createDataFrame([("desktop", "Desk"), ("mobile", "Phone"), ("value", "Val")], "series string, label string")
+    rows = lookup.legend_rows(items, ["id"], config, F.col("key"), F.col("name_key")).collect()
+    assert {r.id: (r.series, r.label) for r in rows} == {
+        1: ("desktop", "Desk"), 2: ("mobile", "Phone"), 3: ("none", None), 4: ("value", "Val"),
+    }
+
+
 def test_chart_id(spark):
     df = spark.createDataFrame([(None, ":r1:"), ("", ":r2:"), ("sales", ":r3:")], "g string, u string")
     got = [r[0] for r in df.select(lookup.chart_id(F.col("g"), F.col("u"))).collect()]
@@ -179,7 +208,8 @@ def test_routes(spark):
         for r in routing.resolve_route(paths, fixtures.routes(spark, rows)).collect()
     }
     assert resolve(fixtures.ROUTE_ROWS) == {"/": "/", "/a": "*", "/b": "*", None: "*"}
-    assert resolve([(0, "/a"), (1, "*"), (2, "/b")]) == {"/": "*", "/a": "/a", "/b": "*", None: "*"}
+    assert resolve([(0, "/a"), (1, "*"), (2, "/b")]) == {"/": "*", "/a": "/a", "/b": "/b", None: "*"}
+    assert resolve([(0, "*"), (1, "/a")]) == {"/": "*", "/a": "/a", "/b": "*", None: "*"}
     assert resolve([(0, "/a"), (5, "/a"), (7, "/")]) == {"/": "/", "/a": "/a", "/b": None, None: None}
 
 
@@ -239,8 +269,30 @@ def test_id_wraps(spark):
     assert got == ["1", str(limit - 1), "0", "1"]
 
 
-def test_large_sides_are_not_broadcast(spark):
+def test_lookups_start_no_job(spark):
     dim = spark.range(50).withColumnRenamed("id", "k")
-    assert "ResolvedHint" in small_side(dim)._jdf.queryExecution().analyzed().toString()
-    for too_big in (small_side(dim, max_rows=49), small_side(dim, max_rows=0)):
-        assert "ResolvedHint" not in too_big._jdf.queryExecution().analyzed().toString()
+    df = spark.range(500).select((F.col("id") % 70).alias("k"))
+    spark.sparkContext.setJobGroup("lookups", "none should run")
+    try:
+        lookup.lookup(df, dim, "k")
+        lookup.lookup(df, dim, "k", gate_only=True)
+        routing.not_found(df.select(F.lit("/a").alias("path")), dim.select(F.lit("/").alias("path")))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lookups")
+        assert lookup.lookup(df, dim, "k").count() == 50 * 7 + 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_link_paths(spark):
+    cases = {
+        "/en/5": "/en/5", "/en/5?x=1": "/en/5", "/en/5#top": "/en/5", "#": None, "#top": None, "?x=1": None,
+        "https://own.example/en/5?q#t": "/en/5", "HTTP://OWN.example": "/", "//own.example/a": "/a",
+        "https://other.example/en/5": None, "mailto:a@own.example": None, "tel:+1": None, "": None, None: None,
+        "page": "page",
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "href string")
+    got = df.select("href", routing.link_path(F.col("href"), ["own.example"]).alias("path")).collect()
+    assert {r.href: r.path for r in got} == cases
+    routes = spark.createDataFrame([("*",), ("/en/5",)], "path string")
+    dead = routing.dead_links(df, routes, ["own.example"]).collect()
+    assert {r.href: r.n_links for r in dead} == {"/": 1, "/a": 1, "page": 1}

@@ -98,3 +98,10 @@ def test_assign_ids(spark):
     got = state.assign_ids(df, ["ts", "seq"]).collect()
     want = {seq: str(n) for n, (_, seq) in enumerate(sorted(rows), 1)}
     assert {r.seq: r.id for r in got} == want
+
+
+def test_patches_of_a_null_key(spark):
+    base = spark.createDataFrame([(None, "old"), (1, "old")], "k bigint, note string")
+    patches = spark.createDataFrame([(None, 1, {"note": "new"})], "k bigint, seq bigint, patch map<string,string>")
+    got = state.apply_patches(base, patches, ["k"], ["seq"], ["note"]).collect()
+    assert {r.k: r.note for r in got} == {None: "new", 1: "old"}

@@ -102,7 +102,8 @@ def test_replay_stream_survives_a_restart(spark, tmp_path):
             f"{tmp_path}/in"
         )
         stream = replay_stream(
-            read_stream(spark, f"{tmp_path}/in", STREAM_SCHEMA), delay=DELAY, fields=FIELDS
+            read_stream(spark, f"{tmp_path}/in", STREAM_SCHEMA), delay=DELAY, fields=FIELDS,
+            lateness=dt.timedelta(0),
         )
         fan_out(
             stream, {"out": parquet_sink(out)}, f"{tmp_path}/state", availableNow=True
@@ -144,7 +145,7 @@ def test_ttl_stream(spark, tmp_path):
     schema = "k bigint, ts timestamp, seq bigint, v string"
     path = write_files(spark, rows, schema, str(tmp_path), 5)
     stream = ttl_stream(
-        read_stream(spark, path, schema), ["k"], ["ts", "seq"], F.col("v"), 5 * s
+        read_stream(spark, path, schema), ["k"], ["ts", "seq"], F.col("v"), 5 * s, lateness=0 * s
     )
     got = run_to_parquet(stream, "update")
     got = [(r.k, r.value, r.written_at, r.live) for r in got.orderBy("batch_id").collect()]
@@ -191,3 +192,51 @@ def test_redelivered_batch_replaces_itself(spark, tmp_path):
     for n in (0, 1, 1):
         sink(spark.range(n * 10, n * 10 + 10), n)
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(20))
+
+
+def batches_of(spark, tmp_path, batches, **options):
+    replays = ReplayBatches(
+        f"{tmp_path}/slots", parquet_sink(f"{tmp_path}/out"), k=1, delay=DELAY, lateness=dt.timedelta(0),
+        cuts=None, **options,
+    )
+    for i, rows in enumerate(batches):
+        replays(spark.createDataFrame(rows, STREAM_SCHEMA), i)
+    found = spark.read.parquet(f"{tmp_path}/out").collect()
+    return sorted((r.id, r.removed_at, r.cause) for r in found)
+
+
+def test_actions_at_the_mark_are_kept(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    add = lambda s, seq, name: (1, at(s), seq, "ADD", name, {})
+    got = batches_of(
+        spark, tmp_path, [[add(0, 1, "a"), add(5, 2, "b")], [add(5, 3, "c"), add(10, 4, "d")], [add(20, 5, "e")]]
+    )
+    assert got == [("a", at(5), "evict"), ("b", at(5), "evict"), ("c", at(10), "evict")]
+
+
+def test_large_sequence_numbers(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    big = 1 << 62
+    rows = [(1, at(i), big + i, "ADD", f"r{i}", {}) for i in range(3)]
+    assert batches_of(spark, tmp_path, [rows[:2], rows[2:], [(1, at(9), big, "ADD", "x", {})]]) == [
+        ("r0", at(1), "evict"), ("r1", at(2), "evict"),
+    ]
+
+
+def test_one_rule_for_open(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows, want = [], {}
+    for i, (text, flag) in enumerate([("true", True), ("TRUE", True), ("1", True), ("maybe", None), (None, None), ("no", False)]):
+        rows += [
+            (i, at(0), 1, "ADD", "a", {}), (i, at(1), 2, "UPDATE", "a", {"open": text}), (i, at(2), 3, "REMOVE", "a", {}),
+        ]
+        want[i] = flag
+    df = spark.createDataFrame(rows, STREAM_SCHEMA)
+    for k in (1, 2):
+        assert {r.store_key: r.open for r in replay(df, k=k, delay=DELAY, cuts=None).collect()} == want
+    late = [(99, at(60), 9, "ADD", "z", {})]
+    path = write_files(spark, rows + late, STREAM_SCHEMA, str(tmp_path), 2)
+    stream = replay_stream(
+        read_stream(spark, path, STREAM_SCHEMA), k=1, delay=DELAY, lateness=dt.timedelta(seconds=30)
+    )
+    assert {r.store_key: r.open for r in run_to_parquet(stream).collect()} == want
