@@ -25,7 +25,7 @@ from siteops.functions import as_flag, truthy
 from siteops.operators.joins import join_same
 from siteops.operators.state import REMOVE_DELAY, STORE_LIMIT
 from siteops.operators.storage import shared_folder
-from siteops.operators.timeline import CHUNK, Timeline
+from siteops.operators.timeline import CHUNK, Timeline, settle
 
 TIMER_SEQ = -(1 << 63)  # a timer due at the time of an action fires before it
 END_OF_TIME = "9999-12-31 00:00:00"
@@ -294,48 +294,64 @@ def _final_fields(
 def _evictions(line: Timeline, k: int) -> DataFrame:
     """Adds `evict_ts` and `evict_seq`, the place of the ADD that pushes each row out."""
     ts_type = line.df.schema["ts"].dataType
-    schema = T.StructType(
-        [*line.df.schema, T.StructField("evict_ts", ts_type), T.StructField("evict_seq", T.LongType())]
-    )
+    added = [
+        T.StructField("level", T.IntegerType()), T.StructField("evict_ts", ts_type),
+        T.StructField("evict_seq", T.LongType()), T.StructField("stays", T.BooleanType()),
+    ]
+    schema = T.StructType([*line.df.schema, *added])
     parts = line.parts
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Remembers the rows still stored. `level` n marks the ADD at which a part first stores n rows."""
         held = None  # rows still stored at the end of a batch, oldest first
+        reached = 0
+
+        def finished(batch, rows, evicted, stays):
+            by = pa.array(evicted, pa.int64())
+            done = batch.append_column("evict_ts", batch.column("ts").take(by)).append_column(
+                "evict_seq", batch.column("seq").take(by)
+            )
+            return done.append_column("stays", pa.array(stays)).take(pa.array(rows, pa.int64()))
+
         for batch in batches:
+            n = batch.num_rows
+            batch = batch.append_column("level", pa.nulls(n, pa.int32()))
             first = 0
             if held is not None:
                 first = held.num_rows
                 batch = pa.concat_batches([held, batch])
+            levels = batch.column("level").to_pylist()
             groups = list(zip(*[batch.column(c).to_pylist() for c in parts]))
             places = _places(batch, "ts", "seq")
             goes = _places(batch, "goes_ts", "goes_seq")
             evicted: list[int | None] = [None] * batch.num_rows
+            stays = [False] * batch.num_rows
             stored = list(range(first - 1, -1, -1))  # newest first
             for i in range(first, batch.num_rows):
-                if stored and groups[stored[0]] != groups[i]:
-                    stored = []
+                if i and groups[i - 1] != groups[i]:
+                    for s in stored:
+                        stays[s] = True
+                    stored, reached = [], 0
                 stored = [i, *[s for s in stored if goes[s] > places[i]]]
+                if len(stored) > reached:
+                    reached = levels[i] = len(stored)
                 if len(stored) > k:
                     evicted[stored.pop()] = i
-            by = pa.array(evicted, pa.int64())
-            done = batch.append_column("evict_ts", batch.column("ts").take(by)).append_column(
-                "evict_seq", batch.column("seq").take(by)
+            batch = batch.set_column(
+                batch.schema.get_field_index("level"), "level", pa.array(levels, pa.int32())
             )
             keep = sorted(stored)
             held = batch.take(pa.array(keep, pa.int64())) if keep else None
-            final = np.setdiff1d(np.arange(batch.num_rows), keep)
-            yield done.take(pa.array(final, pa.int64()))
+            yield finished(batch, np.setdiff1d(np.arange(batch.num_rows), keep), evicted, stays)
         if held is not None:
-            none = pa.nulls(held.num_rows, pa.int64())
-            yield held.append_column("evict_ts", held.column("ts").take(none)).append_column(
-                "evict_seq", none
-            )
+            n = held.num_rows
+            yield finished(held, np.arange(n), [None] * n, [True] * n)
 
     ordered = line.df.repartition(*parts).sortWithinPartitions(*parts, *line.order)
-    out = ordered.mapInArrow(walk, schema)
+    out = settle(ordered.mapInArrow(walk, schema), line.cuts)
     if line.cuts is None:
-        return out
-    late = _late_evictions(line, k)
+        return out.drop("level", "stays")
+    late = _late_evictions(out, line, k)
     return (
         join_same(out, F.broadcast(late), [*line.keys, "id"])  # at most k rows per chunk
         .withColumns(
@@ -344,7 +360,7 @@ def _evictions(line: Timeline, k: int) -> DataFrame:
                 "evict_seq": F.coalesce("evict_seq", "late_seq"),
             }
         )
-        .select(*[c for c in out.columns if c != CHUNK])
+        .select(*[c for c in out.columns if c not in (CHUNK, "level", "stays")])
     )
 
 
@@ -354,7 +370,7 @@ def _places(batch: pa.RecordBatch, ts: str, seq: str) -> list[tuple]:
     return [(m, s) if m is not None else FOREVER for m, s in zip(micros, batch.column(seq).to_pylist())]
 
 
-def _late_evictions(line: Timeline, k: int) -> DataFrame:
+def _late_evictions(out: DataFrame, line: Timeline, k: int) -> DataFrame:
     """Evictions by ADDs of a later chunk than the row's own.
 
     A chunk acts on older rows only through the first ADDs at which 1, 2, … k of its own rows are
@@ -366,24 +382,7 @@ def _late_evictions(line: Timeline, k: int) -> DataFrame:
     ts_type = kinds["ts"]
     columns = [*parts, "id", "ts", "seq", "goes_ts", "goes_seq"]
 
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"], ignore_index=True)
-        places, goes = _pandas_places(rows, "ts", "seq"), _pandas_places(rows, "goes_ts", "goes_seq")
-        stored: list[int] = []
-        reached: list[int] = []
-        for i, place in enumerate(places):
-            stored = [i, *[s for s in stored if goes[s] > place]]
-            if len(stored) > len(reached):
-                reached.append(i)
-            del stored[k:]
-        return pd.concat(
-            [
-                rows.iloc[reached].assign(level=range(1, len(reached) + 1)),
-                rows.iloc[stored].assign(level=0),
-            ]
-        )[[*columns, "level"]]
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([CHUNK, "ts", "seq"], ignore_index=True)
         places, goes = _pandas_places(rows, "ts", "seq"), _pandas_places(rows, "goes_ts", "goes_seq")
         out: dict[int, int] = {}
@@ -415,14 +414,12 @@ def _late_evictions(line: Timeline, k: int) -> DataFrame:
 
     # Whole numbers with nulls would reach pandas as floats; the time alone says if a row goes.
     goes_seq = F.coalesce("goes_seq", F.lit(0))
-    heavy = line.df.filter(F.col(CHUNK) >= 0).withColumn("goes_seq", goes_seq).select(*columns)
-    few = heavy.groupBy(*parts).applyInPandas(
-        summarise,
-        f"{key_schema}, {CHUNK} bigint, id string, ts {ts_type}, seq bigint, goes_ts {ts_type}, "
-        "goes_seq bigint, level int",
-    )
+    # Rows still stored at the end of a chunk count as level 0, beside the level that they reached.
+    levels = F.array_compact(F.array(F.when(F.col("level") <= k, F.col("level")), F.when(F.col("stays"), 0)))
+    heavy = out.filter(F.col(CHUNK) >= 0).withColumn("goes_seq", goes_seq)
+    few = heavy.select(*columns, F.explode(levels).alias("level"))  # at most 2 * k rows per chunk
     return few.groupBy(*keys).applyInPandas(
-        settle, f"{key_schema}, id string, late_ts {ts_type}, late_seq bigint"
+        across, f"{key_schema}, id string, late_ts {ts_type}, late_seq bigint"
     )
 
 
