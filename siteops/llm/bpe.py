@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import fresh, others, stored, table
+from siteops.llm.common import fresh, others, slices, stored, table
 
 FREQUENT = 1 << 16
 #: Words of more bytes are neither counted as frequent ones nor merged without a heap.
 SHORT = 64
+#: Places of words that are merged in Python at once, beyond a single text.
+PLACES = 1 << 18
 NONE = 2**31 - 1
 
 
@@ -137,9 +139,7 @@ class Tokenizer:
         """Ids of each of some words, in arrays in which other places are null and stay so."""
         ranks = self.ranks
 
-        @F.arrow_udf("array<array<int>>")
-        def ids(words: pa.Array) -> pa.Array:
-            known: dict[bytes, list[int]] = {}
+        def part(words: pa.ListArray, known: dict[bytes, list[int]]) -> pa.ListArray:
             flat = words.flatten()
             valid = flat.is_valid().to_numpy(zero_copy_only=False)
             found = []
@@ -147,7 +147,7 @@ class Tokenizer:
                 if (i := known.get(w)) is None:
                     i = known[w] = merged(w, ranks)
                 found.append(i)
-            sizes = np.zeros(len(flat), np.int64)
+            sizes = np.zeros(len(flat), np.int32)
             sizes[valid] = [len(i) for i in found]
             inner = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             values = pa.array(np.fromiter((x for i in found for x in i), np.int32, int(inner[-1])))
@@ -155,6 +155,16 @@ class Tokenizer:
             outer = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(outer), lists)
 
+        @F.arrow_udf("array<array<int>>")
+        def ids(words: pa.Array) -> pa.Array:
+            known: dict[bytes, list[int]] = {}
+            done = []
+            for a, b in slices(np.diff(words.offsets.to_numpy()), PLACES):
+                if len(known) > PLACES // 4:
+                    known.clear()
+                done.append(part(words.slice(a, b - a), known))
+            return pa.concat_arrays(done) if done else part(words, known)
+
         return ids
 
 
