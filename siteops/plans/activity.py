@@ -12,7 +12,7 @@ from siteops.operators import interaction, state
 from siteops.operators.replay import replay
 from siteops.operators.storage import shared_folder
 from siteops.operators.timeline import Timeline, find_cuts
-from siteops.sources import prepare_streams, read_table, stream_table
+from siteops.sources import prepare_streams, read_table, stream_table, with_utc_time
 from siteops.streaming import (
     FanOut,
     ReplayBatches,
@@ -121,6 +121,34 @@ def replay_as_stream(spark, folder):
     return _plain_times(out, "added_at", "removed_at")
 
 
+WEEK = dt.timedelta(days=7)
+
+
+def _arriving(df: DataFrame, ts: str, step: dt.timedelta) -> DataFrame:
+    """The rows as a stream, one file at a time, written step by step of their times."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    ends = df.select(F.min(ts).alias("low"), F.max(ts).alias("high")).first()
+    df.limit(0).write.parquet(f"{folder}/first")
+    start = ends["low"]
+    while start is not None and start <= ends["high"]:
+        low, high = (F.lit(str(t)).cast(df.schema[ts].dataType) for t in (start, start + step))
+        df.filter((F.col(ts) >= low) & (F.col(ts) < high)).write.parquet(f"{folder}/{start:%Y%m%d%H%M%S}")
+        start += step
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def replay_limit_3_as_stream(spark, folder):
+    """Three rows per store, with fields, actions by id and several batches of late actions."""
+    prepare_streams(spark)
+    df = events(spark, folder)
+    log = actions(df, find_cuts(df, USER, "ts", then="seq"))
+    log = log.select("user_id", "ts", "seq", "kind", "id", "patch")
+    stream = with_utc_time(_arriving(log, "ts", WEEK), "ts")
+    fates = replay_stream(stream, USER, 3, DAY, ["note"], lateness=WEEK + DAY)
+    return _plain_times(run_to_parquet(fates).drop("batch_id"), "added_at", "removed_at")
+
+
 def replay_in_batches(spark, folder):
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     replays = ReplayBatches(f"{base}/slots", parquet_sink(f"{base}/out"), USER, 1, DAY, lateness=dt.timedelta(0))

@@ -303,6 +303,9 @@ SQL = {
     "replay_limit_3": _REPLAY_3,
     "replay_limit_3_cut": _REPLAY_3,
     "replay_as_stream": _STREAM_FATES,
+    "replay_limit_3_as_stream": f"""
+SELECT * FROM ({_REPLAY_3})
+WHERE removed_at <= (SELECT date_trunc('millisecond', max(ts) - INTERVAL 8 DAY) FROM events)""",
     "replay_in_batches": f"""
 SELECT user_id, id, added_at, removed_at, cause FROM ({_REPLAY_1})
 -- Actions at the watermark, the newest time, still wait.
