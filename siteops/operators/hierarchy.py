@@ -34,14 +34,18 @@ def flatten(
     `nested` is a map whose values are arrays of structs. Fields of a level become `<level>_<field>`,
     positions `<level>_pos`. The work is row-local: no shuffle.
     """
-    out = df.select(*keep, F.posexplode(nested).alias(f"{root}_pos", root, "_children"))
+    # Outer forms with a filter on the position: for the others Spark infers a filter on the size of
+    # what is exploded, and so computes that twice.
+    out = df.select(*keep, F.posexplode_outer(nested).alias(f"{root}_pos", root, "_children"))
+    out = out.filter(F.col(f"{root}_pos").isNotNull())
     columns = [*keep, f"{root}_pos", root]
     children = F.col("_children")
     for n, level in enumerate(levels):
         if level.field is not None:
             children = F.col(f"_{levels[n - 1].name}.{level.field}")
-        explode = F.posexplode_outer if level.outer else F.posexplode
-        out = out.select("*", explode(children).alias(f"{level.name}_pos", f"_{level.name}"))
+        out = out.select("*", F.posexplode_outer(children).alias(f"{level.name}_pos", f"_{level.name}"))
+        if not level.outer:
+            out = out.filter(F.col(f"{level.name}_pos").isNotNull())
     inner = {level.field for level in levels}
     selected = [F.col(c) for c in columns]
     for level in levels:

@@ -41,9 +41,10 @@ def flat_menus(spark, folder):
 
 
 def supplier_menus(spark, folder):
-    """Region, nation and supplier as a nested menu and flat again.
+    """Small menus of region, nation and up to 64 suppliers, flat again.
 
-    Suppliers are nested in blocks of 64 keys, which bounds the size of every array.
+    Each block of 64 supplier keys is a menu of its own, which bounds the size of every array; positions
+    count within it.
     """
     suppliers = read_table(spark, folder, "supplier")
     regions = read_table(spark, folder, "region")
