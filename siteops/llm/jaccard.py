@@ -6,10 +6,11 @@
    Each set is dealt by a hash into more than d parts, so at least one part is the same in both. Sets
    that share a part (tile, number, contents) may link; no other pair can. A part has several shingles,
    so it is rarely shared by chance. Sets that may link, directly or over others, are a cluster.
-3. In a cluster each set is compared with the one of the smallest id. Those that don't link to it are
-   compared with all others, in blocks of bounded size. A comparison looks at sizes first, then at
-   bitmaps of hashed shingles: each bit that only one set has is a shingle that the other lacks, which
-   bounds the overlap from above. What is left is decided by intersecting the sorted sets.
+3. In the tiles of a cluster, cut into blocks of bounded size, bitmaps of hashed shingles are compared:
+   each bit that only one set has is a shingle that the other lacks, which bounds the overlap from
+   above. Sets that may still link make smaller clusters, and most sets are in none.
+4. In those each set is compared with the one of the smallest id, and those that don't link to it with
+   all others, in blocks. What sizes and bitmaps leave open is decided by intersecting the sorted sets.
 
 Links come out as trees, never as all pairs of a group. Shingles are told apart by 64-bit hashes, equal
 sets by 128 bits and their size.
@@ -31,6 +32,8 @@ from siteops.llm.components import components
 SLICE = 1 << 20
 #: Keys of parts that a task sorts together, and documents of a block.
 KEYS, BLOCK = 1 << 21, 1024
+#: Bitmaps of a block.
+BITMAPS = 2048
 LEAST_GROUPS = 64
 WORDS = 8  # of a bitmap, 64 bits each
 GOLD = 0x9E3779B97F4A7C15
@@ -127,11 +130,9 @@ def part_keys(s: np.ndarray, mixed: np.ndarray, tile: int, parts: int, spare: in
     return mix(mix(sums ^ salt) + number * np.uint64(GOLD))
 
 
-def shared_parts(df: DataFrame, words: int, percent: int, sizes: DataFrame) -> DataFrame:
+def shared_parts(df: DataFrame, words: int, percent: int, sizes: DataFrame, starts: list[int]) -> DataFrame:
     """(a, b): edges that connect all documents with a part in common. They form trees for each part."""
-    total = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-    starts = band_starts(total["most"] or 0, percent)
-    expected = 2 * (total["all"] or 0) * (100 - percent) // percent
+    expected = 2 * (sizes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // percent
     groups = max(LEAST_GROUPS, -(-expected // KEYS))
 
     def gather(batches):
@@ -246,6 +247,47 @@ def arrays(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
+def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
+    """(cluster, doc_id): clusters of sets whose sizes and bitmaps allow links, within the given ones."""
+    rows = sets.select("cluster", "doc_id", F.size("shingles").alias("n"), "bits")
+    band = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("n"))) - 1
+    tiles = F.array_distinct(F.array(band, F.greatest(band - 1, F.lit(0))))
+    rows = rows.withColumn("tile", F.explode(tiles))
+    counts = rows.groupBy("cluster", "tile").agg(F.ceil(F.count("*") / BITMAPS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")),
+    )
+    rows = rows.join(counts, ["cluster", "tile"]).withColumn("cell", F.explode(cells))
+
+    def meet(found: pa.Table) -> pa.Table:
+        ids, n = found.column("doc_id").to_numpy(), found.column("n").to_numpy().astype(np.int64)
+        bits = np.array(arrays(found.column("bits").combine_chunks())).reshape(len(ids), WORDS)
+        left = np.arange(len(ids))  # not reached yet
+        out = []
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                i = todo.pop()
+                near = may_link(n[i], bits[i], n[left], bits[left], percent)
+                out += [(ids[i], ids[j]) for j in left[near]]
+                todo += list(left[near])
+                left = left[~near]
+        edges = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    rows = rows.select("cluster", "tile", "cell", "doc_id", "n", "bits")
+    edges = rows.groupBy("cluster", "tile", "cell").applyInArrow(meet, "a long, b long")
+    return with_roots(components(edges))
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """(doc_id, cluster) of the nodes of components, their roots included."""
+    roots = found.select(F.col("root").alias("node"), "root").distinct()
+    return found.unionAll(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+
+
 def against_leader(sets: DataFrame, percent: int) -> DataFrame:
     """(cluster, doc_id, leader, linked) of every set but the leader, the one with the smallest id."""
     leaders = sets.groupBy("cluster").agg(F.min("doc_id").alias("leader"))
@@ -302,7 +344,8 @@ def in_blocks(sets: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     def compare(found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
         ids, linked = found.column("doc_id").to_numpy(), found.column("linked").to_numpy(zero_copy_only=False)
-        s, bits = arrays(found.column("shingles").combine_chunks()), np.array(arrays(found.column("bits").combine_chunks()))
+        s, bits = (arrays(found.column(c).combine_chunks()) for c in ("shingles", "bits"))
+        bits = np.array(bits)
         sizes = np.array([len(x) for x in s])
         group = np.where(linked, -1, np.arange(len(s)))  # all that link to the leader are connected
         out = []
@@ -332,13 +375,13 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     same = stored(same.where("first < last"))
     copies = known.join(same, ["n", "h1", "h2"]).where("doc_id <> first")
     copies = stored(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    clusters = components(shared_parts(df, words, percent, sizes))
-    roots = clusters.select(F.col("root").alias("node"), "root").distinct()
-    members = clusters.unionAll(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    starts = band_starts(sizes.agg(F.max("n")).first()[0] or 0, percent)
+    members = with_roots(components(shared_parts(df, words, percent, sizes, starts)))
     # Copies are linked already; the first of them stands for all.
     members = stored(members.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
     wanted = members.groupBy("cluster").count().where("count > 1").select("cluster")
-    sets = stored(candidate_sets(df, members.join(wanted, "cluster"), words).where("size(shingles) > 0"))
+    wide = stored(candidate_sets(df, members.join(wanted, "cluster"), words).where("size(shingles) > 0"))
+    sets = stored(wide.drop("cluster").join(narrowed(wide, starts, percent), "doc_id"))
     compared = stored(against_leader(sets, percent))
     near = compared.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     found = components(copies.unionAll(near).unionAll(in_blocks(sets, compared, percent)))
@@ -356,4 +399,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with its columns."""
     groups = similar_groups(docs.select("doc_id", "text"))
-    return docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    later = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
