@@ -280,6 +280,7 @@ def plain_groups(rows, words, percent):
 @pytest.mark.parametrize("words, percent, block", [(3, 90, 1024), (3, 90, 4), (5, 80, 4), (2, 50, 5)])
 def test_groups_equal_plain(spark, words, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BITMAPS", 2 * block)
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, n = [], 0
