@@ -131,7 +131,8 @@ class Tokenizer:
             return F.aggregate(rest, start, step, lambda s: F.transform(s["p"], rank))
 
         def whole(latin: Column) -> Column:
-            return F.coalesce(let(rank(latin), lambda r: F.when(r.isNotNull(), F.array(r))), let(F.split(latin, ""), fold))
+            one = let(rank(latin), lambda r: F.when(r.isNotNull(), F.array(r)))
+            return F.coalesce(one, let(F.split(latin, ""), fold))
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
 
@@ -238,7 +239,11 @@ def frequent_words(df: DataFrame, tokenizer: Tokenizer, text: str = "text", most
 
 
 def encode(
-    df: DataFrame, tokenizer: Tokenizer, frequent: dict[str, list[int]] | None = None, text: str = "text", out: str = "ids"
+    df: DataFrame,
+    tokenizer: Tokenizer,
+    frequent: dict[str, list[int]] | None = None,
+    text: str = "text",
+    out: str = "ids",
 ) -> DataFrame:
     """Adds the ids of each whole text as an array; null is encoded like an empty text, without ids.
 

@@ -38,4 +38,5 @@ def pairs(df: DataFrame, u: Column, v: Column) -> DataFrame:
 
 def state(edges: DataFrame) -> tuple:
     """Tells two sets of edges apart."""
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h % 1000003)).first())

@@ -28,7 +28,7 @@ NAMES = [
 
 
 def byte_kinds() -> np.ndarray:
-    """Of each byte: 1 lower, 2 upper, 3 digit, 4 sentence mark, 5 sentence end, 6 other, 7 start of a longer character."""
+    """Kinds of bytes: 1 lower, 2 upper, 3 digit, 4 mark, 5 sentence end, 6 other, 7 first of several."""
     kinds = np.zeros(256, np.uint8)
     kinds[33:127] = 6
     for k, chars in ((4, b",;:'\"()-"), (5, b".?"), (3, b"0123456789")):

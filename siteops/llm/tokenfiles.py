@@ -89,7 +89,8 @@ def blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
         for batch in batches:
             names = batch.column(0).to_pylist()
             sizes = [located(n)[0].get_file_info(located(n)[1]).size for n in names]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "size"])
+            columns = [pa.array(names, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "size"])
 
     sized = files.select("file").distinct().mapInArrow(measure, "file string, size long").where("size > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))

@@ -7,6 +7,8 @@ import pytest
 
 import corpus_pipeline
 from siteops.llm import registry
+from test_llm_models import plain_groups
+from test_llm_text import plain_lines
 
 FOLDER = os.environ.get("SITEOPS_SF_DIR", "/root/testdata/sf0.001")
 
@@ -45,14 +47,28 @@ def test_columns(spark, name):
 
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    columns = docs.columns
+    rows = {r.doc_id: r for r in docs.collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, FOLDER).cache()
         assert docs.columns == columns
-        assert 0.7 * before < docs.count() <= before
-        before = docs.count()
+        before, rows = rows, {r.doc_id: r for r in docs.collect()}
+        texts = [(i, r.text) for i, r in before.items()]
+        if name == "language":
+            assert len(rows) >= 0.99 * len(before)
+        if name == "quality":
+            right = [(i in rows) == labels[i] for i in before if i in labels]
+            assert sum(right) >= 0.97 * len(right)
+        if name == "line_dedup":
+            assert {i: r.text for i, r in rows.items()} == {x[0]: x[3] for x in plain_lines(texts, 10)}
+            assert all(r.n_chars == len(r.text) for r in rows.values())
+        if name == "near_copies":
+            assert set(rows) == {i for i, (_, root) in plain_groups(texts, 5, 80).items() if root == i}
+        if name != "line_dedup":
+            assert all(r == before[i] for i, r in rows.items())
     out = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
-    assert out.count() == before
+    assert sorted(r.doc_id for r in out.collect()) == sorted(rows)
 
 
 def test_pipeline_of_nothing(spark):
