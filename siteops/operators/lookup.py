@@ -223,7 +223,8 @@ def series_rows(
     if payload is None and name_key not in ("name", "dataKey"):
         # Without a payload the label follows from the measure alone, so it is resolved once for each.
         names = df.sparkSession.createDataFrame([(m,) for m in measures], "name string")
-        labels = resolve_label(names, config, keys, {"name": F.col("name"), "dataKey": F.col("name")}, fallback=F.col("name"))
+        own = {"name": F.col("name"), "dataKey": F.col("name")}
+        labels = resolve_label(names, config, keys, own, fallback=F.col("name"))
         rows = rows.join(F.broadcast(labels), "name")
     else:
         rows = resolve_label(

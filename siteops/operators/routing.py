@@ -26,8 +26,9 @@ def link_path(href: Column, hosts: Sequence[str] = ()) -> Column:
     host = F.lower(F.regexp_extract(href, "^(?:[A-Za-z]+:)?//([^/?#]*)", 1))
     beyond = F.regexp_extract(href, "^(?:[A-Za-z]+:)?//[^/?#]*([^?#]*)", 1)
     own = F.regexp_replace(href, "[?#].*$", "")
+    ours = host.isin(*(h.lower() for h in hosts)) & scheme.isin("", "http", "https")
     return (
-        F.when(host.isin(*(h.lower() for h in hosts)) & scheme.isin("", "http", "https"), F.regexp_replace(beyond, "^$", "/"))
+        F.when(ours, F.regexp_replace(beyond, "^$", "/"))
         .when((scheme == "") & ~href.startswith("//"), F.nullif(own, F.lit("")))
     )
 

@@ -24,7 +24,8 @@ class ReplayBatches:
 
     `folder` keeps the state in two slots that are written in turn, so a batch that is delivered
     again finds what it read before. The watermark is the largest time seen minus `lateness`; actions
-    before it are dropped. Those at the watermark wait, as more of the same time may follow. The state is read and written as a whole, so batches should be large.
+    before it are dropped. Those at the watermark wait, as more of the same time may follow. The state is
+    read and written as a whole, so batches should be large.
     """
 
     def __init__(
