@@ -192,9 +192,10 @@ def packed(keys: np.ndarray, docs: np.ndarray, groups: int):
     )
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WORDS * 64, bool)
-    bits[s & np.uint64(WORDS * 64 - 1)] = True
+def bitmap(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Which of 64 * words bits, a power of two, the hashes hit."""
+    bits = np.zeros(words * 64, bool)
+    bits[s & np.uint64(words * 64 - 1)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
@@ -248,11 +249,35 @@ def arrays(column) -> list[np.ndarray]:
 
 
 def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
-    """(cluster, doc_id): clusters of sets whose sizes and bitmaps allow links, within the given ones."""
-    rows = sets.select("cluster", "doc_id", F.size("shingles").alias("n"), "bits")
-    band = F.size(F.filter(F.lit(starts), lambda s: s <= F.col("n"))) - 1
-    tiles = F.array_distinct(F.array(band, F.greatest(band - 1, F.lit(0))))
-    rows = rows.withColumn("tile", F.explode(tiles))
+    """(cluster, doc_id): clusters of sets whose sizes and bitmaps allow links, within the given ones.
+
+    Bitmaps have two bits or more for each shingle of the tile's lower band, so that they are of use for
+    long texts, too.
+    """
+
+    def tiled(batches):
+        for batch in batches:
+            found = []
+            for i, s in enumerate(arrays(batch.column(2))):
+                band = bisect.bisect_right(starts, len(s)) - 1
+                for tile in {band, max(band - 1, 0)}:
+                    size = max(WORDS, 1 << (starts[tile + 1] // 32).bit_length())
+                    found.append((i, tile, len(s), bitmap(s, size).view(np.int64)))
+            place, tile, n, bits = zip(*found) if found else ((), (), (), ())
+            at = pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(at),
+                    batch.column(1).take(at),
+                    pa.array(tile, pa.int32()),
+                    pa.array(n, pa.int32()),
+                    pa.array(list(bits), pa.list_(pa.int64())),
+                ],
+                names=["cluster", "doc_id", "tile", "n", "bits"],
+            )
+
+    schema = "cluster long, doc_id long, tile int, n int, bits array<long>"
+    rows = stored(sets.select("cluster", "doc_id", "shingles").mapInArrow(tiled, schema))
     counts = rows.groupBy("cluster", "tile").agg(F.ceil(F.count("*") / BITMAPS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     cells = F.transform(
@@ -263,7 +288,7 @@ def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
 
     def meet(found: pa.Table) -> pa.Table:
         ids, n = found.column("doc_id").to_numpy(), found.column("n").to_numpy().astype(np.int64)
-        bits = np.array(arrays(found.column("bits").combine_chunks())).reshape(len(ids), WORDS)
+        bits = np.array(arrays(found.column("bits").combine_chunks()))
         left = np.arange(len(ids))  # not reached yet
         out = []
         while len(left):
