@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, jaccard, language, lines, lm, media, packing, quality, tokenfiles, topk
+from siteops.llm import bpe, jaccard, language, lines, lm, media, packing, quality, tokenfiles, topk, word_lm
 
 _QUERIES = [
     packing.op1_length_buckets,
@@ -11,6 +11,7 @@ _QUERIES = [
     bpe.op4_byte_bpe,
     topk.op5_exact_topk,
     lm.op6_backoff_scores,
+    word_lm.op6_word_backoff,
     language.op7_language,
     lines.op8_line_dedup,
     media.op9_telephony_audio,
@@ -22,5 +23,6 @@ SQL = {
     "op2_separator_scan": tokenfiles.SQL,
     "op5_exact_topk": topk.SQL,
     "op6_backoff_scores": lm.SQL,
+    "op6_word_backoff": word_lm.SQL,
     "op8_line_dedup": lines.SQL,
 }

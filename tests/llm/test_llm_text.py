@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from siteops.llm import bpe, lines, lm, ngrams, packing, tokenfiles
+from siteops.llm import bpe, lines, lm, ngrams, packing, tokenfiles, word_lm
 from siteops.llm.common import scratch
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -157,6 +157,45 @@ def test_backoff_scores_equal_plain(spark):
     assert lm.score(df, lm.trigram_counts(known.limit(0))).where("lm_score IS NOT NULL").count() == 6
 
 
+def plain_word_scores(corpus, texts, backoff=lm.BACKOFF):
+    grams = Counter()
+    for t in corpus:
+        padded = ["", "", *(t or "").split()]
+        if len(padded) > 2:
+            grams.update([("",), ("", "")])
+        for i in range(2, len(padded)):
+            grams.update(tuple(padded[i - k : i + 1]) for k in range(3))
+    ones = [n for g, n in grams.items() if len(g) == 1 and g != ("",)]
+    for t in texts:
+        padded, score = ["", "", *(t or "").split()], 0.0
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            if (a, b, c) in grams:
+                p = grams[a, b, c] / grams[a, b]
+            elif (b, c) in grams:
+                p = backoff * grams[b, c] / grams[b,]
+            else:
+                p = backoff**2 * (grams[c,] + 1) / (sum(ones) + len(ones) + 1)
+            score += math.log(p)
+        yield round(score / (len(padded) - 2), 6) if len(padded) > 2 else None
+
+
+def test_word_backoff_equals_plain(spark):
+    corpus = ["the cat sat on the mat", "the mat", None, "", " \n ", "the cat sat", "on the cat"]
+    texts = ["the cat sat", "xyz", "mat sat on the cat", "on the mat sat", None, "", " ", "the  cat", "the  cat", "w " * 900]
+    known = spark.createDataFrame([(t,) for t in corpus], "text string")
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    counts = word_lm.word_counts(known)
+    assert counts.count() == counts.select("gram").distinct().count()
+    for wanted in (corpus, []):
+        out = word_lm.score(df, word_lm.word_counts(known if wanted else known.limit(0)))
+        assert out.columns == ["doc_id", "text", "row", "lm_words", "lm_score"]
+        got = {r.doc_id: (r.lm_words, r.lm_score) for r in out.collect()}
+        for i, (t, want) in enumerate(zip(texts, plain_word_scores(wanted, texts))):
+            assert got[i][0] == len((t or "").split())
+            assert got[i][1] == pytest.approx(want, abs=2e-6) if want is not None else got[i][1] is None
+    assert word_lm.score(df.limit(0), counts).count() == 0
+
+
 @pytest.mark.parametrize("texts", [["abc", "", "ab"], ["x" * 70, "日本" * 50], ["".join(map(chr, range(40, 900)))]])
 def test_trigrams(texts):
     keys, inverse = ngrams.trigrams(*ngrams.code_points(texts))
