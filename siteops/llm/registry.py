@@ -7,6 +7,7 @@ from siteops.llm import bpe, jaccard, language, lines, lm, media, packing, quali
 _QUERIES = [
     packing.op1_length_buckets,
     tokenfiles.op2_separator_scan,
+    tokenfiles.op2_bpe_scan,
     quality.op3_quality_trees,
     bpe.op4_byte_bpe,
     topk.op5_exact_topk,

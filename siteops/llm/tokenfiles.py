@@ -1,6 +1,7 @@
 """Flat files of token ids without an index, and finding the documents in them.
 
-A file is nothing but unsigned 16-bit ids, low byte first; a document ends at each end-of-document id.
+A file is nothing but unsigned ids of 16 or 32 bits, low byte first; a document ends at each
+end-of-document id.
 Files are read in blocks that don't know of each other. In each block one vectorised search finds the
 separators. A prefix scan over the blocks' few numbers then tells where the document that a block starts
 in began, and how many documents came before.
@@ -17,13 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteops.llm.common import BLANK, fresh, others, scratch, stored, table
+from siteops.llm import bpe
+from siteops.llm.common import BLANK, fresh, others, scratch, slices, stored, table
 
 END = 0
+#: Bytes of a token, if a call does not say 4.
 WIDTH = 2
 #: Bytes of a block, and of a file after which a task starts another one.
 BLOCK = 4 << 20
 FILE = 256 << 20
+#: Tokens that are written at once, beyond a single document.
+SLICE = 1 << 18
 IDS = (1 << 8 * WIDTH) - 1
 
 
@@ -34,22 +39,30 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def kind(width: int) -> str:
+    """The numpy type of tokens of 2 or 4 bytes."""
+    if width not in (2, 4):
+        raise ValueError("a token has 2 or 4 bytes")
+    return f"<u{width}"
+
+
 def word_tokens(text: Column) -> Column:
     """An id from 1 to 65535 for each word of a text, by a hash of the word."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{BLANK}]+"), F.lit(0))
     return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(IDS)) + 1).cast("int"))
 
 
-def write(df: DataFrame, tokens: str, folder: str, end: int = END) -> DataFrame:
+def write(df: DataFrame, tokens: str, folder: str, end: int = END, width: int = WIDTH) -> DataFrame:
     """Writes the arrays `tokens` as flat files into `folder`; gives the other columns, `file` and `document`.
 
     `document` numbers the documents of a file from 0. Null is written like an empty array. A token
-    equal to `end` or beyond 16 bits is an error. Each attempt of a task writes files of its own names,
+    equal to `end`, beyond `width` bytes or null is an error. Each attempt of a task writes files of its own names,
     and only those of the result count; the result is kept, so nothing is written twice.
     """
     kept = others(df, tokens, "file", "document")
     base = df.select(*(F.col(f"`{c}`") for c in kept))
     schema = base.withColumns({"file": F.lit(""), "document": F.lit(0).cast("long")}).schema
+    form, most = kind(width), (1 << 8 * width) - 1
 
     def run(batches):
         store, root = located(folder)
@@ -57,23 +70,26 @@ def write(df: DataFrame, tokens: str, folder: str, end: int = END) -> DataFrame:
         out, name, size, number = None, "", 0, 0
         for batch in batches:
             arrays = batch.column(batch.num_columns - 1)
-            ids = arrays.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() > IDS or (ids == end).any()):
-                raise ValueError("a token is the end-of-document id or has more than 16 bits")
-            ends = np.cumsum(np.diff(arrays.offsets.to_numpy()))
-            data = np.insert(ids.astype("<u2"), ends, end)
             if out is None or size >= FILE:
                 if out is not None:
                     out.close()
                 name = f"{folder}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}.bin"
                 out, size, number = store.open_output_stream(located(name)[1]), 0, 0
-            out.write(data.tobytes())
-            size += data.nbytes
+            for a, b in slices(np.diff(arrays.offsets.to_numpy()), SLICE):
+                part = arrays.slice(a, b - a)
+                flat = part.flatten()
+                ids = flat.to_numpy(zero_copy_only=False)
+                if flat.null_count or len(ids) and (ids.min() < 0 or ids.max() > most or (ids == end).any()):
+                    raise ValueError(f"a token is null, the end-of-document id or has more than {8 * width} bits")
+                ends = np.cumsum(np.diff(part.offsets.to_numpy()))
+                data = np.insert(ids.astype(form), ends, end)
+                out.write(data.tobytes())
+                size += data.nbytes
             columns = [batch.column(i) for i in range(len(kept))]
-            numbers = pa.array(np.arange(number, number + len(ends)))
-            number += len(ends)
+            numbers = pa.array(np.arange(number, number + len(arrays)))
+            number += len(arrays)
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([name] * len(ends), pa.string()), numbers], names=schema.names
+                [*columns, pa.array([name] * len(arrays), pa.string()), numbers], names=schema.names
             )
         if out is not None:
             out.close()
@@ -82,8 +98,10 @@ def write(df: DataFrame, tokens: str, folder: str, end: int = END) -> DataFrame:
     return stored(df.select(*(F.col(f"`{c}`") for c in kept), array).mapInArrow(run, schema))
 
 
-def blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks(files: DataFrame, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """(file, block, start, size) of every block of the files, from their sizes; sizes in bytes."""
+    if block % width:
+        raise ValueError(f"blocks hold whole tokens, {width} bytes each")
 
     def measure(batches):
         for batch in batches:
@@ -98,37 +116,36 @@ def blocks(files: DataFrame, block: int = BLOCK) -> DataFrame:
     return each.select("file", "block", "start", F.least(F.lit(block), F.col("all") - F.col("start")).alias("size"))
 
 
-def scan(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
+def scan(files: DataFrame, end: int = END, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """(file, document, start, n_tokens, ended) of each document of the flat files in column `file`.
 
     `start` is the number of the document's first token in the file, `n_tokens` doesn't count the end.
     Tokens after the last end are a document that has not `ended`. Two ends in a row have an empty
     document between them. An empty file has no document. A file that ends inside a token is an error.
     """
-    if block % WIDTH:
-        raise ValueError(f"blocks hold whole tokens, {WIDTH} bytes each")
+    form = kind(width)
 
     def run(batches):
         for batch in batches:
             names, numbers, starts, sizes = (c.to_pylist() for c in batch.columns)
             for name, number, start, size in zip(names, numbers, starts, sizes):
-                if size % WIDTH:
+                if size % width:
                     raise ValueError(f"{name} ends inside a token")
                 store, path = located(name)
                 with store.open_input_file(path) as file:
-                    data = np.frombuffer(file.read_at(size, start), "<u2")
-                found = np.flatnonzero(data == end) + start // WIDTH
+                    data = np.frombuffer(file.read_at(size, start), form)
+                found = np.flatnonzero(data == end) + start // width
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name]),
                         pa.array([number], pa.int32()),
-                        pa.array([(start + size) // WIDTH], pa.int64()),
+                        pa.array([(start + size) // width], pa.int64()),
                         pa.array([found], pa.list_(pa.int64())),
                     ],
                     names=["file", "block", "stop", "ends"],
                 )
 
-    each = blocks(files, block)
+    each = blocks(files, block, width)
     # One task for some blocks each, however few files there are.
     spread = each.repartition("file", "block")
     found = stored(spread.mapInArrow(run, "file string, block int, stop long, ends array<long>"))
@@ -169,6 +186,19 @@ def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.join(found, ["file", "document"]).select("doc_id", "n_tokens", "ended")
 
 
+def op2_bpe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the tokens of the byte-level BPE; ids are stored one higher, as 0 ends a document."""
+    import public_tokenizers
+
+    tokenizer = bpe.Tokenizer(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, tokenizer, bpe.frequent_words(docs, tokenizer), out="tokens")
+    tokens = F.transform("tokens", lambda i: i + 1).alias("tokens")
+    written = write(encoded.select("doc_id", tokens), "tokens", scratch(spark))
+    found = scan(written.select("file"))
+    return written.join(found, ["file", "document"]).select("doc_id", "n_tokens", "ended")
+
+
 SQL = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
        true AS ended

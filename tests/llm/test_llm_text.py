@@ -283,3 +283,29 @@ def test_token_that_ends_documents_is_refused(spark):
     df = spark.createDataFrame([([1, 0],)], "tokens array<int>")
     with pytest.raises(Exception, match="end-of-document"):
         tokenfiles.write(df, "tokens", scratch(spark))
+
+
+def test_wide_tokens(spark):
+    top = (1 << 32) - 1
+    rows = [(1, [70_000, 1, 65_536]), (2, []), (3, None), (4, [top] * 50), (5, [256, 65_535])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<long>").repartition(2)
+    written = tokenfiles.write(df, "tokens", scratch(spark), width=4)
+    for block in (4, 12, 1 << 20):
+        found = tokenfiles.scan(written.select("file"), block=block, width=4)
+        got = sorted((r.doc_id, r.n_tokens) for r in written.join(found, ["file", "document"]).collect())
+        assert got == [(i, len(t or [])) for i, t in rows]
+    for bad in ([top + 1], [1, None]):
+        one = spark.createDataFrame([(bad,)], "tokens array<long>")
+        with pytest.raises(Exception, match="more than 32 bits"):
+            tokenfiles.write(one, "tokens", scratch(spark), width=4)
+    with pytest.raises(ValueError, match="whole tokens"):
+        tokenfiles.scan(written.select("file"), block=6, width=4)
+    with pytest.raises(ValueError, match="2 or 4"):
+        tokenfiles.scan(written.select("file"), width=3, block=3)
+
+
+def test_bpe_scan_counts_tokens(spark, truth):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = sorted((r.doc_id, r.n_tokens, r.ended) for r in tokenfiles.op2_bpe_scan(spark, folder).collect())
+    assert got == sorted((r.doc_id, len(truth.encode_ordinary(r.text or "")), True) for r in docs)
