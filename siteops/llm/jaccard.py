@@ -394,6 +394,26 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     nothing. Rows with the same id are one document with the links of each. A null id stays null and
     links with nothing. Columns other than these two don't matter.
     """
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = df.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(content).alias("x"), F.max(content).alias("y"))
+    if ids.where("x <> y").isEmpty():
+        return groups_of_texts(df, words, percent)
+    # Some id has several texts: each text is compared by a number of its own.
+    node = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", content))
+    found = stored(groups_of_texts(df.select(node.alias("doc_id"), "text"), words, percent))
+    nameless = found.where("doc_id IS NULL")
+    by_node = found.where("doc_id IS NOT NULL").distinct().withColumnRenamed("doc_id", "node")
+    rows = df.where("doc_id IS NOT NULL").select("doc_id", node.alias("node"))
+    rows = stored(rows.join(by_node, "node").drop("node"))
+    first = rows.groupBy("component_id").agg(F.min("doc_id").alias("a"))
+    roots = components(rows.join(first, "component_id").select("a", F.col("doc_id").alias("b")))
+    out = rows.drop("component_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return out.unionByName(nameless)
+
+
+def groups_of_texts(df: DataFrame, words: int, percent: int) -> DataFrame:
+    """The same where all rows with an id have one text."""
     sizes = stored(signatures(df, words))
     known = sizes.where("n > 0 AND doc_id IS NOT NULL")
     same = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))

@@ -308,6 +308,29 @@ def test_groups_repeated_and_null_ids(spark):
     assert jaccard.similar_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_groups_of_ids_with_several_texts(spark, seed):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (4, c), (4, d), (5, c + " more"), (6, d + " more")]
+    rows += [(7, None), (7, "one two"), (8, ""), (None, a), (None, None)]
+    if seed:
+        rng = random.Random(seed)
+        rows = [(rng.randrange(40), rng.choice([a, b, c, d]) + f" {rng.choice('xyz')}" * rng.randint(0, 9)) for _ in range(30)]
+        rows += [(rng.randrange(40), " ".join(rng.choices("pqrstuvw", k=30))) for _ in range(20)]
+    texts = dict(enumerate(rows))
+    groups = plain_groups([(k, t) for k, (i, t) in texts.items() if i is not None], 5, 80)
+    edges = {(texts[k][0], texts[root][0]) for k, (_, root) in groups.items()}
+    root = {i: i for i, _ in rows if i is not None}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    sizes = plain_groups(list((k, t) for k, (_, t) in texts.items()), 5, 80)
+    want = [(i, sizes[k][0], root.get(i)) for k, (i, _) in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in jaccard.similar_groups(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 5), (None, 3), (3, 9), (9, 3)]
