@@ -233,6 +233,26 @@ def test_bucket_bounds_are_optimal():
     assert packing.bucket_bounds(np.array([], np.int64), np.array([], np.int64)) == []
 
 
+def test_bins_lose_little_padding(spark):
+    rng = np.random.default_rng(8)
+    lengths = np.sort(rng.choice(np.arange(200, 9000), 300, replace=False))
+    counts = rng.integers(1, 50, 300)
+    rows = spark.createDataFrame([(int(n),) for n in lengths], "n long")
+    bins = {r.n: r.bin for r in rows.select("n", packing.length_bin(F.col("n")).alias("bin")).collect()}
+    binned = Counter()
+    for n, m in zip(lengths.tolist(), counts.tolist()):
+        binned[bins[n]] += m
+    tops = sorted(binned)
+
+    def padded(bounds):
+        places = np.searchsorted(bounds, lengths)
+        return int((np.array(bounds)[places] * counts).sum())
+
+    best = padded(packing.bucket_bounds(lengths, counts))
+    got = padded(packing.bucket_bounds(np.array(tops), np.array([binned[t] for t in tops])))
+    assert best <= got <= best * 129 / 128
+
+
 def test_pack(spark):
     rows = [(i, n) for i, n in enumerate([0, 0, 5, 5, 5, 300, 301, 9, 100_000, None])] + [(3, 5), (None, 2)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, size long, bucket int")
