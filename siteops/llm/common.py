@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteops.operators.storage import shared_folder
@@ -82,3 +83,44 @@ def slices(sizes, most: int):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def placed(df: DataFrame, group: list[str], order: list[str | Column], *, facts: DataFrame | None = None) -> DataFrame:
+    """`df` with `place` (from 0) and `total`: where each row stands in its group, and the group's rows.
+
+    Rows are range-partitioned by group and order and stored, so that no task sorts a group. Equal rows
+    are dealt out by where they were stored. A place is the row's own in its partition plus the rows of
+    the group in earlier partitions; those numbers are one row for each partition and group in it. What
+    `facts` says of each group (its columns beside `group`) is joined to these few rows, not to `df`.
+    Groups may be null. `df` should be stored, as it is read twice.
+    """
+    part, row, tie, start, n, before = fresh(df, "part", "row", "tie", "start", "n", "before")
+    by = [F.col(f"`{c}`") for c in group] + [F.col(f"`{o}`") if isinstance(o, str) else o for o in order]
+    tied = df.withColumn(tie, F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*by, F.col(tie)).sortWithinPartitions(*by, F.col(tie)).drop(tie)
+    at = F.monotonically_increasing_id()
+    rows = stored(
+        dealt.withColumns({part: F.shiftright(at, 33).cast("int"), row: at.bitwiseAND(F.lit((1 << 33) - 1))})
+    )
+    spans = rows.groupBy(part, *group).agg(F.min(row).alias(start), F.count("*").alias(n))
+    # A group has a span for each partition it reaches into; without a group there is one for each partition.
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    spans = spans.withColumns(
+        {before: F.sum(n).over(whole.orderBy(part)) - F.col(n), "total": F.sum(n).over(whole)}
+    ).drop(n)
+    if facts is not None:
+        spans = spans.join(facts.withColumnsRenamed({c: f"{c} of" for c in group}), _same(group, " of")).drop(
+            *[f"{c} of" for c in group]
+        )
+    spans = spans.withColumnsRenamed({c: f"{c} of" for c in [part, *group]})
+    return (
+        rows.join(spans, _same([part, *group], " of"))
+        .withColumn("place", F.col(row) - F.col(start) + F.col(before))
+        .drop(part, row, start, before, *[f"{c} of" for c in [part, *group]])
+    )
+
+
+def _same(columns: list[str], suffix: str) -> Column:
+    """Each column equals that with the suffix; null equals null."""
+    tests = [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}{suffix}`")) for c in columns]
+    return functools.reduce(lambda a, b: a & b, tests)

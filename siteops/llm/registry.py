@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, jaccard, language, lines, lm, media, packing, quality, tokenfiles, topk, word_lm
+from siteops.llm import bpe, jaccard, language, lines, lm, media, mixing, packing, quality, tokenfiles, topk, word_lm
 
 _QUERIES = [
     packing.op1_length_buckets,
@@ -17,6 +17,7 @@ _QUERIES = [
     lines.op8_line_dedup,
     media.op9_telephony_audio,
     jaccard.op10_ngram_jaccard,
+    mixing.op12_pivotal_mix,
 ]
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op6_backoff_scores": lm.SQL,
     "op6_word_backoff": word_lm.SQL,
     "op8_line_dedup": lines.SQL,
+    "op12_pivotal_mix": mixing.SQL,
 }
