@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteops.llm import bpe, jaccard, language, lines, lm, media, mixing, packing, quality, tokenfiles, topk, word_lm
+from siteops.llm import bpe, jaccard, language, lines, lm, media, merkle, mixing, packing, quality, spelling, tokenfiles, topk, word_lm
 
 _QUERIES = [
     packing.op1_length_buckets,
@@ -17,7 +17,9 @@ _QUERIES = [
     lines.op8_line_dedup,
     media.op9_telephony_audio,
     jaccard.op10_ngram_jaccard,
+    spelling.op11_spelling_variants,
     mixing.op12_pivotal_mix,
+    merkle.op13_merkle_manifest,
 ]
 QUERIES = {q.__name__: q for q in _QUERIES}
 SQL = {
@@ -27,5 +29,7 @@ SQL = {
     "op6_backoff_scores": lm.SQL,
     "op6_word_backoff": word_lm.SQL,
     "op8_line_dedup": lines.SQL,
+    "op11_spelling_variants": spelling.SQL,
     "op12_pivotal_mix": mixing.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
