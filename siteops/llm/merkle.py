@@ -154,15 +154,16 @@ def ascend(nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
         total, place = table["total"][0].as_py(), table["place"].to_numpy()
         levels, top = grow(read(table["digest"]), levels_of(total, height))
         at = np.arange(len(place))
-        way = np.stack([steps(x, at // WAYS**i) for i, x in enumerate(levels)], axis=1) if levels else None
-        paths = [way[i].tobytes() for i in at] if levels else [b""] * len(at)
+        ways = np.empty((len(at), len(levels)), STEP)
+        for i, level in enumerate(levels):
+            ways[:, i] = steps(level, at // WAYS**i)
         return pa.table(
             {
                 "tree": table["tree"],
                 "place": table["place"],
                 "run": table["run"],
                 "total": table["total"],
-                "path": pa.array(paths, pa.binary()),
+                "path": pa.array([way.tobytes() for way in ways], pa.binary()),
                 "top": pa.array([written(top)[0].as_py()] * len(at), pa.binary()),
             }
         )
@@ -290,7 +291,7 @@ def _sql(levels: int = 12) -> str:
     """The same in SQL, with so many levels of each tree written out (3^12 rows a source and 3^12 sources)."""
 
     def tree(nodes: str, rows: str, name: str) -> list[str]:
-        """Levels over `nodes` (tree, place, total, digest), and `rows` (tree, at, now, proof) folded up them."""
+        """Levels over `nodes` (tree, place, total, digest), and `rows` (tree, pos, now, proof) folded up them."""
         out = []
         for i in range(1, levels + 1):
             below, docs = (nodes, rows) if i == 1 else (f"{name}{i - 1}", f"{name}_rows{i - 1}")
@@ -300,11 +301,11 @@ def _sql(levels: int = 12) -> str:
          CASE WHEN any_value(total) > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) ELSE any_value(digest) END AS digest
   FROM {below} GROUP BY tree, place // {WAYS}
 ), {name}_rows{i} AS MATERIALIZED (
-  SELECT r.* EXCLUDE (at, now, proof), at // {WAYS} AS at,
-         CASE WHEN grows THEN sha256(array_to_string(list_transform(kids, lambda x, i: CASE WHEN i = at % {WAYS} + 1 THEN now ELSE x END), ''))
+  SELECT r.* EXCLUDE (pos, now, proof), pos // {WAYS} AS pos,
+         CASE WHEN grows THEN sha256(array_to_string(list_transform(kids, lambda x, i: CASE WHEN i = pos % {WAYS} + 1 THEN now ELSE x END), ''))
               ELSE now END AS now,
-         proof || CASE WHEN grows THEN array_to_string(list_filter(kids, lambda x, i: i <> at % {WAYS} + 1), '') ELSE '' END AS proof
-  FROM {docs} r JOIN {name}{i} k ON r.tree = k.tree AND r.at // {WAYS} = k.place
+         proof || CASE WHEN grows THEN array_to_string(list_filter(kids, lambda x, i: i <> pos % {WAYS} + 1), '') ELSE '' END AS proof
+  FROM {docs} r JOIN {name}{i} k ON r.tree = k.tree AND r.pos // {WAYS} = k.place
 )""")
         return out
 
@@ -318,7 +319,7 @@ def _sql(levels: int = 12) -> str:
 WITH crc AS (
   SELECT list({bits.format("i")} ORDER BY i) AS crcs FROM range(256) t(i)
 ), hashed AS (
-  SELECT d.*, coalesce(xor(list_reduce(list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(doc_id::VARCHAR[i + 1])::BIGINT),
+  SELECT d.*, coalesce(xor(list_reduce(list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT),
            lambda c, b: xor(c // 256, crcs[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 2 = 0, false) AS tampered
   FROM documents d, crc
 ), leaves AS (
@@ -331,13 +332,13 @@ WITH crc AS (
          count(*) OVER (PARTITION BY source) AS total
   FROM leaves
 ), nodes AS (SELECT tree, place, total, leaf AS digest FROM rows_
-), ways AS (SELECT doc_id, leaf, tree, place AS at, changed AS now, '' AS proof FROM rows_
+), ways AS (SELECT doc_id, leaf, tree, place AS pos, changed AS now, '' AS proof FROM rows_
 ),
 {comma.join(tree("nodes", "ways", "t"))},
 subroots AS (
   SELECT 0 AS tree, tree AS place, count(*) OVER () AS total, digest FROM t{levels}
 ), upper_ways AS (
-  SELECT r.doc_id, r.leaf, t.digest AS subroot, 0 AS tree, r.tree AS at, r.now, r.proof
+  SELECT r.doc_id, r.leaf, t.digest AS subroot, 0 AS tree, r.tree AS pos, r.now, r.proof
   FROM t_rows{levels} r JOIN t{levels} t ON r.tree = t.tree
 ),
 {comma.join(tree("subroots", "upper_ways", "u"))}
