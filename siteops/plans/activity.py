@@ -16,11 +16,14 @@ from siteops.sources import prepare_streams, read_table, stream_table, with_utc_
 from siteops.streaming import (
     FanOut,
     ReplayBatches,
+    changes_stream,
     fan_out,
+    hover_stream,
     parquet_sink,
     replay_stream,
     run_to_parquet,
     sessions_stream,
+    toggle_stream,
     ttl_stream,
 )
 
@@ -266,6 +269,13 @@ def menu_intervals_cut(spark, folder):
     return interaction.hover_intervals(hovers, USER, ORDER, 6 * HOUR, chunk_rows=CUT_ROWS)
 
 
+def menu_intervals_as_stream(spark, folder):
+    stream = hover_stream(
+        _hovers(_event_stream(spark, folder)), USER, ORDER, 6 * HOUR, lateness=dt.timedelta(0)
+    )
+    return _plain_times(run_to_parquet(stream).drop("batch_id"), "opened_at", "closed_at")
+
+
 def threshold_changes(spark, folder):
     out = interaction.changes_only(
         events(spark, folder), USER, ORDER, F.col("value") < 76.8, "is_low"
@@ -281,6 +291,14 @@ def threshold_changes_cut(spark, folder):
     return out.select("user_id", "ts", "seq", "is_low")
 
 
+def threshold_changes_as_stream(spark, folder):
+    stream = changes_stream(
+        _event_stream(spark, folder), USER, ORDER, F.col("value") < 76.8, "is_low",
+        lateness=dt.timedelta(0),
+    )
+    return _plain_times(run_to_parquet(stream).drop("batch_id"), "ts")
+
+
 def _toggles(df: DataFrame) -> DataFrame:
     """Clicks toggle and errors set; large values come from the desktop."""
     return df.filter(F.col("event_type").isin("click", "error")).select(
@@ -306,6 +324,14 @@ def panel_state_cut(spark, folder):
     return _toggle_state(spark, folder, chunk_rows=CUT_ROWS)
 
 
+def panel_state_as_stream(spark, folder):
+    stream = toggle_stream(
+        _toggles(_event_stream(spark, folder)), ["user_id", "device"], ORDER,
+        F.col("device") == "desktop", lateness=dt.timedelta(0),
+    )
+    return _plain_times(run_to_parquet(stream).drop("batch_id"), "ts")
+
+
 def _newest_time(spark: SparkSession, folder: str) -> Column:
     return events(spark, folder).select(F.max("ts")).scalar()
 

@@ -106,6 +106,9 @@ FROM fate f JOIN opens o USING (user_id, id) JOIN notes n USING (user_id, id)"""
 # The stream has seen everything up to its last watermark, which is in whole milliseconds.
 _SEEN = "(SELECT date_trunc('millisecond', max(ts)) FROM events)"
 
+#: The same over some kinds of events: a stream's watermark only sees what its filters leave.
+_SEEN_OF = "(SELECT date_trunc('millisecond', max(ts)) FROM events WHERE event_type {})"
+
 _STREAM_FATES = f"""
 SELECT user_id, id, added_at, removed_at, cause FROM ({_REPLAY_1}) WHERE removed_at <= {_SEEN}"""
 
@@ -364,10 +367,15 @@ SELECT * FROM ({_SESSIONS.format(gap=6)})
 WHERE session_end + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= {_SEEN}""",
     "menu_intervals": _MENUS,
     "menu_intervals_cut": _MENUS,
+    "menu_intervals_as_stream": f"""
+SELECT * FROM ({_MENUS}) WHERE closed_at <= {_SEEN_OF.format("<> 'purchase'")}""",
     "threshold_changes": _CHANGES,
     "threshold_changes_cut": _CHANGES,
+    "threshold_changes_as_stream": f"SELECT * FROM ({_CHANGES}) WHERE ts <= {_SEEN}",
     "panel_state": _PANELS,
     "panel_state_cut": _PANELS,
+    "panel_state_as_stream": f"""
+SELECT * FROM ({_PANELS}) WHERE ts <= {_SEEN_OF.format("IN ('click', 'error')")}""",
     "panel_cookies": f"""
 SELECT user_id, 'panel=' || CASE WHEN is_open THEN 'true' ELSE 'false' END
          || '; path=/; max-age=604800' AS cookie, ts + INTERVAL 7 DAY AS expires_at

@@ -1,16 +1,29 @@
 from siteops.streaming.batches import ReplayBatches
 from siteops.streaming.fanout import FanOut, fan_out, parquet_sink, run_to_parquet
-from siteops.streaming.interaction import not_found_stream, sessions_stream, ttl_stream
+from siteops.streaming.interaction import (
+    changes_stream,
+    hover_stream,
+    not_found_stream,
+    sessions_stream,
+    toggle_stream,
+    ttl_stream,
+)
+from siteops.streaming.ordered import Ordered, in_order
 from siteops.streaming.replay import replay_stream
 
 __all__ = [
     "FanOut",
+    "Ordered",
     "ReplayBatches",
+    "changes_stream",
     "fan_out",
+    "hover_stream",
+    "in_order",
     "not_found_stream",
     "parquet_sink",
     "replay_stream",
     "run_to_parquet",
     "sessions_stream",
+    "toggle_stream",
     "ttl_stream",
 ]

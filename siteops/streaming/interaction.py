@@ -1,4 +1,4 @@
-"""Streaming forms of sessions, time-limited values and the not-found report."""
+"""Streaming forms of sessions, menus, changes, toggles, time-limited values and the not-found report."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from siteops.operators.interaction import STATE_TTL
+from siteops.operators.interaction import CLOSE_DELAY, STATE_TTL
 from siteops.operators.routing import CATCH_ALL
+from siteops.streaming.ordered import Ordered, in_order
 
 MICRO = dt.timedelta(microseconds=1)
 
@@ -37,6 +38,133 @@ def sessions_stream(
     )
 
 
+class _Menu(Ordered):
+    """The menu of a key: (label, when it opened, when it will close)."""
+
+    state = "label string, opened bigint, closes bigint"
+
+    def __init__(self, keys, waiting, columns, delay: int):
+        super().__init__(keys, waiting, columns)
+        self.delay = delay
+
+    def due(self, state):
+        return None if state is None else state[2]
+
+    def fire(self, state):
+        return None, [state]
+
+    def take(self, state, row):
+        if row.kind == "enter":
+            if state is None:
+                return (row.label, row.at, None), []
+            if state[0] == row.label:
+                return (*state[:2], None), []
+            return (row.label, row.at, None), [(*state[:2], row.at)]
+        if state is None or state[2] is not None:
+            return state, []
+        return (*state[:2], row.at + self.delay), []
+
+
+def hover_stream(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    delay: dt.timedelta = CLOSE_DELAY,
+    *,
+    lateness: dt.timedelta,
+) -> DataFrame:
+    """Closed menu intervals from enter/leave events: key, label, opened_at, closed_at. Append mode.
+
+    The rules are those of `hover_intervals`. A pending close is a timer, which an enter before it
+    cancels. An interval is emitted when the watermark passes its close; menus still open are not.
+    """
+    rows = df.filter((F.col("kind") == "leave") | ((F.col("kind") == "enter") & F.col("has_mega")))
+    out = in_order(
+        rows, _Menu, key, order, {"kind": F.col("kind"), "label": F.col("label")},
+        {"label": "string", "opened": "bigint", "closed": "bigint"}, delay // MICRO, lateness=lateness,
+    )
+    return out.select(
+        *key, "label", F.timestamp_micros("opened").alias("opened_at"),
+        F.timestamp_micros("closed").alias("closed_at"),
+    )
+
+
+class _Changes(Ordered):
+    """The last value of a key."""
+
+    def __init__(self, keys, waiting, columns, kind: str):
+        super().__init__(keys, waiting, columns)
+        self.state = f"value {kind}"
+
+    def take(self, state, row):
+        differs = state is not None and state[0] != row.value
+        return (row.value,), [(row.at, row.seq, row.value)] if differs else []
+
+
+def changes_stream(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    expr: Column,
+    name: str = "changed_to",
+    *,
+    lateness: dt.timedelta,
+) -> DataFrame:
+    """Rows where `expr` differs from the key's previous row: key, order, and the value as `name`. Append mode.
+
+    The rules are those of `changes_only`: null counts as a value, and a key's first row is left out.
+    A row is emitted when the watermark passes it. The number of `order` is read as a bigint.
+    """
+    kind = df.select(expr.alias("value")).schema["value"].dataType.simpleString()
+    out = in_order(
+        df, _Changes, keys, order, {"value": expr}, {"at": "bigint", "seq": "bigint", "value": kind}, kind,
+        lateness=lateness,
+    )
+    return _with_order(out, keys, order, F.col("value").alias(name))
+
+
+class _Toggle(Ordered):
+    """The flag of a key."""
+
+    state = "flag boolean"
+
+    def take(self, state, row):
+        flag = bool(row.value) if row.kind == "set" else (row.initial if state is None else state[0])
+        if row.kind == "toggle" and flag is not None:
+            flag = not flag
+        return (flag,), [(row.at, row.seq, flag)]
+
+
+def toggle_stream(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    initial: Column | bool = True,
+    name: str = "is_open",
+    *,
+    lateness: dt.timedelta,
+) -> DataFrame:
+    """State after each event: key, order, and the flag as `name`. Append mode.
+
+    The rules are those of `toggle_state`: the last explicit set, flipped once per toggle since; a set
+    without a value is false. `initial` may be an expression on the key. A state is emitted when the
+    watermark passes its event. The number of `order` is read as a bigint.
+    """
+    initial = initial if isinstance(initial, Column) else F.lit(initial)
+    out = in_order(
+        df, _Toggle, key, order,
+        {"kind": F.col("kind"), "value": F.col("value"), "initial": initial.cast("boolean")},
+        {"at": "bigint", "seq": "bigint", "flag": "boolean"}, lateness=lateness,
+    )
+    return _with_order(out, key, order, F.col("flag").alias(name))
+
+
+def _with_order(df: DataFrame, key: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
+    ts, seq = order
+    number = F.nullif(F.col("seq"), F.lit(-(1 << 63)).cast("bigint"))
+    return df.select(*key, F.timestamp_micros("at").alias(ts), number.alias(seq), value)
+
+
 class _Latest(StatefulProcessor):
     """Latest write of a key, and a timer for when it expires."""
 

@@ -8,18 +8,21 @@ import pytest
 from pyspark.sql import functions as F
 from test_replay import DELAY, FIELDS, SCHEMA, random_log
 
-from siteops.operators.interaction import sessions
+from siteops.operators.interaction import changes_only, hover_intervals, sessions, toggle_state
 from siteops.operators.replay import replay
 from siteops.operators.routing import not_found
 from siteops.streaming import (
     FanOut,
     ReplayBatches,
+    changes_stream,
     fan_out,
+    hover_stream,
     not_found_stream,
     parquet_sink,
     replay_stream,
     run_to_parquet,
     sessions_stream,
+    toggle_stream,
     ttl_stream,
 )
 
@@ -240,3 +243,72 @@ def test_one_rule_for_open(spark, tmp_path):
         read_stream(spark, path, STREAM_SCHEMA), k=1, delay=DELAY, lateness=dt.timedelta(seconds=30)
     )
     assert {r.store_key: r.open for r in run_to_parquet(stream).collect()} == want
+
+
+def hover_log(rng, n):
+    """(user_id, ts, seq, kind, label, has_mega, value), with equal times, in order."""
+    at, rows = dt.datetime(2024, 1, 1), []
+    for seq in range(n):
+        at += dt.timedelta(milliseconds=rng.choice([0, 1, 50, 149, 150, 151, 400]))
+        rows.append((
+            rng.choice([1, 1, 1, 2, None]), at, seq, rng.choice(["enter", "leave", "toggle", "set"]),
+            rng.choice(["a", "b", None]), rng.choice([True, True, False, None]), rng.choice([True, False, None]),
+        ))
+    return rows
+
+
+HOVER = "user_id long, ts timestamp, seq long, kind string, label string, has_mega boolean, value boolean"
+KEY, BY = ["user_id"], ["ts", "seq"]
+
+
+def ordered_forms(df, streamed):
+    """Each operator over the same log, as a stream or in batch: (rows, the column that tells when)."""
+    clicks = df.filter(F.col("kind").isin("toggle", "set"))
+    late = {"lateness": dt.timedelta(seconds=2)}
+    first = F.col("user_id") == 1
+    if streamed:
+        return [
+            hover_stream(df, KEY, BY, **late),
+            changes_stream(df, KEY, BY, F.col("label"), **late),
+            toggle_stream(clicks, KEY, BY, first, **late),
+        ]
+    return [
+        (hover_intervals(df, KEY, BY), "closed_at"),
+        (changes_only(df, KEY, BY, F.col("label")).select(*KEY, *BY, "changed_to"), "ts"),
+        (toggle_state(clicks, KEY, BY, first).select(*KEY, *BY, "is_open"), "ts"),
+    ]
+
+
+@pytest.mark.parametrize("form", [0, 1, 2])
+def test_ordered_streams_equal_batch(spark, tmp_path, form):
+    """Rows that arrive out of order and too late, in files before and after a restart."""
+    rng = random.Random(form)
+    rows = hover_log(rng, 400)
+    jitter = {r[2]: r[1] + dt.timedelta(milliseconds=rng.uniform(0, 1900)) for r in rows}
+    arrived = sorted(rows, key=lambda r: jitter[r[2]])
+    end = dt.datetime(2024, 1, 2)
+    # The last two rows move the watermark past all others, and one comes an hour too late.
+    flush = [(9, end, 900, "toggle", "z", True, None), (1, end - dt.timedelta(hours=1), 901, "enter", "late", True, None)]
+    done = spark.createDataFrame([*rows, flush[0]], HOVER)
+    want, when = ordered_forms(done, False)[form]
+    want = want.filter(F.col(when) < end)
+    base = str(tmp_path)
+    path = write_files(spark, [*arrived[:250]], HOVER, base, 3)
+    for extra in (None, arrived[250:], flush[:1], flush[1:]):  # each is a new run of the query
+        if extra:
+            seen = set(os.listdir(path))
+            spark.createDataFrame(extra, HOVER).coalesce(1).write.mode("append").parquet(path)
+            for name in set(os.listdir(path)) - seen:
+                os.utime(f"{path}/{name}", (1_500_000_000 + extra[0][2],) * 2)
+        stream = ordered_forms(read_stream(spark, path, HOVER), True)[form]
+        query = fan_out(stream, {"out": parquet_sink(f"{base}/out")}, f"{base}/state", availableNow=True)
+        query.awaitTermination()
+    got = spark.read.parquet(f"{base}/out").filter(F.col(when) < end).select(*want.columns)
+    got, want = [sorted(map(repr, map(tuple, x.collect()))) for x in (got, want)]
+    assert len(want) > 30 and got == want
+
+
+def test_ordered_streams_of_nothing(spark, tmp_path):
+    path = write_files(spark, [(1, None, 1, "enter", "a", True, True)], HOVER, str(tmp_path), 1)
+    for stream in ordered_forms(read_stream(spark, path, HOVER), True):
+        assert run_to_parquet(stream).count() == 0
