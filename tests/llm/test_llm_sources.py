@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,8 +54,10 @@ def plain_variants(counts, ratio):
         best = min(close, key=lambda x: (-counts[x], x), default=None)
         formed = best is not None and counts[best] >= ratio * n
         out[w] = (best if formed else None, n, len(close), counts[best] if formed else None)
+
     def root(w):
         return w if out[w][0] is None else root(out[w][0])
+
     return {w: (v[0], root(w), *v[1:]) for w, v in out.items()}
 
 
@@ -66,7 +70,7 @@ def test_variants(spark, monkeypatch, cell):
         for _ in range(60):
             w = list(stem)
             for _ in range(rng.randint(0, 2)):
-                i = rng.randrange(len(w))
+                i = rng.randrange(len(w) + 1)
                 w[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "e", "é", "ab"])
             if w:
                 counts["".join(w)] = rng.choice([2, 3, 20, 30, 300])
@@ -82,8 +86,6 @@ def test_variants_of_nothing(spark):
 
 
 def plain_words(doc_id, text, thin):
-    import re
-
     for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
         run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
         h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
@@ -134,7 +136,6 @@ def test_mix(spark, run):
         sizes[source] += len((text or "").split())
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
     want = dict(zip(order, plain_targets([sizes[s] for s in order], mixing.WEIGHTS, 3)))
-    of = {i: s for i, (_, _, s) in enumerate(rows)}
     by = defaultdict(list)
     for r in got:
         by[r.source_size, round(r.target, 6)].append(r)
@@ -146,8 +147,7 @@ def test_mix(spark, run):
             assert abs(sum(r.taken for r in members) - target) <= largest
         for r in members:
             assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
-            assert r.size == 0 or r.copies - target / size in pytest.approx([0], abs=1) or abs(r.copies - target / size) < 1
-    assert len(of) == len(rows)
+            assert r.size == 0 or abs(r.copies - target / size) < 1
 
 
 def test_mix_is_fair(spark):
@@ -235,8 +235,6 @@ def test_small_manifests(spark):
 
 def test_states_resume(spark):
     """A state after whole blocks goes on as that of the standard library."""
-    import numpy as np
-
     digests = [hashlib.sha256(bytes([i])).digest() for i in range(5)]
     words = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 8).T.astype(np.uint32)
     state = merkle.begun(1)
