@@ -453,6 +453,19 @@ WITH {_PATHS},
 links AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT href, count(*) AS n_links FROM links
 WHERE href NOT IN (SELECT path FROM paths) GROUP BY href""",
+    "dead_relative_links": f"""
+WITH {_PATHS},
+dirs AS (SELECT page_id, regexp_replace(path, '[^/]*$', '') AS dir FROM paths),
+links AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">', 1)) AS name FROM pages
+),
+resolved AS (
+  SELECT CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN dir WHEN 3 THEN dir
+           WHEN 2 THEN CASE WHEN dir = '/' THEN dir ELSE regexp_replace(dir, '[^/]*/$', '') END END || name AS href
+  FROM links JOIN dirs USING (page_id)
+)
+SELECT href, count(*) AS n_links FROM resolved
+WHERE href IS NOT NULL AND href NOT IN (SELECT path FROM paths) GROUP BY href""",
     "scalar_values": """
 SELECT event_id, CASE WHEN event_type = 'view' THEN 'outline' ELSE 'default' END AS variant,
        CAST(floor(value * 10) AS INTEGER) < 768 AS is_mobile,

@@ -267,6 +267,22 @@ def dead_page_links(spark, folder):
     return routing.dead_links(routing.page_links(pages), routes)
 
 
+#: Other forms of the same link, by page: relative, unquoted, in capitals, with references, commented out.
+LINK_FORMS = [
+    '<a href="/$1">', "<A class=n HREF='./$1'>", "<a href = ../$1>", '<a href="$1?a=1&amp;b=2#t">',
+    '<!-- <a href="/$1"> --><a href="//other.example/$1">',
+]
+
+
+def dead_relative_links(spark, folder):
+    """Link targets that are no crawled page's path, where pages write their links in several forms."""
+    pages = read_table(spark, folder, "pages")
+    form = F.element_at(F.array(*map(F.lit, LINK_FORMS)), (F.col("page_id") % len(LINK_FORMS) + 1).cast("int"))
+    html = F.regexp_replace("html", F.lit('<a href="/([^"]*)">'), form)
+    links = routing.page_links(pages.withColumn("html", html), url="url")
+    return routing.dead_links(links, _paths(spark, folder).select("path").distinct(), base="base")
+
+
 def scalar_values(spark, folder):
     """The scalar expressions, applied to events."""
     event, value = F.col("event_type"), F.col("value")

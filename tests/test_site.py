@@ -1,5 +1,9 @@
 """Hierarchy, lookups, charts and routing on the golden inputs."""
 
+import random
+from collections import defaultdict
+from urllib.parse import urljoin
+
 import fixtures
 import pandas as pd
 import pytest
@@ -296,3 +300,94 @@ def test_link_paths(spark):
     routes = spark.createDataFrame([("*",), ("/en/5",)], "path string")
     dead = routing.dead_links(df, routes, ["own.example"]).collect()
     assert {r.href: r.n_links for r in dead} == {"/": 1, "/a": 1, "page": 1}
+
+
+# The examples of RFC 3986, section 5.4, of what references mean on this page.
+RFC_BASE = "http://a/b/c/d;p?q"
+RFC_EXAMPLES = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g",
+    "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s",
+    "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x",
+    "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/",
+    "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/",
+    "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g",
+    "/../g": "http://a/g", "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..",
+    "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h",
+    "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y",
+    "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/./x": "http://a/b/c/g#s/./x",
+    "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http:g",
+}
+
+
+def test_resolve_url(spark):
+    rows = [(h, RFC_BASE, want) for h, want in RFC_EXAMPLES.items()]
+    rows += [
+        ("g", "http://a", "http://a/g"), ("g", "http://a?x=/y/z", "http://a/g"), ("", "http://a/b#c", "http://a/b"),
+        ("?", "http://a/b?q", "http://a/b?"), ("/a//../b", "http://h/", "http://h/a/b"), ("é/../ü", "http://h/x/", "http://h/x/ü"),
+        ("../" * 3000 + "x", "http://h/" + "s/" * 2000, "http://h/x"), (None, "http://a", None), ("g", None, None),
+    ]
+    df = spark.createDataFrame(rows, "href string, base string, want string")
+    got = df.withColumn("got", routing.resolve_url(F.col("href"), F.col("base"))).collect()
+    assert [(r.href, r.got) for r in got if r.got != r.want] == []
+
+
+def test_resolve_url_equals_library(spark):
+    rng = random.Random(5)
+    pick = lambda *options: rng.choice(options)
+
+    def path(root):
+        parts = [pick("a", "b", "..", ".", "c.d", "...") for _ in range(rng.randint(0, 6))]
+        return pick("/", root) + "/".join(parts) if parts else root
+
+    rows = []
+    for _ in range(300):
+        base = f"http://h{path('/')}"
+        href = path("") + pick("", "?x=1") + pick("", "#f")
+        rows.append((href, base))
+    df = spark.createDataFrame(rows, "href string, base string")
+    got = df.withColumn("got", routing.resolve_url(F.col("href"), F.col("base"))).collect()
+    for r in got:
+        joined = urljoin(r.base, r.href)
+        assert r.got == joined, r
+
+
+HTML_FORMS = [
+    ('<a href="/a">', ["/a"]), ("<a href='/b'>", ["/b"]), ('<A HREF="/c">', ["/c"]), ("<a href=/d>", ["/d"]),
+    ("<a href = \n '/e' >", ["/e"]), ('<a href="/f?a=1&amp;b=2">', ["/f?a=1&b=2"]), ("<a class=x\thref=/g>", ["/g"]),
+    ('<a title="a > b" href="/h">', ["/h"]), ("<a title=don't href=/i>", ["/i"]), ('<a/href="/j"/>', ["/j"]),
+    ('<area href="/k">', ["/k"]), ('<abbr href="/no"><link href="/no"><a data-href="/no">', []),
+    ('<!-- <a href="/no"> --><a href="/l">', ["/l"]), ('<!--><a href="/m">', ["/m"]), ('<!-- > <a href="/no">', []),
+    ('<script>x = "<a href=/no>"</script><a href="/n">', ["/n"]), ('<STYLE a=b> <a href=/no> </style\n>', []),
+    ('<script><a href="/no"></scripty>', []), ('<img alt="<a href=\'/no\'>"><a href="/o">', ["/o"]),
+    ('<a href="/p" href="/no">', ["/p"]), ("<a href><a href=''><a href=\"\">", []), ('<a href="  /q\n/r ">', ["/q/r"]),
+    ('<a href="/&#233;&#xE9;&eacute;&apos;&lt;">', ["/ééé'<"]), ('<a href="/s?x&y=1&copy=2&nope;&#0;&#xD800;">', ["/s?x&y=1&copy=2&nope;��"]),
+    ("<a href=/t/>", ["/t/"]), ('<p>1 < 2 <a href="/u">x</a>', ["/u"]), ('<a href="/no', []), ("</a href='/no'>", []),
+    ('<a href=/v?x="y">', ['/v?x="y"']), ("", []), (None, []),
+]
+
+
+def test_links_of_html(spark):
+    pages = [(i, h) for i, (h, _) in enumerate(HTML_FORMS)]
+    pages.append((len(pages), "<p " + "a='1' " * 5000 + ">" + "1<" * 50000 + "".join(f"<a href=/{i}>" for i in range(3000)) + '"' * 9999))
+    want = [*[w for _, w in HTML_FORMS], [f"/{i}" for i in range(3000)]]
+    got = defaultdict(list)
+    for r in routing.page_links(spark.createDataFrame(pages, "id int, html string"), keep=("id",)).collect():
+        got[r.id].append(r.href)
+    assert [(HTML_FORMS[i] if i < len(HTML_FORMS) else "", got[i]) for i, w in enumerate(want) if got[i] != w] == []
+
+
+def test_links_relative_to_pages(spark):
+    pages = [
+        (1, "http://h.example/en/5?x", '<a href="a.html"><a href="./b.html"><a href="../c.html"><a href="/en/../en/d"><a href="#t"><a href="?q">'),
+        (2, "http://h.example/de/x/", "<base target=_top><base href='../fr/'><base href='/no/'><a href=e><a href=//h.example/f><a href='http://other.example/en/d'>"),
+        (3, None, '<a href="g"><a href="http://own.example/en/d"><a href="http://own.example">'),
+        (4, "http://H.example/", '<a href="mailto:a@b"><a href="en/d"><a href="HTTP://h.EXAMPLE/h">'),
+    ]
+    df = spark.createDataFrame(pages, "id int, url string, html string")
+    links = routing.page_links(df, url="url")
+    assert links.columns == ["base", "href"]
+    routes = spark.createDataFrame([("*",), ("/en/d",), ("/c.html",)], "path string")
+    dead = routing.dead_links(links, routes, ["own.example"], base="base").collect()
+    assert {r.href: r.n_links for r in dead} == {
+        "/en/a.html": 1, "/en/b.html": 1, "/de/fr/e": 1, "/f": 1, "/": 1, "/h": 1,
+    }
