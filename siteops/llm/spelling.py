@@ -32,9 +32,10 @@ RATIO = 10
 CELL = 1 << 14
 CELL_LETTERS = 1 << 24
 #: Words in a leaf of the tree of a cell.
-LEAF = 32
-#: Words that search a tree at once, and letters of pairs that are compared at once.
-SEARCHERS = 4096
+LEAF = 128
+#: Words that search a tree at once, their pairs with words of a leaf, and letters that are compared at once.
+SEARCHERS = 1 << 14
+MARKED = 1 << 18
 COMPARED = 1 << 22
 #: (counts gained, counts lost) by an edit that keeps the length, and by an inserted letter.
 REPLACED, INSERTED = (1, 1), (1, 0)
@@ -48,7 +49,8 @@ def runs(doc_id: Column, text: Column, thin: int = 31, least: int = LEAST_CHARS)
     counts as an empty text.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    found = F.regexp_extract_all(F.translate(text, upper, lower), F.lit(f"[{LETTERS}]{{{least},}}"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(f"[{LETTERS}]{{{least},}}"), F.lit(0))
+    found = F.transform(found, lambda run: F.when(run.rlike("[A-Z]"), F.translate(run, upper, lower)).otherwise(run))
     prefix = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"))
 
     def thinned(run: Column) -> Column:
@@ -180,7 +182,7 @@ class Tree:
 
     def near(self, codes: np.ndarray, counts: np.ndarray, reach: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(row of the searching words, row of the tree's words) of all pairs that are one edit apart."""
-        found = []
+        found, pending, many = [], [], 0
         own, most = marks(counts), sum(reach)
         stack = [(0, np.arange(len(counts)))]
         while stack:
@@ -192,15 +194,21 @@ class Tree:
             if children:
                 stack += [(c, at) for c in children]
                 continue
-            step = max(1, COMPARED // len(at))
-            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-                a, b = np.nonzero(np.bitwise_count(own[at][:, None] ^ self.marks[part]) <= most)
-                found += self._same(at[a], part[b], codes, counts, reach)
-        a, b = zip(*found) if found else ([np.zeros(0, int)], [np.zeros(0, int)])
-        return np.concatenate(a), np.concatenate(b)
-
-    def _same(self, a: np.ndarray, b: np.ndarray, codes: np.ndarray, counts: np.ndarray, reach: tuple) -> Iterator[tuple]:
+            step = max(1, MARKED // len(rows))
+            for part in (at[i : i + step] for i in range(0, len(at), step)):
+                a, b = np.nonzero(np.bitwise_count(own[part][:, None] ^ self.marks[rows]) <= most)
+                pending.append((part[a], rows[b]))
+                many += len(a)
+            if many > COMPARED // BINS:
+                found += self._same(pending, codes, counts, reach)
+                pending, many = [], 0
+        found += self._same(pending, codes, counts, reach)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _same(self, pending: list[tuple], codes: np.ndarray, counts: np.ndarray, reach: tuple) -> list[tuple]:
         """Pairs in range whose letters stand in the same order but for the edit."""
+        out = [(np.zeros(0, int), np.zeros(0, int))]
+        a, b = (np.concatenate(x) for x in zip(*pending)) if pending else out[0]
         step = max(1, COMPARED // max(BINS, self.codes.shape[1]))
         for i in range(0, len(a), step):
             x, y = a[i : i + step], b[i : i + step]
@@ -212,7 +220,8 @@ class Tree:
                 before = np.logical_and.accumulate(codes[x] == self.codes[y, :-1], axis=1).sum(1)
                 after = np.logical_and.accumulate((codes[x] == self.codes[y, 1:])[:, ::-1], axis=1).sum(1)
                 right = before + after >= codes.shape[1]
-            yield x[right], y[right]
+            out.append((x[right], y[right]))
+        return out
 
 
 def marks(counts: np.ndarray) -> np.ndarray:
