@@ -17,6 +17,7 @@ SCHEMAS = {
 }
 #: White space of the contracts: space and the characters 9 to 13.
 BLANK = r"\x20\x09-\x0D"
+ASIDE = "set aside"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +74,20 @@ def beside(df: DataFrame, source: str, keep: list[str] | None, added: dict[str,
     return df.select(*columns, F.col(f"`{source}`").alias(name)), kept, schema, len(kept)
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of `docs` that an operator uses, and all others as one, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in others(docs, *used)]
+    return docs.select(*used, F.struct(F.lit(0).alias("none"), *rest).alias(ASIDE))
+
+
+def brought_back(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of `docs`, from rows that `set_aside` made: those used as they are now, the others as before."""
+    names = {u.lower(): u for u in used}
+    return df.select(
+        *(F.col(names[c.lower()]) if c.lower() in names else F.col(ASIDE).getField(c) for c in docs.columns)
+    ).toDF(*docs.columns)
+
+
 def slices(sizes, most: int):
     """Consecutive ranges (start, end) of items whose sizes add up to `most`, or of one item."""
     start = total = 0

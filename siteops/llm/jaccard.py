@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import slices, stored, table
+from siteops.llm.common import fresh, slices, stored, table
 from siteops.llm.components import components
 
 SLICE = 1 << 20
@@ -444,5 +444,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id, with its columns."""
     groups = similar_groups(docs.select("doc_id", "text"))
-    later = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    id_ = fresh(docs, "later")[0]
+    later = groups.where("component_id < doc_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(later, F.col("doc_id") == F.col(id_), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siteops.llm.common import fresh, others, stored, table
+from siteops.llm.common import brought_back, fresh, others, set_aside, stored, table
 
 LEAST_CHARS = 10
 BITS_PER_LINE = 12
@@ -207,10 +207,10 @@ def dedup_lines(df: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """All documents with their columns, without the lines that an earlier document has; `n_chars` follows."""
-    left = dedup_lines(docs)
+    left = brought_back(dedup_lines(set_aside(docs, "doc_id", "text")), docs, "doc_id", "text")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast("long"))
-    return left.select(*docs.columns)
+    return left
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ documents in earlier shards of that order plus the place in their own shard, so
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteops.llm.common import BLANK, stored, table
+from siteops.llm.common import ASIDE, BLANK, stored, table
 
 BUCKETS = 8
 BUDGET = 1 << 15
@@ -70,8 +72,11 @@ def pack(
     budget: int = BUDGET,
     buckets: int = BUCKETS,
     doc_id: str = "doc_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(doc_id, n_tokens, bucket, padded, batch, slot) of each row: where it goes.
+    """(doc_id, n_tokens, bucket, padded, batch, slot) of each row: where it goes; then the columns to keep.
+
+    A column to keep with the name of one of these is left out.
 
     A bucket pads to its bound, and a batch holds as many rows as the budget has room for, at least one:
     a row longer than the budget has a batch of its own. Rows of length 0 stand in a bucket like others.
@@ -79,7 +84,11 @@ def pack(
     shard; rows with the same id and length have places of their own. An empty table has no rows.
     """
     id_ = F.col(f"`{doc_id}`")
-    rows = stored(df.select(id_.alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
+    made = ["doc_id", "n_tokens", "bucket", "padded", "batch", "slot"]
+    kept = [c for c in keep if c.lower() not in made]
+    aside = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in kept]).alias(ASIDE)
+    tokens = F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")
+    rows = stored(df.select(id_.alias("doc_id"), tokens, *[aside] * bool(kept)))
     binned = rows.withColumn("bin", length_bin(F.col("n_tokens")))
     shape = binned.groupBy("bin").agg(F.max("n_tokens").alias("most"), F.count("*").alias("n"))
     found = sorted((r.most, r.n) for r in shape.collect())  # a few thousand bins
@@ -104,6 +113,7 @@ def pack(
         "padded",
         F.floor(place / room).cast("long").alias("batch"),
         (place % room).cast("long").alias("slot"),
+        *[F.col(ASIDE).getField(c).alias(c) for c in kept],
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteops.llm.boosting import Forest, fit
-from siteops.llm.common import beside, held_out, slices, table
+from siteops.llm.common import beside, brought_back, held_out, set_aside, slices, table
 
 SAMPLE = 20_000
 SLICE = 4 << 20
@@ -142,6 +142,7 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that trees learnt from `labels` predict to be good, with their columns."""
-    good = score(docs, train(docs, labels)).where("predicted = 1")
-    return good.select(*docs.columns)
+    """The documents that trees learnt from `labels` predict to be good, with their columns whatever their names."""
+    rows = set_aside(docs, "doc_id", "text")
+    forest = train(rows.select("doc_id", "text"), labels)
+    return brought_back(score(rows, forest).where("predicted = 1"), docs, "doc_id", "text")

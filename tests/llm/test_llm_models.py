@@ -218,14 +218,14 @@ def test_audio_round_trip(spark):
 
 
 def plain_top(rows, k):
-    known = {}
+    known, most = [], 2**63
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            z = [math.floor(64 * x) for x in v]
-            known[i] = min(known.get(i, z), z)
-    for q in known:
+            known.append((i, [math.floor(64 * x) for x in v]))
+    for n, (q, own) in enumerate(known):
         if q % 20 == 0:
-            pairs = [(-sum(a * b for a, b in zip(known[q], z)), i) for i, z in known.items() if i != q]
+            scores = [(sum(a * b for a, b in zip(own, z)), i) for m, (i, z) in enumerate(known) if m != n]
+            pairs = [(-min(max(s, -most), most - 1), i) for s, i in scores]
             for rank, (score, i) in enumerate(sorted(pairs)[:k], 1):
                 yield q, rank, i, -score
 
@@ -247,6 +247,15 @@ def test_top_k_equals_plain(spark, k, monkeypatch):
     assert got == sorted(plain_top(rounded, k))
 
 
+def test_top_k_of_large_vectors(spark):
+    """Scores near and beyond the limits of a long, also where large parts cancel each other."""
+    big = [[2e7, 2e7], [2.1e7, 2.1e7], [2.2e7, 2.2e7], [3e7, 1e7], [3e8, 3e8], [3e8, -3e8], [-3e8, 3e8], [3e8, -3e8 + 64]]
+    rows = [(20, [2e7, 2e7]), (40, [3e8, 3e8]), (60, [3e8, -3e8]), *enumerate(big, 1), (9, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = topk.top_k(df, F.col("vec_id") % 20 == 0)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r["score"]) for r in out.collect()) == sorted(plain_top(rows, 20))
+
+
 def test_top_k_small(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     out = topk.top_k(df, F.col("vec_id") % 20 == 0)

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteops.llm import registry
@@ -71,6 +72,29 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted(rows)
 
 
+#: Names that the stages use for columns of their own, and one with a dot.
+CLASHES = [
+    "score", "predicted", "lang_pred", "rejected", "letters", "entropy", "n_lines", "n_dropped", "later", "component_id",
+    "row", "id", "mark", "key", "node", "root", "n_tokens", "bucket", "batch", "slot", "place", "total", "a.b", "Held_Out",
+]
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120)
+    more = {n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in CLASHES}
+    docs = docs.select("source", *[v.alias(n) for n, v in more.items()], "text", "doc_id", "lang", "n_chars").cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) >= 60
+        for r in rows:
+            assert [r[n] for n in CLASHES] == [f"{n} of {r.doc_id}" for n in CLASHES], name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in out.collect()} == texts
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
