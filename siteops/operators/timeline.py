@@ -34,11 +34,13 @@ STEP = 32
 class Cuts:
     """Where heavy keys are cut: for each key hash `_h` the sorted places at which chunks begin.
 
-    A place is a time and, inside a time that many rows share, a value of the next order column.
+    A place is a time and, inside a time that many rows share, a value of the next order column; or,
+    where `whole` is set, the values of all order columns.
     """
 
     borders: DataFrame
     then: str | None
+    whole: bool = False
 
 
 def _key_hash(keys: Sequence[str]) -> Column:
@@ -125,6 +127,30 @@ def find_cuts(
     return Cuts(places.groupBy("_h").agg(borders.alias("_borders")), then)
 
 
+def range_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> Cuts | None:
+    """Cuts keys where `parts` equal ranges of all rows by key and order begin; None if no key needs it.
+
+    Nothing is estimated from sketches of keys: whatever the skew, no chunk has more rows than one of
+    the ranges, which Spark makes equal from a sample of the rows. The order columns may be of any type
+    that can be sorted. The pass sorts the key and order columns into the ranges and keeps one row of
+    each, so there are fewer borders than ranges (four for each shuffle partition, if not given). It
+    runs when called, like that of `find_cuts`, and shuffles more.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c) for c in dict.fromkeys([*keys, *order])]
+    ranges = df.select(*columns).repartitionByRange(parts or 4 * tasks, *columns)
+    place = F.struct(F.struct(*keys).alias("key"), F.struct(*order).alias("place"))
+    ends = ranges.groupBy(F.spark_partition_id().alias("part")).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    before = F.lag("high.key").over(Window.orderBy("part"))  # one row for each range
+    begins = ends.withColumn("before", before).where(F.col("before").eqNullSafe(F.col("low.key")))
+    shared_folder(df.sparkSession)
+    places = begins.select(_key_hash([f"low.key.{k}" for k in keys]).alias("_h"), "low.place").checkpoint()
+    if places.isEmpty():
+        return None
+    borders = F.sort_array(F.collect_set("place"))
+    return Cuts(places.groupBy("_h").agg(borders.alias("_borders")), None, whole=True)
+
+
 def settle(df: DataFrame, cuts: Cuts | None) -> DataFrame:
     """Stores the rows so far when keys are cut, so that later chunk summaries do not redo them."""
     if cuts is None:
@@ -143,7 +169,8 @@ class Timeline:
         self.keys, self.order, self.cuts = list(keys), list(order), cuts
         if cuts is not None and CHUNK not in df.columns:
             then = F.col(self.order[1]) if cuts.then is not None and len(self.order) > 1 else F.lit(None)
-            chunk = _chunk_of(F.col("_borders"), _place(F.col(self.order[0]), then))
+            place = F.struct(*self.order) if cuts.whole else _place(F.col(self.order[0]), then)
+            chunk = _chunk_of(F.col("_borders"), place)
             df = (
                 df.withColumn("_h", _key_hash(self.keys))
                 .join(F.broadcast(cuts.borders), "_h", "left")
@@ -161,7 +188,9 @@ class Timeline:
         cuts: Cuts | None | str = "auto",
         chunk_rows: int | None = None,
     ) -> Timeline:
-        if cuts == "auto":
+        if cuts == "ranges":
+            cuts = range_cuts(df, keys, order, chunk_rows and -(-df.count() // chunk_rows))
+        elif cuts == "auto":
             whole = len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.IntegralType)
             cuts = find_cuts(df, keys, order[0], chunk_rows, order[1] if whole else None)
         return cls(df, keys, order, cuts)

@@ -15,12 +15,12 @@ from siteops.operators.interaction import (
     toggle_state,
     ttl_latest,
 )
-from siteops.operators.timeline import find_cuts
+from siteops.operators.timeline import find_cuts, range_cuts
 
 T0 = dt.datetime(2024, 1, 1)
 SEC = dt.timedelta(seconds=1)
-# Left whole, and cut into chunks of about 20 rows.
-MODES = [{"cuts": None}, {"chunk_rows": 20}]
+# Left whole, and cut into chunks of about 20 rows at quantiles or at the borders of equal ranges.
+MODES = [{"cuts": None}, {"chunk_rows": 20}, {"cuts": "ranges", "chunk_rows": 20}]
 
 
 def at(seconds):
@@ -219,3 +219,28 @@ def test_heavy_keys_are_cut_by_their_own_times(spark, case):
         changes_only(ordered, ["k"], ["ts", "seq"], F.col("value") < 3, "low", cuts=c) for c in (None, cuts)
     )
     assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+
+
+@pytest.mark.parametrize("shape", ["one key", "one time", "texts", "many keys", "all alike but one"])
+def test_ranges_are_even_for_any_skew(spark, shape):
+    """Chunks and uncut keys stay within twice the mean of the ranges, whatever the rows look like."""
+    n, parts = 40_000, 8
+    i = F.col("id")
+    key, ts, then = {
+        "one key": (F.lit(1), i, i),
+        "one time": (F.when(i % 10 == 0, i), F.lit(5), i),
+        "texts": (F.when(i % 3 > 0, "hot").otherwise(i.cast("string")), F.lit(5), F.md5(i.cast("string"))),
+        "many keys": (i % 5000, i, i),
+        "all alike but one": (F.when(i == 7, 2), F.lit(None).cast("long"), F.sha2(i.cast("string"), 256)),
+    }[shape]
+    df = spark.range(n, numPartitions=6).select(
+        key.alias("k"), F.timestamp_seconds(ts).cast("timestamp_ntz").alias("ts"), then.alias("seq"), (i % 7).alias("value")
+    )
+    cuts = range_cuts(df, ["k"], ["ts", "seq"], parts)
+    cut = timeline.Timeline(df, ["k"], ["ts", "seq"], cuts)
+    sizes = [r["count"] for r in cut.df.groupBy(*cut.parts).count().collect()]
+    assert max(sizes) <= 2 * n / parts and sum(sizes) == n
+    whole, parted = (
+        changes_only(df, ["k"], ["ts", "seq"], F.col("value") < 3, "low", cuts=c) for c in (None, cuts)
+    )
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, parted.collect()))

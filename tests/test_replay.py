@@ -53,7 +53,10 @@ def expected(rows, k, delay):
     return sorted(out, key=lambda r: r[1])
 
 
-@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}], ids=["whole", "cut"])
+MODES = [{"cuts": None}, {"chunk_rows": 20}, {"cuts": "ranges", "chunk_rows": 20}]
+
+
+@pytest.mark.parametrize("mode", MODES, ids=["whole", "cut", "ranges"])
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_random_logs(spark, k, mode):
     for seed, adds in ((1, 0.3), (2, 0.6), (3, 0.1)):
@@ -63,7 +66,7 @@ def test_random_logs(spark, k, mode):
         assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows, k, DELAY)
 
 
-@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}], ids=["whole", "cut"])
+@pytest.mark.parametrize("mode", MODES, ids=["whole", "cut", "ranges"])
 def test_one_row_updated_throughout(spark, mode):
     """One row of one store gets nearly all actions, so its segment spans many chunks."""
     rng = random.Random(9)

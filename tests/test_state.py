@@ -75,7 +75,7 @@ def test_first_dismissal_arms(spark):
     assert {r.id: r.expires_at for r in got} == {"a": at(1001), "b": at(1002)}
 
 
-@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}])
+@pytest.mark.parametrize("mode", [{"cuts": None}, {"chunk_rows": 20}, {"cuts": "ranges", "chunk_rows": 20}])
 def test_running_fields(spark, mode):
     rng = random.Random(6)
     rows = [
