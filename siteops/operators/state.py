@@ -128,8 +128,8 @@ def expire_after(
     )
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Dense text ids 1, 2, 3, … over the whole frame in `order`.
+def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id", after: int = 0) -> DataFrame:
+    """Dense text ids 1, 2, 3, … over the whole frame in `order`; with `after`, those that follow so many.
 
     Rows are range-partitioned by `order` (no single-task sort) and checkpointed, so the places that
     the counts are taken from are the places that get the ids, also after a lost executor. Only one
@@ -149,7 +149,7 @@ def assign_ids(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFra
         .agg(F.count("*").alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    place = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    place = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + after
     return (
         sorted_rows.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")

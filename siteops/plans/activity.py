@@ -15,10 +15,13 @@ from siteops.operators.timeline import Timeline, find_cuts
 from siteops.sources import prepare_streams, read_table, stream_table, with_utc_time
 from siteops.streaming import (
     FanOut,
+    NumberedBatches,
     ReplayBatches,
+    Snapshots,
     changes_stream,
     fan_out,
     hover_stream,
+    not_found_windows,
     parquet_sink,
     replay_stream,
     run_to_parquet,
@@ -234,6 +237,53 @@ def numbered_events(spark, folder):
     return out.select("seq", "id")
 
 
+def numbered_as_stream(spark, folder):
+    """Ids over arriving batches, a week of events each; the first batch is delivered twice."""
+    prepare_streams(spark)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    df = events(spark, folder).select("ts", "seq", "user_id")
+    numbered = NumberedBatches(f"{base}/ledger", parquet_sink(f"{base}/out"), ORDER)
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2 if batch_id == 0 else 1):
+            numbered(batch, batch_id)
+
+    fan_out(_arriving(df, "ts", WEEK), deliver, f"{base}/state", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("seq", "id")
+
+
+def snapshots_of_removals(spark, folder):
+    """Two outputs of one stream as readers see them: removals by id, and counts by cause of each batch."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
+    both = Snapshots(
+        base,
+        {
+            "rows": lambda b: b.select("user_id", "id", "cause"),
+            "causes": lambda b: b.groupBy("cause").agg(F.count("*").alias("n")),
+        },
+    )
+    fan_out(_fate_stream(spark, folder), both, f"{base}/state", availableNow=True).awaitTermination()
+    last = both.newest(spark)
+    rows = both.read(spark, "rows", "user_id bigint, id string, cause string", last)
+    causes = both.read(spark, "causes", "cause string, n bigint", last)
+    return rows.groupBy("cause").agg(F.count("*").alias("n_rows")).join(
+        causes.groupBy("cause").agg(F.sum("n").alias("n_counted")), "cause"
+    )
+
+
+def _accesses(df: DataFrame) -> DataFrame:
+    """Events as accesses to paths, which views and clicks of some users have routes for."""
+    return df.select("ts", F.concat_ws("/", F.lit(""), "event_type", F.col("user_id") % 20).alias("path"))
+
+
+def unrouted_windows_as_stream(spark, folder):
+    """Accesses without a route by day, from arriving events."""
+    routes = _accesses(events(spark, folder).filter(_is("view") | (_is("click") & (F.col("user_id") % 20 < 9))))
+    stream = _accesses(_event_stream(spark, folder))
+    counts = not_found_windows(stream, routes.select("path").distinct(), "ts", DAY, lateness=dt.timedelta(0))
+    return _plain_times(run_to_parquet(counts).drop("batch_id"), "window_start", "window_end")
+
+
 def hourly_sessions(spark, folder):
     return interaction.sessions(events(spark, folder), USER, "ts", HOUR)
 

@@ -360,6 +360,18 @@ FROM ev a WHERE a.event_type = 'signup' AND NOT EXISTS (
     "expiry_times": _DAY_CLICKS,
     "numbered_events": """
 SELECT event_id AS seq, CAST(row_number() OVER (ORDER BY ts, event_id) AS VARCHAR) AS id FROM events""",
+    # A week's rows come before those of the next, so the ids are those of one batch.
+    "numbered_as_stream": """
+SELECT event_id AS seq, CAST(row_number() OVER (ORDER BY ts, event_id) AS VARCHAR) AS id FROM events""",
+    "snapshots_of_removals": f"""
+SELECT cause, count(*) AS n_rows, count(*) AS n_counted FROM ({_STREAM_FATES}) GROUP BY cause""",
+    "unrouted_windows_as_stream": f"""
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end,
+       '/' || event_type || '/' || (user_id % 20) AS path, count(*) AS n_accesses
+FROM events
+WHERE event_type <> 'view' AND NOT (event_type = 'click' AND user_id % 20 < 9)
+  AND date_trunc('day', ts) + INTERVAL 1 DAY <= {_SEEN}
+GROUP BY ALL""",
     "hourly_sessions": _SESSIONS.format(gap=1),
     "hourly_sessions_cut": _SESSIONS.format(gap=1),
     "sessions_as_stream": f"""

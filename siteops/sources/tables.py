@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCHEMAS = {
@@ -24,6 +25,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Parquet files that a job may not have written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def with_utc_time(df: DataFrame, *columns: str) -> DataFrame:
     """Turns zone-less times into instants, as watermarks need. The session zone must be UTC."""
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")

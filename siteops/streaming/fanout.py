@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siteops.operators.storage import shared_folder
+from siteops.sources.tables import read_if_there
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -44,15 +45,61 @@ def parquet_sink(folder: str) -> Sink:
     return write
 
 
+class Snapshots:
+    """Parquet outputs of one stream that readers see in the same state: all of a batch, or none of it.
+
+    Each output is a name and what to make of a batch, in the order they subscribed. A batch is first
+    written for all of them; then one line in `folder` says that it counts. `read` leaves out batches
+    without a line. A batch that already counts is not written again, so what was read stays.
+    """
+
+    LINES = "n bigint, batch_id bigint"
+
+    def __init__(self, folder: str, outputs: Mapping[str, Callable[[DataFrame], DataFrame]]):
+        self.folder, self.outputs = folder, dict(outputs)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        line = f"{self.folder}/_counts/batch_id={batch_id}"
+        if read_if_there(spark, line, "n bigint") is not None:
+            return
+        batch.persist()
+        try:
+            for name, made in self.outputs.items():
+                parquet_sink(f"{self.folder}/{name}")(made(batch), batch_id)
+        finally:
+            batch.unpersist()
+        # The output committer moves the file of this one row into place as a whole.
+        spark.createDataFrame([(len(self.outputs),)], "n bigint").coalesce(1).write.mode("overwrite").parquet(line)
+
+    def read(self, spark: SparkSession, name: str, schema: str, upto: int | None = None) -> DataFrame:
+        """The rows of an output, with `batch_id`, of all batches that count, up to one if it is given.
+
+        Give `upto` the same `newest` to read several outputs in the same state.
+        """
+        counts = read_if_there(spark, f"{self.folder}/_counts", self.LINES)
+        rows = read_if_there(spark, f"{self.folder}/{name}", f"{schema}, batch_id bigint")
+        if counts is None or rows is None:
+            return spark.createDataFrame([], f"{schema}, batch_id bigint")
+        if upto is not None:
+            counts = counts.filter(F.col("batch_id") <= upto)
+        return rows.join(counts.select("batch_id"), "batch_id", "left_semi").select(*rows.columns)
+
+    def newest(self, spark: SparkSession) -> int | None:
+        """The last batch that counts."""
+        counts = read_if_there(spark, f"{self.folder}/_counts", self.LINES)
+        return None if counts is None else counts.agg(F.max("batch_id")).first()[0]
+
+
 def fan_out(
     stream: DataFrame,
-    sinks: FanOut | Mapping[str, Sink],
+    sinks: Sink | Mapping[str, Sink],
     checkpoint: str,
     output_mode: str = "append",
     **trigger,
 ) -> StreamingQuery:
     """Starts delivering `stream` to the sinks; `trigger` is passed on, e.g. availableNow=True."""
-    deliver = sinks if isinstance(sinks, FanOut) else FanOut(sinks)
+    deliver = FanOut(sinks) if isinstance(sinks, Mapping) else sinks
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)

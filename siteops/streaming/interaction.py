@@ -264,3 +264,50 @@ def not_found_stream(paths: DataFrame, routes: DataFrame) -> DataFrame:
     known = routes.filter(F.col("path") != CATCH_ALL).select("path")
     unrouted = paths.join(known, "path", "left_anti")
     return unrouted.groupBy("path").agg(F.count("*").alias("n_accesses"))
+
+
+def _unrouted(paths: DataFrame, routes: DataFrame, ts: str, width: dt.timedelta, lateness: dt.timedelta):
+    known = routes.filter(F.col("path") != CATCH_ALL).select("path")
+    late = paths.withWatermark(ts, f"{lateness // dt.timedelta(milliseconds=1)} milliseconds")
+    window = F.window(ts, f"{width // MICRO} microseconds").alias("window")
+    bounds = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
+    return late.join(known, "path", "left_anti"), window, bounds
+
+
+def not_found_windows(
+    paths: DataFrame, routes: DataFrame, ts: str, width: dt.timedelta, *, lateness: dt.timedelta
+) -> DataFrame:
+    """Accesses per window of time and path that no exact route serves. Append mode.
+
+    window_start, window_end, path, n_accesses. A window is emitted once, when the watermark passes its
+    end, and its state goes; so the state holds the paths of open windows only, not all paths ever seen.
+    """
+    unrouted, window, bounds = _unrouted(paths, routes, ts, width, lateness)
+    return unrouted.groupBy(window, "path").agg(F.count("*").alias("n_accesses")).select(*bounds, "path", "n_accesses")
+
+
+def not_found_sketches(
+    paths: DataFrame, routes: DataFrame, ts: str, width: dt.timedelta, tracked: int = 10_000, *, lateness: dt.timedelta
+) -> DataFrame:
+    """A sketch per window of the paths most often asked for that no exact route serves. Append mode.
+
+    window_start, window_end, n_accesses, sketch. The state of a window is one sketch of `tracked` paths,
+    however many different paths come. `top_not_found` reads sketches, also those of several windows
+    together.
+    """
+    unrouted, window, bounds = _unrouted(paths, routes, ts, width, lateness)
+    sketch = F.expr(f"approx_top_k_accumulate(path, {int(tracked)})").alias("sketch")
+    return unrouted.groupBy(window).agg(F.count("*").alias("n_accesses"), sketch).select(*bounds, "n_accesses", "sketch")
+
+
+def top_not_found(sketches: DataFrame, k: int, by: Sequence[str] = (), tracked: int = 10_000) -> DataFrame:
+    """The `k` paths most often asked for, from merged sketches: the `by` columns, path, n_accesses.
+
+    Counts are exact where no more different paths came than the sketches track; else they may be too
+    large by about the accesses divided by `tracked`.
+    """
+    # Without a group, partitions without rows would have sketches of no type, which Spark can't merge.
+    groups = list(by) or [F.lit(0).alias("_all")]
+    merged = sketches.groupBy(*groups).agg(F.expr(f"approx_top_k_combine(sketch, {int(tracked)})").alias("sketch"))
+    top = F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(k)})")).alias("top")
+    return merged.select(*by, top).select(*by, F.col("top.item").alias("path"), F.col("top.count").alias("n_accesses"))

@@ -13,16 +13,21 @@ from siteops.operators.replay import replay
 from siteops.operators.routing import not_found
 from siteops.streaming import (
     FanOut,
+    NumberedBatches,
     ReplayBatches,
+    Snapshots,
     changes_stream,
     fan_out,
     hover_stream,
+    not_found_sketches,
     not_found_stream,
+    not_found_windows,
     parquet_sink,
     replay_stream,
     run_to_parquet,
     sessions_stream,
     toggle_stream,
+    top_not_found,
     ttl_stream,
 )
 
@@ -312,3 +317,82 @@ def test_ordered_streams_of_nothing(spark, tmp_path):
     path = write_files(spark, [(1, None, 1, "enter", "a", True, True)], HOVER, str(tmp_path), 1)
     for stream in ordered_forms(read_stream(spark, path, HOVER), True):
         assert run_to_parquet(stream).count() == 0
+
+
+def test_ids_go_on_over_batches(spark, tmp_path):
+    rows = [(n, f"t{n}") for n in random.Random(3).sample(range(1000), 60)]
+    parts = [sorted(rows)[:25], [], sorted(rows)[25:26], sorted(rows)[26:]]
+    sink = NumberedBatches(f"{tmp_path}/ledger", parquet_sink(f"{tmp_path}/out"), ["n"])
+    for batch_id in (0, 0, 1, 2, 2, 3, 1):  # some are delivered again, one after later ones
+        sink(spark.createDataFrame(parts[batch_id], "n long, t string").repartition(3), batch_id)
+    got = {r.n: r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {n: str(i) for i, (n, _) in enumerate(sorted(rows), 1)}
+    # A new checkpoint counts batches anew; a gap finds the last line.
+    sink(spark.createDataFrame([(2000, "x")], "n long, t string"), 9)
+    assert spark.read.parquet(f"{tmp_path}/out/batch_id=9").first().id == "61"
+
+
+def test_readers_see_whole_batches(spark, tmp_path):
+    fail = []
+
+    def odd(batch):
+        if fail:
+            raise RuntimeError("the sink is away")
+        return batch.filter("n % 2 = 1")
+
+    both = Snapshots(f"{tmp_path}/s", {"all": lambda b: b, "odd": odd})
+    read = lambda name, upto=None: sorted(r.n for r in both.read(spark, name, "n long", upto).collect())
+    assert read("all") == [] and both.newest(spark) is None
+    batches = [spark.range(i * 4, i * 4 + 4).toDF("n") for i in range(3)]
+    both(batches[0], 0)
+    fail.append(1)
+    with pytest.raises(RuntimeError):
+        both(batches[1], 1)
+    assert read("all") == [0, 1, 2, 3] and read("odd") == [1, 3] and both.newest(spark) == 0
+    fail.clear()
+    both(batches[1], 1)
+    both(batches[2], 1)  # delivered again: what counts stays as it was read
+    both(batches[2], 2)
+    assert read("all") == list(range(12)) and read("odd") == [1, 3, 5, 7, 9, 11]
+    assert read("all", 1) == list(range(8)) and both.newest(spark) == 2
+
+
+def test_not_found_windows_and_sketches(spark, tmp_path):
+    rng = random.Random(6)
+    t0, hour = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    rows = [(t0 + hour * rng.uniform(0, 5), rng.choice(["/hot", "/hot", "/a", "/b", "/known", None])) for _ in range(600)]
+    rows = sorted(rows, key=lambda r: r[0]) + [(t0 + 10 * hour, "/end")]
+    path = write_files(spark, rows, "ts timestamp, path string", str(tmp_path), 4)
+    routes = spark.createDataFrame([("*",), ("/known",)], "path string")
+    read = lambda: read_stream(spark, path, "ts timestamp, path string")
+    got = run_to_parquet(not_found_windows(read(), routes, "ts", hour, lateness=hour)).collect()
+    want = {}
+    for ts, p in rows[:-1]:
+        if p != "/known":
+            want[ts.hour, p] = want.get((ts.hour, p), 0) + 1
+    assert {(r.window_start.hour, r.path): r.n_accesses for r in got} == want and len(got) == len(want)
+    sketches = run_to_parquet(not_found_sketches(read(), routes, "ts", hour, 100, lateness=hour))
+    assert sum(r.n_accesses for r in sketches.collect()) == sum(want.values())
+    top = top_not_found(sketches, 1, ["window_start"], 100).collect()
+    assert {(r.window_start.hour, r.path): r.n_accesses for r in top} == {k: n for k, n in want.items() if k[1] == "/hot"}
+    top = {r.path: r.n_accesses for r in top_not_found(sketches, 3, tracked=100).collect() if r.path}
+    assert {p: n for p, n in top.items()} == {
+        p: sum(n for (_, x), n in want.items() if x == p) for p in top
+    } and "/hot" in top
+
+
+def test_sketches_stay_small(spark, tmp_path):
+    """However many different paths come, a window is one sketch that still finds the frequent one."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(t0 + dt.timedelta(seconds=i % 3000), "/hot" if i % 4 == 0 else f"/random/{i}") for i in range(6000)]
+    rows.append((t0 + dt.timedelta(hours=9), "/end"))
+    path = write_files(spark, rows, "ts timestamp, path string", str(tmp_path), 3)
+    routes = spark.createDataFrame([("*",)], "path string")
+    stream = not_found_sketches(
+        read_stream(spark, path, "ts timestamp, path string"), routes, "ts", dt.timedelta(hours=1), 64,
+        lateness=dt.timedelta(hours=8),
+    )
+    sketches = run_to_parquet(stream)
+    assert sketches.count() == 1 and sketches.first().n_accesses == 6000
+    best = top_not_found(sketches, 1, tracked=64).first()
+    assert best.path == "/hot" and abs(best.n_accesses - 1500) <= 6000 / 64 * 4
