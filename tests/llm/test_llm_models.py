@@ -357,3 +357,13 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
+
+
+def test_blocks_list_the_same_order_in_every_slice(spark):
+    """Places in a block are compared between slices, whatever order rows arrive in."""
+    rows = spark.range(3000).repartition(16).select(
+        F.col("id").alias("object"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i * F.col("id")).alias("v")
+    )
+    for r in topk.packed(rows, 500, 2, 4, "block", "vectors").collect():
+        ids = [x.object for x in r.vectors]
+        assert ids == sorted(ids) and all(x.part == [x.object * (2 * r.slice + j) for j in (1, 2)] for x in r.vectors)
