@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null or with two equal ends don't count. In each round every node tells its larger
     neighbours about the smallest one it knows, and then its smaller ones. The number of rounds grows
     with the logarithm of a component's size. A node with very many neighbours is a skewed key of a
-    join, which Spark splits.
+    join. What is joined is written first, so that both sides come straight from their exchanges and
+    Spark can split it.
     """
     now = stored(pairs(edges.where("a <> b"), F.greatest("a", "b"), F.least("a", "b")))
     mark = state(now)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")))
         wide = both.join(least, "u").where("v > u").select("v", F.least("u", "m").alias("m"))
         large = stored(pairs(wide, F.col("v"), F.col("m")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         to_least = large.join(least, "u").where("v <> m").select("v", "m")
         small = pairs(to_least.unionAll(least.select("u", "m")), F.col("v"), F.col("m"))
         now = stored(small)

@@ -320,7 +320,8 @@ def against_leader(sets: DataFrame, percent: int) -> DataFrame:
     first = first.dropDuplicates(["cluster"]).select(
         "cluster", F.col("doc_id").alias("leader"), F.col("shingles").alias("s"), F.col("bits").alias("t")
     )
-    both = sets.join(first, "cluster").where("doc_id <> leader")
+    # Written, so that the join stands alone and Spark can split a large cluster.
+    both = sets.join(stored(first), "cluster").where("doc_id <> leader")
 
     def run(batches):
         for batch in batches:

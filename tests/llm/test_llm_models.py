@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteops.llm import boosting, jaccard, language, media, ngrams, quality, topk
+from siteops.llm import boosting, components as graph, jaccard, language, media, ngrams, quality, topk
 from siteops.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -367,3 +367,43 @@ def test_blocks_list_the_same_order_in_every_slice(spark):
     for r in topk.packed(rows, 500, 2, 4, "block", "vectors").collect():
         ids = [x.object for x in r.vectors]
         assert ids == sorted(ids) and all(x.part == [x.object * (2 * r.slice + j) for j in (1, 2)] for x in r.vectors)
+
+
+def test_components_with_a_hub(spark):
+    """A node with very many neighbours, as the smallest and as the largest of its component."""
+    n = 100_000
+    hub = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    top = spark.range(n, 2 * n).select(F.col("id").alias("a"), F.lit(3 * n).cast("long").alias("b"))
+    found = graph.components(hub.unionAll(top))
+    got = {r.root: (r.n, r.low, r.high) for r in found.groupBy("root").agg(
+        F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
+    ).collect()}
+    assert got == {0: (n - 1, 1, n - 1), n: (n, n + 1, 3 * n)}
+
+
+def test_joins_at_a_hub_can_be_split(spark, monkeypatch):
+    """Both sides of each join on a node are sorted right above their exchanges, as Spark needs to split skew."""
+    plans = []
+    plain = graph.stored
+    monkeypatch.setattr(
+        graph, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df)
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(1, 50).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        graph.components(edges)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = 0
+    for plan in plans:
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "SortMergeJoin" in line:
+                joins += 1
+                depth = line.index("SortMergeJoin")
+                below = [x.strip(" :+-*()0123456789") for x in lines[i + 1:]]
+                assert below[0].startswith("Sort ") and below[1].startswith("Exchange hashpartitioning"), plan
+                other = next(j for j in range(i + 2, len(lines)) if lines[j].lstrip(" :").startswith("+-") and lines[j].index("+-") <= depth)
+                assert "Sort " in lines[other] and "Exchange hashpartitioning" in lines[other + 1], plan
+    assert joins >= 2
