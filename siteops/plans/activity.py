@@ -131,16 +131,16 @@ WEEK = dt.timedelta(days=7)
 
 
 def _arriving(df: DataFrame, ts: str, step: dt.timedelta) -> DataFrame:
-    """The rows as a stream, one file at a time, written step by step of their times."""
+    """The rows as a stream, one file at a time: one for each step of their times that has any, in order."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
-    ends = df.select(F.min(ts).alias("low"), F.max(ts).alias("high")).first()
+    width = step // dt.timedelta(microseconds=1)
+    rows = df.withColumn("_step", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width))
+    rows = rows.filter("_step IS NOT NULL").checkpoint()  # computed once, whatever the number of steps
     df.limit(0).write.parquet(f"{folder}/first")
-    start = ends["low"]
-    while start is not None and start <= ends["high"]:
-        low, high = (F.lit(str(t)).cast(df.schema[ts].dataType) for t in (start, start + step))
-        df.filter((F.col(ts) >= low) & (F.col(ts) < high)).write.parquet(f"{folder}/{start:%Y%m%d%H%M%S}")
-        start += step
+    for r in rows.select("_step").distinct().orderBy("_step").collect():
+        one = rows.filter(F.col("_step") == r["_step"]).drop("_step")
+        one.coalesce(1).write.parquet(f"{folder}/{r['_step'] + (1 << 62)}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 

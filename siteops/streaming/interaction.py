@@ -5,8 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siteops.operators.interaction import CLOSE_DELAY, STATE_TTL
@@ -181,45 +180,31 @@ class _Latest(StatefulProcessor):
     def _expiry(self, at: int) -> int:
         return -(-(at + self.ttl) // 1000)
 
-    def _rows(self, key, changes: list[tuple]) -> pd.DataFrame:
-        columns = [*self.keys, "value", "written", "expires", "live"]
-        rows = [(*key, value, at, at + self.ttl, live) for at, value, live in changes]
-        return pd.DataFrame(rows, columns=columns)
+    def _rows(self, key, changes: list[tuple]) -> Iterator[Row]:
+        made = Row(*self.keys, "value", "written", "expires", "live")
+        for at, value, live in changes:
+            yield made(*key, value, at, at + self.ttl, live)
 
-    def _edges(self, rows: pd.DataFrame) -> pd.DataFrame:
-        """First and last write of every stretch of one lifetime: the others expire unseen."""
-        rows = rows.sort_values(["at", "seq"])
-        stretch = rows["at"] // self.ttl
-        return rows[~stretch.duplicated() | ~stretch.duplicated(keep="last")]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.latest.get() if self.latest.exists() else None
-        new = pd.DataFrame()
-        for part in rows:
-            new = self._edges(pd.concat([new, part[["at", "seq", "value"]]]))
+        new = sorted(((r["at"], r["seq"], r["value"]) for r in rows), key=lambda w: w[:2])
         if before is not None:
-            later = (new["at"] > before[0]) | ((new["at"] == before[0]) & (new["seq"] > before[1]))
-            new = new[later]
-        if new.empty:
+            new = [w for w in new if w[:2] > (before[0], before[1])]
+        if not new:
             return
-        writes = [] if before is None else [(before[0], before[2])]
-        at, values = new["at"].tolist(), [None if pd.isna(v) else v for v in new["value"]]
-        writes += zip(at, values)
-        changes = [
-            (w[0], w[1], False) for w, following in zip(writes, writes[1:])
-            if following[0] >= w[0] + self.ttl
-        ]
-        changes.append((*writes[-1], True))
+        writes = new if before is None else [tuple(before), *new]
+        changes = [(w[0], w[2], False) for w, following in zip(writes, writes[1:]) if following[0] >= w[0] + self.ttl]
+        changes.append((new[-1][0], new[-1][2], True))
         if before is not None:
             self.handle.deleteTimer(self._expiry(before[0]))
-        self.latest.update((at[-1], int(new["seq"].iloc[-1]), values[-1]))
-        self.handle.registerTimer(self._expiry(at[-1]))
-        yield self._rows(key, changes)
+        self.latest.update(new[-1])
+        self.handle.registerTimer(self._expiry(new[-1][0]))
+        yield from self._rows(key, changes)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         at, _, value = self.latest.get()
         self.latest.clear()
-        yield self._rows(key, [(at, value, False)])
+        yield from self._rows(key, [(at, value, False)])
 
 
 def ttl_stream(
@@ -244,7 +229,7 @@ def ttl_stream(
     )
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in key)
-    out = rows.groupBy(*key).transformWithStateInPandas(
+    out = rows.groupBy(*key).transformWithState(
         _Latest(key, ttl // MICRO),
         f"{schema}, value string, written bigint, expires bigint, live boolean",
         "Update",
