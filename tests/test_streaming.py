@@ -396,3 +396,35 @@ def test_sketches_stay_small(spark, tmp_path):
     assert sketches.count() == 1 and sketches.first().n_accesses == 6000
     best = top_not_found(sketches, 1, tracked=64).first()
     assert best.path == "/hot" and abs(best.n_accesses - 1500) <= 6000 / 64 * 4
+
+
+def test_state_written_follows_the_batch(spark, tmp_path):
+    """A batch writes the buckets of its own stores and of those that come due, and no others."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    add = lambda store, s, seq: (store, at(s), seq, "ADD", f"r{seq}", {})
+    stores = range(100)
+    batches = [
+        [add(n, 0, n) for n in stores] + [(5, at(1), 900, "DISMISS", None, None)] + [add(0, 2, 901)],
+        [add(7, 3, 902)],  # the first batch's last action no longer waits, either
+        [add(7, 4, 903)],
+        [add(8, 4 + DELAY.total_seconds(), 904)],  # now the dismissed row of store 5 goes
+    ]
+    replays = ReplayBatches(
+        f"{tmp_path}/state", parquet_sink(f"{tmp_path}/out"), k=1, delay=DELAY, lateness=dt.timedelta(0),
+        buckets=4096, cuts=None,
+    )
+    written, before = [], set()
+    for i, rows in enumerate(batches):
+        for _ in range(2):  # each is delivered again
+            replays(spark.createDataFrame(rows, STREAM_SCHEMA), i)
+        files = {
+            f"{folder}/{name}" for folder, _, names in os.walk(f"{tmp_path}/state/state")
+            for name in names if name.endswith(".parquet")
+        }
+        written.append(len({f.split("/bucket=")[1].split("/")[0] for f in files - before}))
+        before = files
+    assert written[0] > 90 and all(n <= 6 for n in written[1:])
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.store_key, r.id, r.cause) for r in got) == [
+        (0, "r0", "evict"), (5, "r5", "expiry"), (7, "r7", "evict"), (7, "r902", "evict"),
+    ]
