@@ -5,10 +5,11 @@ same number, so that pieces of bytes are strings. Folding merges, step by step,
 joined piece has the lowest rank. The ranks are a literal hash table: an array of slots in which each
 piece stands at one of two places given by its hash.
 
-The most frequent words of the corpus, `FREQUENT` at most, are counted over all texts, folded once, and
-become a second literal of that form. All other words are merged where they stand by a function in
-Python that gives the same ids: folding them there took several times the limit of processor time, as
-each step of a fold is interpreted, and for a long word a number of steps that grows with its square.
+The most frequent words of the corpus, `FREQUENT` at most, are counted over all texts and folded once.
+All other words are merged by a function in Python that gives the same ids: folding them where they stand
+took several times the limit of processor time, as each step of a fold is interpreted, and for a long
+word a number of steps that grows with its square. Words get their ids in Arrow, each different word once
+for all its places in a slice of the texts; searching a literal at every place was interpreted as well.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import fresh, others, slices, stored, table
+from siteops.llm.common import others, slices, stored, table
 
 FREQUENT = 1 << 16
-#: Words of more bytes are neither counted as frequent ones nor merged without a heap.
+#: Words of more bytes are neither counted as frequent ones, nor remembered, nor merged without a heap.
 SHORT = 64
-#: Places of words that are merged in Python at once, beyond a single text.
+#: Places of words that get their ids at once, beyond a single text.
 PLACES = 1 << 18
+#: Words that a task has merged and remembers.
+REMEMBERED = 1 << 18
 NONE = 2**31 - 1
 
 
@@ -136,35 +139,41 @@ class Tokenizer:
 
         return let(F.decode(word.cast("binary"), "ISO-8859-1"), whole)
 
-    def merge_in_python(self) -> Callable[[Column], Column]:
-        """Ids of each of some words, in arrays in which other places are null and stay so."""
-        ranks = self.ranks
+    def ids_of_words(self, frequent: dict[str, list[int]]) -> Callable[[pa.ListArray], pa.ListArray]:
+        """A function of arrays of words that gives the ids of each array's words, one after the other.
 
-        def part(words: pa.ListArray, known: dict[bytes, list[int]]) -> pa.ListArray:
-            flat = words.flatten()
-            valid = flat.is_valid().to_numpy(zero_copy_only=False)
-            found = []
-            for w in flat.drop_null().cast(pa.binary()).to_pylist():
-                if (i := known.get(w)) is None:
-                    i = known[w] = merged(w, ranks)
-                found.append(i)
-            sizes = np.zeros(len(flat), np.int32)
-            sizes[valid] = [len(i) for i in found]
-            inner = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = pa.array(np.fromiter((x for i in found for x in i), np.int32, int(inner[-1])))
-            lists = pa.ListArray.from_arrays(pa.array(inner), values, mask=pa.array(~valid))
-            outer = np.concatenate([[0], np.cumsum(np.diff(words.offsets.to_numpy()))]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(outer), lists)
-
-        @F.arrow_udf("array<array<int>>")
-        def ids(words: pa.Array) -> pa.Array:
-            known: dict[bytes, list[int]] = {}
-            done = []
-            for a, b in slices(np.diff(words.offsets.to_numpy()), PLACES):
-                if len(known) > PLACES // 4:
-                    known.clear()
-                done.append(part(words.slice(a, b - a), known))
-            return pa.concat_arrays(done) if done else part(words, known)
+        A word is looked up once for all its places in a slice. Those that are not frequent are merged, and
+        up to `REMEMBERED` of them kept for later slices.
+        """
+        ranks = self.ranks
+        common = {w.encode(): np.array(i, np.int32).tobytes() for w, i in frequent.items()}
+        rare: dict[bytes, bytes] = {}
+
+        def find(word: bytes) -> bytes:
+            found = common.get(word) or rare.get(word)
+            if found is None:
+                found = np.array(merged(word, ranks), np.int32).tobytes()
+                if len(word) <= SHORT:
+                    if len(rare) >= REMEMBERED:
+                        rare.clear()
+                    rare[word] = found
+            return found
+
+        def part(words: pa.ListArray) -> pa.ListArray:
+            places = words.flatten().dictionary_encode()
+            found = [find(w) for w in places.dictionary.cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(i) // 4 for i in found], np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            at = places.indices.to_numpy()
+            total = np.concatenate([[0], np.cumsum(sizes[at])])
+            bounds = words.offsets.to_numpy()
+            outer = total[bounds - bounds[0]].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(outer), each.take(places.indices).flatten())
+
+        def ids(words: pa.ListArray) -> pa.ListArray:
+            ranges = slices(np.diff(words.offsets.to_numpy()), PLACES)
+            return pa.concat_arrays([part(words.slice(a, b - a)) for a, b in ranges] or [part(words)])
 
         return ids
 
@@ -251,14 +260,13 @@ def encode(
     column named `out` is replaced.
     """
     kept = [F.col(f"`{c}`") for c in others(df, out)]
-    words, common, rare = fresh(df, "words", "common", "rare")
-    cache = Literal(frequent or {}, "array<int>")
-    rows = df.select(*kept, tokenizer.words(F.col(f"`{text}`")).alias(words))
-    rows = rows.withColumn(common, let(cache.column, lambda slots: F.transform(words, lambda w: cache.find(slots, w))))
-    left = F.transform(common, lambda c, i: F.when(c.isNull(), F.get(F.col(words), i)))
-    rows = rows.withColumn(rare, tokenizer.merge_in_python()(left))
-    every = F.transform(common, lambda c, i: F.coalesce(c, F.get(F.col(rare), i)))
-    return rows.select(*kept, F.flatten(every).alias(out))
+    find = tokenizer.ids_of_words(frequent or {})
+
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        return find(words)
+
+    return df.select(*kept, ids(tokenizer.words(F.col(f"`{text}`"))).alias(out))
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "bytes") -> DataFrame:

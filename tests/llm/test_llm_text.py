@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -64,6 +65,23 @@ def test_bpe_fold_equals_python(spark, tokenizer):
             assert r.ids == bpe.merged_by_heap(word, tokenizer.ranks)
 
 
+def test_bpe_merges_a_rare_word_once(tokenizer, truth, monkeypatch):
+    """However often and in however many slices it stands."""
+    merges = Counter()
+    plain = bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda word, ranks: merges.update([word]) or plain(word, ranks))
+    monkeypatch.setattr(bpe, "PLACES", 1000)
+    words = [f" q{i}x" for i in range(700)] + ["é" * 40, " the"]
+    rows = [words, [], words[::-1], words[5:9] * 50]
+    find = tokenizer.ids_of_words({" the": truth.encode_ordinary(" the")})
+    for arrays in (rows, rows[1:], [[]], []):
+        got = find(pa.array(arrays, pa.list_(pa.string()))).to_pylist()
+        assert got == [[i for w in row for i in truth.encode_ordinary(w)] for row in arrays]
+    assert merges == {w.encode(): merges[w.encode()] if len(w) == 40 else 1 for w in words[:-1]}
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    assert tokenizer.ids_of_words({})(pa.array([words])).to_pylist() == [truth.encode_ordinary("".join(words))]
+
+
 def test_bpe_of_nothing(spark, tokenizer):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.frequent_words(df, tokenizer) == {}
