@@ -130,18 +130,35 @@ def replay_as_stream(spark, folder):
 WEEK = dt.timedelta(days=7)
 
 
+# Rows for which another task helps to write a step.
+FILE_ROWS = 100_000
+
+
 def _arriving(df: DataFrame, ts: str, step: dt.timedelta) -> DataFrame:
-    """The rows as a stream, one file at a time: one for each step of their times that has any, in order."""
+    """The rows as a stream, one batch for each step of their times that has any, in order.
+
+    All tasks share in writing a large step. Every step has the same number of files, empty ones where
+    it has fewer rows or tasks, as a batch is a number of files.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     width = step // dt.timedelta(microseconds=1)
     rows = df.withColumn("_step", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / width))
-    rows = rows.filter("_step IS NOT NULL").checkpoint()  # computed once, whatever the number of steps
-    df.limit(0).write.parquet(f"{folder}/first")
-    for r in rows.select("_step").distinct().orderBy("_step").collect():
-        one = rows.filter(F.col("_step") == r["_step"]).drop("_step")
-        one.coalesce(1).write.parquet(f"{folder}/{r['_step'] + (1 << 62)}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    # Computed once, whatever the number of steps.
+    rows.filter("_step IS NOT NULL").write.parquet(f"{folder}-rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}-rows")
+    steps = rows.groupBy("_step").count().orderBy("_step").collect()
+    largest = max((r["count"] for r in steps), default=0)
+    files = min(spark.sparkContext.defaultParallelism, 1 + largest // FILE_ROWS)
+    empty = df.limit(0)
+    for n in range(0 if steps else files):
+        empty.write.parquet(f"{folder}/empty-{n}")
+    for r in steps:
+        target = f"{folder}/{r['_step'] + (1 << 62)}"
+        rows.filter(F.col("_step") == r["_step"]).drop("_step").coalesce(files).write.parquet(target)
+        for n in range(len(spark.read.schema(df.schema).parquet(target).inputFiles()), files):
+            empty.write.parquet(f"{target}-{n}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
 
 
 def replay_limit_3_as_stream(spark, folder):

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_replay import DELAY, FIELDS, SCHEMA, random_log
@@ -11,6 +12,7 @@ from test_replay import DELAY, FIELDS, SCHEMA, random_log
 from siteops.operators.interaction import changes_only, hover_intervals, sessions, toggle_state
 from siteops.operators.replay import replay
 from siteops.operators.routing import not_found
+from siteops.plans import activity
 from siteops.streaming import (
     FanOut,
     NumberedBatches,
@@ -30,6 +32,7 @@ from siteops.streaming import (
     top_not_found,
     ttl_stream,
 )
+from siteops.streaming import replay as streaming_replay
 
 STREAM_SCHEMA = SCHEMA.replace("timestamp_ntz", "timestamp")
 
@@ -122,6 +125,111 @@ def test_replay_stream_survives_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_replay_stream_of_few_buckets(spark, tmp_path):
+    """Stores that share a bucket stay apart, and keys keep their kinds and nulls."""
+    schema = STREAM_SCHEMA.replace("store_key bigint", "store_key bigint, `at` timestamp, raw binary, s struct<a: double>")
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    stores = [
+        (1 << 60, t0, b"\xff\x00", (0.1,)), ((1 << 60) + 1, t0, b"\xff", (None,)), (None, t0, b"", (1e300,)),
+        (None, None, b"", (1e300,)), (3, t0 + dt.timedelta(microseconds=1), b"x", None),
+    ]
+    rows = [(*s, *r[1:]) for i, s in enumerate(stores) for r in random_log(40 + i, {1: 60})]
+    rows = sorted(rows, key=lambda r: r[4])
+    path = write_files(spark, rows, schema, str(tmp_path), 3)
+    keys = ["store_key", "at", "raw", "s"]
+    stream = replay_stream(
+        read_stream(spark, path, schema), keys, 3, DELAY, FIELDS, lateness=dt.timedelta(0), buckets=2
+    )
+    got = run_to_parquet(stream).drop("batch_id")
+    batch = replay(spark.createDataFrame(rows, schema), keys, 3, DELAY, FIELDS, cuts=None)
+    want = batch.filter(F.col("removed_at") <= F.lit(rows[-1][4]))
+    assert got.dtypes == want.dtypes
+    got, want = got.collect(), want.collect()
+    assert len({r.raw for r in want}) == 4
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+class _Handle:
+    """States of one bucket, which count the calls to them."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def getListState(self, name, _):
+        return _State(self, name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 10_000
+
+
+class _State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def _set(self, value):
+        self.handle.calls += 1
+        self.handle.values[self.name] = value
+
+    def get(self):
+        self.handle.calls += 1
+        return self.handle.values[self.name]
+
+    def exists(self):
+        self.handle.calls += 1
+        return self.name in self.handle.values
+
+    def appendList(self, items):
+        self._set(self.handle.values.get(self.name, []) + items)
+
+    put = update = _set
+
+    def clear(self):
+        self.handle.calls += 1
+        del self.handle.values[self.name]
+
+
+def test_replay_stream_calls_states_once_a_bucket():
+    """The calls do not grow with the stores."""
+    handle = _Handle()
+    stores = streaming_replay._Stores(k=1, delay=1_000_000, fields=[])
+    stores.init(handle)
+    n = 2000
+    rows = [(f"s{i % n}", t, f'{{"seq":{t},"kind":"ADD","id":"{i}"}}') for t, i in enumerate(range(2 * n))]
+    parts = [pd.DataFrame(rows[a:a + 500], columns=["store", "at", "action"]) for a in range(0, 2 * n, 500)]
+    assert list(stores.handleInputRows(("b",), iter(parts), handle)) == []
+    out = pd.concat(stores.handleExpiredTimer(("b",), handle, None))
+    assert len(out) == n and set(out["cause"]) == {"evict"}
+    assert handle.calls < 40
+
+
+def test_arriving_steps_are_written_by_several_tasks(spark, monkeypatch):
+    """Each batch has all rows of a step, whatever its size."""
+    monkeypatch.setattr(activity, "FILE_ROWS", 50)
+    t0 = dt.datetime(2024, 1, 4)  # a week begins
+    rows = [(i, t0 + dt.timedelta(minutes=i)) for i in range(3 * 7 * 24 * 60)] + [(-1, t0 + dt.timedelta(days=30))]
+    df = spark.createDataFrame(rows, "n bigint, ts timestamp").repartition(6)
+    stream = activity._arriving(df, "ts", dt.timedelta(days=7))
+    batches = run_to_parquet(stream.withColumn("file", F.input_file_name()))
+    got = batches.groupBy("batch_id").agg(
+        F.count("*").alias("rows"), F.countDistinct("file").alias("files"), F.min("n").alias("least")
+    )
+    week = 7 * 24 * 60
+    found = [tuple(r)[1:] for r in got.orderBy("batch_id").collect()]
+    assert [(r, least) for r, _, least in found] == [(week, 0), (week, week), (week, 2 * week), (1, -1)]
+    assert all(files > 1 for _, files, _ in found[:3])
+    assert run_to_parquet(activity._arriving(df.limit(0), "ts", dt.timedelta(days=7))).count() == 0
+
+
 def test_sessions_stream_equals_batch(spark, tmp_path):
     rng = random.Random(12)
     t0 = dt.datetime(2024, 1, 1)
