@@ -2,8 +2,9 @@
 
 Counts cover all training texts and are made by Spark; so are the continuation counts. The models of all
 languages are kept as sorted arrays of trigram numbers with one row of log probabilities for each, so
-that a batch of texts looks up each of its different trigrams once. They hold the most frequent trigrams,
-`MODEL` at most over all languages; rarer ones are scored by their bigram.
+that a batch of texts looks up each of its different trigrams once. Where the languages have more than
+`MODEL` trigrams, the arrays hold the most frequent ones, with their values in every language. The whole
+models then are tables as well, and all other trigrams of the texts get their values by joins with them.
 
 Texts are lower-cased, and what isn't a letter separates words. The language with the lowest
 length-normalised cross-entropy wins. A text is rejected where its cross-entropy is far above that of the
@@ -12,16 +13,17 @@ training texts of the same language, both in itself and for a text of its length
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteops.llm.common import beside, brought_back, held_out, set_aside, slices, stored, table
+from siteops.llm.common import beside, brought_back, fresh, held_out, set_aside, slices, stored, table
 from siteops.llm.ngrams import BITS, PAIR, code_points, letters_only, trigrams
 
+#: Rows (language, trigram) that are kept in arrays.
 MODEL = 1 << 20
 DISCOUNT = 0.75
 SLICE = 1 << 20
@@ -32,9 +34,22 @@ QUANTILE, ABOVE = 0.999, 0.3
 UNKNOWN = "und"
 
 
+@dataclass
+class Tables:
+    """Logs by language of all trigrams, contexts and bigrams; null in a language without the key."""
+
+    trigram: DataFrame
+    context: DataFrame
+    bigram: DataFrame
+
+
 @dataclass
 class Models:
-    """Rows belong to the sorted keys, columns to the languages."""
+    """Rows belong to the sorted keys, columns to the languages.
+
+    If the models are `cut`, `trigram` has the most frequent ones only, `context` and `bigram` nothing, and
+    `tables` everything.
+    """
 
     languages: list[str]
     trigram: np.ndarray
@@ -48,10 +63,14 @@ class Models:
     letter: np.ndarray
     letter_log: np.ndarray
     unseen_log: np.ndarray
+    cut: bool = False
+    tables: Tables | None = None
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """Of the last character of each trigram after the first two, in each language."""
+        """Of the last character of each trigram after the first two, in each language; 0 if it was cut off."""
         out, known = find(self.trigram, self.trigram_log, keys, 0.0)
+        if self.cut:
+            return out
         rest = np.flatnonzero(~known)
         if len(rest):
             weight, _ = find(self.context, self.context_log, keys[rest] >> BITS, 0.0)
@@ -99,7 +118,11 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MODEL) -> Models:
-    """Models of every language of `docs`, of at most `most` trigrams, bigrams and contexts each."""
+    """Models of every language of `docs`, in arrays of at most `most` trigrams, and in tables if there are more.
+
+    Letters, and what is known of one letter before another, are always arrays: their rows are bounded by the
+    alphabets. There are no more bigrams and contexts than trigrams.
+    """
     tri = stored(counts(docs, lang, text))
     pair, last, first = F.col("gram").bitwiseAND(PAIR), (1 << BITS) - 1, F.shiftright("gram", BITS)
     after = tri.groupBy("lang", first.alias("ab")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
@@ -109,10 +132,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MOD
     )
     letter = bi.groupBy("lang", F.col("bc").bitwiseAND(last).alias("c")).agg(F.count("*").alias("before"))
 
-    def most_of(df: DataFrame, by: str) -> list:
-        return df.orderBy(F.desc(by), *(c for c in df.columns if c != by)).limit(most).collect()
-
-    letters = most_of(letter, "before")
+    letters = letter.collect()
     langs = sorted({r.lang for r in letters})
     column = {x: i for i, x in enumerate(langs)}
 
@@ -133,18 +153,23 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MOD
     floor = 1 / (len(c_keys) + 1)
     unseen = DISCOUNT * (c_n > 0).sum(0) / np.maximum(kinds, 1) * floor
     p1 = np.maximum(c_n - DISCOUNT, 0) / np.maximum(kinds, 1) + unseen
-    b_keys, b_total, b_kinds = matrix(most_of(middle, "total"), "b", "total", "kinds")
+    b_keys, b_total, b_kinds = matrix(middle.collect(), "b", "total", "kinds")
     b_weight = np.where(b_total > 0, DISCOUNT * b_kinds / np.maximum(b_total, 1), 1)
 
     def lower(pairs: np.ndarray) -> np.ndarray:
         """What a bigram that was never seen gets."""
         return find(b_keys, b_weight, pairs >> BITS, 1.0)[0] * find(c_keys, p1, pairs & last, unseen)[0]
 
-    bc_keys, bc_n = matrix(most_of(bi, "before"), "bc", "before")
+    if tri.count() > most:
+        logs = (np.log(np.maximum(p, 1e-12)) for p in (b_weight, p1, unseen))
+        of_language = [(x, float(kinds[i]), float(unseen[i])) for x, i in column.items()]
+        of_language = tri.sparkSession.createDataFrame(of_language, "lang string, all double, unseen double")
+        return cut_models(langs, tri, after, bi, middle, letter, of_language, b_keys, c_keys, *logs, most=most)
+    bc_keys, bc_n = matrix(bi.collect(), "bc", "before")
     p2 = np.maximum(bc_n - DISCOUNT, 0) / np.maximum(known(b_keys, b_total, bc_keys >> BITS), 1) + lower(bc_keys)
-    ab_keys, ab_total, ab_kinds = matrix(most_of(after, "total"), "ab", "total", "kinds")
+    ab_keys, ab_total, ab_kinds = matrix(after.collect(), "ab", "total", "kinds")
     weight = np.where(ab_total > 0, DISCOUNT * ab_kinds / np.maximum(ab_total, 1), 1)
-    keys, n = matrix(most_of(tri, "n"), "gram", "n")
+    keys, n = matrix(tri.collect(), "gram", "n")
     back = find(ab_keys, weight, keys >> BITS, 1.0)[0]
     pairs, there = find(bc_keys, p2, keys & PAIR, 0.0)
     second = np.where(there[:, None], pairs, lower(keys & PAIR))
@@ -155,8 +180,120 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MOD
     return Models(langs, keys, l3, ab_keys, lab, bc_keys, l2, b_keys, lb, c_keys, l1, floor_log)
 
 
-def entropies(texts: list[str], model: Models) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy by character of each text in each language, and the number of characters."""
+def cut_models(
+    langs: list[str],
+    tri: DataFrame,
+    after: DataFrame,
+    bi: DataFrame,
+    middle: DataFrame,
+    letter: DataFrame,
+    of_language: DataFrame,
+    b_keys: np.ndarray,
+    c_keys: np.ndarray,
+    b_log: np.ndarray,
+    c_log: np.ndarray,
+    unseen_log: np.ndarray,
+    *,
+    most: int,
+) -> Models:
+    """The models as tables, made by joins, with the most frequent trigrams as arrays."""
+
+    def discounted(n: str, total: str):
+        return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(total)
+
+    def by_language(df: DataFrame, key: str, p: str) -> DataFrame:
+        log = F.log(F.greatest(F.col(p), F.lit(1e-12)))
+        cells = [F.max(F.when(F.col("lang") == x, log)) for x in langs]
+        return stored(df.groupBy(key).agg(F.array(*cells).alias("logs")))
+
+    last, back = (1 << BITS) - 1, DISCOUNT * F.col("kinds") / F.col("total")
+    p1 = letter.join(F.broadcast(of_language), "lang").select(  # one row for each language
+        "lang", "c", (discounted("before", "all") + F.col("unseen")).alias("p1")
+    )
+    parts = bi.withColumns({"b": F.shiftright("bc", BITS), "c": F.col("bc").bitwiseAND(last)})
+    p2 = parts.join(middle, ["lang", "b"]).join(p1, ["lang", "c"])
+    p2 = stored(p2.select("lang", "bc", (discounted("before", "total") + back * F.col("p1")).alias("p2")))
+    parts = tri.withColumns({"ab": F.shiftright("gram", BITS), "bc": F.col("gram").bitwiseAND(PAIR)})
+    p3 = parts.join(after, ["lang", "ab"]).join(p2, ["lang", "bc"])
+    p3 = p3.select("lang", "gram", (discounted("n", "total") + back * F.col("p2")).alias("p3"))
+    tables = Tables(
+        by_language(p3, "gram", "p3"),
+        by_language(after.withColumn("weight", back), "ab", "weight"),
+        by_language(p2, "bc", "p2"),
+    )
+    no_keys, no_rows = np.zeros(0, np.int64), np.zeros((0, len(langs)), np.float32)
+    nothing = (no_keys, no_rows) * 3
+    model = Models(langs, *nothing, b_keys, b_log, c_keys, c_log, unseen_log, True, tables)
+    frequent = tri.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most // len(langs))
+    found = sorted(looked_up(frequent.select("gram"), model).collect())
+    if not found:
+        return model
+    logs = np.array([r.logs for r in found], np.float32)
+    return replace(model, trigram=np.array([r.gram for r in found], np.int64), trigram_log=logs)
+
+
+def looked_up(grams: DataFrame, model: Models) -> DataFrame:
+    """(gram, logs): the logs by language of trigrams, from the tables of cut models."""
+    tables, model = model.tables, replace(model, tables=None)
+    found = (
+        grams.withColumns({"ab": F.shiftright("gram", BITS), "bc": F.col("gram").bitwiseAND(PAIR)})
+        .join(tables.trigram.withColumnRenamed("logs", "three"), "gram", "left")
+        .join(tables.context.withColumnRenamed("logs", "weight"), "ab", "left")
+        .join(tables.bigram.withColumnRenamed("logs", "two"), "bc", "left")
+        .select("gram", "three", "weight", "two")
+    )
+
+    def cells(column: pa.Array) -> np.ndarray:
+        out = np.full((len(column), len(model.languages)), np.nan)
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.languages))
+        return out
+
+    def run(batches):
+        for batch in batches:
+            three, weight, two = (cells(batch.column(i)) for i in (1, 2, 3))
+            low = bigram_log(model, batch.column(0).to_numpy() & PAIR)  # has no bigrams, so it backs off
+            back = np.nan_to_num(weight) + np.where(np.isnan(two), low, two)
+            logs = np.where(np.isnan(three), back, three)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(logs), pa.list_(pa.float64()))], ["gram", "logs"])
+
+    return found.mapInArrow(run, "gram long, logs array<double>")
+
+
+def with_rest(rows: DataFrame, text: str, model: Models) -> DataFrame:
+    """Adds, as the last column, the sums by language of the logs of those trigrams that cut models left out."""
+    row, rest = fresh(rows, "row", "rest")
+    numbered = stored(rows.withColumn(row, F.monotonically_increasing_id()))
+    frequent = model.trigram
+
+    def run(batches):
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices([len(t) for t in texts], SLICE):
+                codes, ends = letters_only(*code_points([t.lower() for t in texts[a:b]]))
+                keys, inverse = trigrams(codes, ends)
+                left = np.flatnonzero(~np.isin(keys, frequent)[inverse])
+                owner = np.repeat(np.arange(a, b), np.diff(ends))[left]
+                each, n = np.unique(owner * max(len(keys), 1) + inverse[left], return_counts=True)
+                owner, gram = np.divmod(each, max(len(keys), 1))
+                made = numbers[owner], keys[gram], n
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], ["row", "gram", "n"])
+
+    found = stored(numbered.select(row, F.col(f"`{text}`")).mapInArrow(run, "row long, gram long, n long"))
+    logs = looked_up(found.select("gram").distinct(), model)
+    sums = [F.sum(F.col("n") * F.col("logs")[i]) for i in range(len(model.languages))]
+    sums = found.join(logs, "gram").groupBy(F.col("row").alias(row)).agg(F.array(*sums).alias(rest))
+    return numbered.join(sums, row, "left").select(*(F.col(f"`{c}`") for c in (*rows.columns, rest)))
+
+
+def entropies(texts: list[str], model: Models, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy by character of each text in each language, and the number of characters.
+
+    Cut models need the sums of the logs of the trigrams that they left out, see `with_rest`.
+    """
+    if model.cut and rest is None:
+        raise ValueError("the models are cut: score texts by `predict`")
     codes, ends = letters_only(*code_points([t.lower() for t in texts]))
     n = np.diff(ends)
     out = np.zeros((len(texts), len(model.languages)))
@@ -166,7 +303,7 @@ def entropies(texts: list[str], model: Models) -> tuple[np.ndarray, np.ndarray]:
         logs = model.log_probabilities(keys)
         for i in range(len(model.languages)):
             sums = np.add.reduceat(logs[:, i][inverse], ends[:-1][full], dtype=np.float64)
-            out[full, i] = -sums / n[full]
+            out[full, i] = -(sums if rest is None else sums + rest[full, i]) / n[full]
     return out, n
 
 
@@ -188,12 +325,17 @@ def predict(
     rows, kept, schema, place = beside(df, text, keep, added)
     limits = np.array([(bounds or {}).get(x, (np.inf, 0.0)) for x in model.languages]).reshape(-1, 2)
     names = np.array([*model.languages, UNKNOWN], object)
+    if model.cut:
+        rows = with_rest(rows, rows.columns[place], model)
+        model = replace(model, tables=None)
+    nothing = [0.0] * len(model.languages)
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
+            rest = np.array([r or nothing for r in batch.column(-1).to_pylist()]) if model.cut else None
             for a, b in slices([len(t) for t in texts], SLICE):
-                h, n = entropies(texts[a:b], model)
+                h, n = entropies(texts[a:b], model, rest[a:b] if model.cut else None)
                 best = np.full(b - a, len(model.languages))
                 score, low = np.zeros(b - a), np.zeros(b - a)
                 far = np.ones(b - a, bool)

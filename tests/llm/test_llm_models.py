@@ -141,6 +141,37 @@ def test_kneser_ney_equals_plain(spark):
         assert got == pytest.approx(-sum(map(math.log, seen)) / len(t), rel=1e-3)
 
 
+@pytest.mark.parametrize("most", [0, 7, 40])
+def test_cut_language_models_give_the_same(spark, most):
+    """Trigrams beyond the arrays are scored as exactly as those in them."""
+    texts = [
+        ("xx", "the cat sat on the mat"), ("xx", "a cat, a hat! The end"), ("yy", "el gato y la casa"),
+        ("yy", "banana bandana ñandú"), ("zz", "der Hund und die Katze"), ("zz", "the end"),
+    ]
+    rows = [(i, t, x) for i, (x, t) in enumerate(texts)]
+    rows += [(10, "zebra hat qqq", None), (11, None, None), (12, "1 2", None), (13, "日本 the", None), (10, "la la", None)]
+    df = spark.createDataFrame(rows, "row long, text string, `a lang` string").repartition(3)
+    known = df.where("`a lang` IS NOT NULL").withColumnRenamed("a lang", "lang")
+    whole, cut = language.fit(known), language.fit(known, most=most)
+    assert not whole.cut and cut.cut and len(cut.trigram) == most // 3
+    bounds = [language.calibrate(known, m) for m in (whole, cut)]
+    assert bounds[1].keys() == bounds[0].keys()
+    for x, found in bounds[0].items():
+        assert bounds[1][x] == pytest.approx(found, rel=1e-4)
+    want, got = (language.predict(df, m, bounds=b) for m, b in zip((whole, cut), bounds))
+    assert got.columns == want.columns
+    order = lambda r: (r.row, r.text or "")
+    want, got = (sorted(x.collect(), key=order) for x in (want, got))
+    assert len(got) == len(rows)
+    for g, w in zip(got, want):
+        assert (g.row, g.text, g.lang_pred, g.letters, g.rejected) == (w.row, w.text, w.lang_pred, w.letters, w.rejected)
+        assert (g.score, g.entropy) == pytest.approx((w.score, w.entropy), rel=1e-4)
+    kept = language.predict(df, cut, keep=["row"])
+    assert kept.columns[:2] == ["row", "lang_pred"] and kept.count() == len(rows)
+    with pytest.raises(ValueError):
+        language.entropies(["the"], cut)
+
+
 def test_letters_only():
     codes, ends = ngrams.letters_only(*ngrams.code_points(["1a, b!", "", "--", "é x", "ab"]))
     text = "".join(map(chr, codes))
