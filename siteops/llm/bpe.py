@@ -9,7 +9,8 @@ The most frequent words of the corpus, `FREQUENT` at most, are counted over all
 All other words are merged by a function in Python that gives the same ids: folding them where they stand
 took several times the limit of processor time, as each step of a fold is interpreted, and for a long
 word a number of steps that grows with its square. Words get their ids in Arrow, each different word once
-for all its places in a slice of the texts; searching a literal at every place was interpreted as well.
+for all its places in a batch of texts; searching a literal at every place was interpreted as well. The new
+words of a batch are merged together in numpy, a step of all words of a length at once.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ from siteops.llm.common import others, slices, stored, table
 FREQUENT = 1 << 16
 #: Words of more bytes are neither counted as frequent ones, nor remembered, nor merged without a heap.
 SHORT = 64
-#: Places of words that get their ids at once, beyond a single text.
+#: Places of words that get their ids at once, beyond a single text, and different words looked up at once.
 PLACES = 1 << 18
 #: Words that a task has merged and remembers.
 REMEMBERED = 1 << 18
+#: Fewer new words than these are merged one by one.
+TOGETHER = 1 << 10
 NONE = 2**31 - 1
 
 
@@ -80,12 +83,57 @@ class Literal:
         return F.when(one["k"] == key, one["v"]).when(two["k"] == key, two["v"])
 
 
+class Pairs:
+    """Ranks of the pieces that two pieces make, by the ranks of both: a hash table with linear probing."""
+
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        made = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    made[a << 32 | b] = rank
+        bits = max(4, (2 * len(made)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, self.FREE)
+        self.found = np.full(1 << bits, NONE, np.int32)
+        keys, found = np.array(list(made), np.uint64), np.array(list(made.values()), np.int32)
+        at = self.home(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == self.FREE)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[first]], self.found[at[first]] = keys[first], found[first]
+            keys, found, at = (np.delete(x, first) for x in (keys, found, at + 1 & self.mask))
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each piece a + b, `NONE` if there is none."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        at = self.home(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.found[at], NONE)
+        left = np.flatnonzero((there != keys) & (there != self.FREE))
+        keys, at = keys[left], at[left]
+        while len(left):
+            at = at + 1 & self.mask
+            there = self.keys[at]
+            out[left] = np.where(there == keys, self.found[at], NONE)
+            on = (there != keys) & (there != self.FREE)
+            left, keys, at = left[on], keys[on], at[on]
+        return out
+
+
 class Tokenizer:
     """Ranks of pieces from a file of lines "base64 rank", and the pattern that splits texts."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.pairs = Pairs(self.ranks)
         self.pattern = pattern
         self.table = Literal({p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
         pieces = [""] * (max(self.ranks.values()) + 1)
@@ -142,42 +190,65 @@ class Tokenizer:
     def ids_of_words(self, frequent: dict[str, list[int]]) -> Callable[[pa.ListArray], pa.ListArray]:
         """A function of arrays of words that gives the ids of each array's words, one after the other.
 
-        A word is looked up once for all its places in a slice. Those that are not frequent are merged, and
-        up to `REMEMBERED` of them kept for later slices.
+        A word is looked up once for all its places in the arrays. Those that are not frequent are merged, and
+        up to `REMEMBERED` of them kept for later calls.
         """
-        ranks = self.ranks
+        ranks, pairs = self.ranks, self.pairs
         common = {w.encode(): np.array(i, np.int32).tobytes() for w, i in frequent.items()}
         rare: dict[bytes, bytes] = {}
 
-        def find(word: bytes) -> bytes:
-            found = common.get(word) or rare.get(word)
-            if found is None:
-                found = np.array(merged(word, ranks), np.int32).tobytes()
-                if len(word) <= SHORT:
+        def find(words: list[bytes]) -> list[bytes]:
+            found = [common.get(w) or rare.get(w) for w in words]
+            new = [w for w, ids in zip(words, found) if ids is None]
+            many = [w for w in new if len(w) <= SHORT and w not in ranks]
+            fresh = dict(zip(many, merged_together(many, ranks, pairs))) if len(many) >= TOGETHER else {}
+            for w in new:
+                if w not in fresh:
+                    fresh[w] = np.array(merged(w, ranks), np.int32).tobytes()
+                if len(w) <= SHORT:
                     if len(rare) >= REMEMBERED:
                         rare.clear()
-                    rare[word] = found
-            return found
+                    rare[w] = fresh[w]
+            return [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+
+        def ids_of(words: pa.Array) -> pa.ListArray:
+            sizes, flat = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)]
+            for start in range(0, len(words), PLACES):
+                found = find(list_of_bytes(words.slice(start, PLACES)))
+                sizes.append(np.fromiter(map(len, found), np.int32, len(found)) // 4)
+                flat.append(np.frombuffer(b"".join(found), np.int32))
+            ends = np.cumsum(np.concatenate(sizes), dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
 
-        def part(words: pa.ListArray) -> pa.ListArray:
+        def ids(words: pa.ListArray) -> pa.ListArray:
             places = words.flatten().dictionary_encode()
-            found = [find(w) for w in places.dictionary.cast(pa.binary()).to_pylist()]
-            sizes = np.array([len(i) // 4 for i in found], np.int32)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            at = places.indices.to_numpy()
-            total = np.concatenate([[0], np.cumsum(sizes[at])])
-            bounds = words.offsets.to_numpy()
-            outer = total[bounds - bounds[0]].astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(outer), each.take(places.indices).flatten())
+            each = ids_of(places.dictionary)
+            sizes = np.diff(each.offsets.to_numpy())
+            bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
 
-        def ids(words: pa.ListArray) -> pa.ListArray:
-            ranges = slices(np.diff(words.offsets.to_numpy()), PLACES)
-            return pa.concat_arrays([part(words.slice(a, b - a)) for a, b in ranges] or [part(words)])
+            def part(a: int, b: int) -> pa.ListArray:
+                at = places.indices.slice(bounds[a], bounds[b] - bounds[a])
+                total = np.concatenate([[0], np.cumsum(sizes[at.to_numpy()])])
+                outer = total[bounds[a : b + 1] - bounds[a]].astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(outer), each.take(at).flatten())
+
+            return pa.concat_arrays([part(a, b) for a, b in slices(np.diff(bounds), PLACES)] or [part(0, 0)])
 
         return ids
 
 
+def list_of_bytes(words: pa.Array) -> list[bytes]:
+    """The bytes of each word; words are not null."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return []
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1]
+    whole = memoryview(data)[ends[0] : ends[-1]].tobytes() if data else b""
+    ends = (ends - ends[0]).tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word; of the merges with the lowest rank the leftmost comes first."""
     if word in ranks:
@@ -197,6 +268,41 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def merged_together(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[bytes]:
+    """The same for words that are no pieces themselves, all of a length at once; ids as bytes of 32-bit numbers."""
+    single = np.array([ranks.get(bytes([b]), NONE) for b in range(256)], np.int32)
+    sizes = np.array([len(w) for w in words])
+    out = [b""] * len(words)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        flat = single[np.frombuffer(b"".join([words[i] for i in rows]), np.uint8)]
+        if (flat == NONE).any():
+            raise KeyError("a byte has no rank")
+        parts = flat.reshape(len(rows), size)
+        joins = pairs.find(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(rows), size - 1)
+        while len(rows):
+            each = np.arange(len(rows))
+            at = joins.argmin(1) if joins.shape[1] else np.zeros(len(rows), int)
+            least = joins[each, at] if joins.shape[1] else np.full(len(rows), NONE)
+            ended = least == NONE
+            if ended.any():
+                ids, width = parts[ended].tobytes(), 4 * parts.shape[1]
+                for k, i in enumerate(rows[ended]):
+                    out[i] = ids[k * width : (k + 1) * width]
+                rows, parts, joins, at, least = (x[~ended] for x in (rows, parts, joins, at, least))
+                each = np.arange(len(rows))
+            if not len(rows):
+                break
+            parts[each, at] = least
+            kept = np.ones(parts.shape, bool)
+            kept[each, at + 1] = False
+            parts = parts[kept].reshape(len(rows), -1)
+            joins = joins[kept[:, 1:]].reshape(len(rows), -1)
+            for i, a in ((each[at > 0], at[at > 0] - 1), (each[at < joins.shape[1]], at[at < joins.shape[1]])):
+                joins[i, a] = pairs.find(parts[i, a], parts[i, a + 1])
+    return out
+
+
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same in a time that hardly grows faster than the word."""
     n = len(word)

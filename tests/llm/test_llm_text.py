@@ -82,6 +82,31 @@ def test_bpe_merges_a_rare_word_once(tokenizer, truth, monkeypatch):
     assert tokenizer.ids_of_words({})(pa.array([words])).to_pylist() == [truth.encode_ordinary("".join(words))]
 
 
+def test_bpe_merges_many_words_together(tokenizer, truth, monkeypatch):
+    """With the ids of the library; only long words and pieces are merged one by one."""
+    rng = random.Random(3)
+    kinds = ["abcdefgh", " theraioun", "éèßñ日本🙂", "0123!?\n\t", "aé1 \x00"]
+    words = sorted({"".join(rng.choices(kinds[i % 5], k=rng.randint(1, 40))) for i in range(5000)})
+    words += ["é" * 32, "é" * 40, "x" * 64, "x" * 65, " the", "a"]
+    single = []
+    plain = bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda word, ranks: single.append(word) or plain(word, ranks))
+    rows = [words[:50], [], words[50:], words[::-1]]
+    got = tokenizer.ids_of_words({})(pa.array(rows, pa.list_(pa.string()))).to_pylist()
+    assert got == [[i for w in row for i in truth._encode_single_piece(w)] for row in rows]
+    assert single and all(len(w) > bpe.SHORT or w in tokenizer.ranks for w in single)
+
+
+def test_bpe_pairs_find_all(tokenizer):
+    pieces = list(tokenizer.ranks)
+    rng = random.Random(4)
+    cuts = [(p[:i], p[i:]) for p in pieces for i in range(1, len(p))]
+    cuts = [c for c in cuts if c[0] in tokenizer.ranks and c[1] in tokenizer.ranks]
+    cuts += [(rng.choice(pieces), rng.choice(pieces)) for _ in range(20000)]
+    a, b = (np.array([tokenizer.ranks[c[i]] for c in cuts], np.int32) for i in range(2))
+    assert tokenizer.pairs.find(a, b).tolist() == [tokenizer.ranks.get(x + y, bpe.NONE) for x, y in cuts]
+
+
 def test_bpe_of_nothing(spark, tokenizer):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.frequent_words(df, tokenizer) == {}
