@@ -31,8 +31,10 @@ from siteops.llm.common import others, slices, stored, table
 FREQUENT = 1 << 16
 #: Words of more bytes are neither counted as frequent ones, nor remembered, nor merged without a heap.
 SHORT = 64
-#: Places of words that get their ids at once, beyond a single text, and different words looked up at once.
+#: Places of words that get their ids at once, beyond a single text.
 PLACES = 1 << 18
+#: Different words that are looked up at once.
+LOOKED = 1 << 16
 #: Words that a task has merged and remembers.
 REMEMBERED = 1 << 18
 #: Fewer new words than these are merged one by one.
@@ -213,8 +215,8 @@ class Tokenizer:
 
         def ids_of(words: pa.Array) -> pa.ListArray:
             sizes, flat = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)]
-            for start in range(0, len(words), PLACES):
-                found = find(list_of_bytes(words.slice(start, PLACES)))
+            for start in range(0, len(words), LOOKED):
+                found = find(list_of_bytes(words.slice(start, LOOKED)))
                 sizes.append(np.fromiter(map(len, found), np.int32, len(found)) // 4)
                 flat.append(np.frombuffer(b"".join(found), np.int32))
             ends = np.cumsum(np.concatenate(sizes), dtype=np.int32)
@@ -225,14 +227,17 @@ class Tokenizer:
             each = ids_of(places.dictionary)
             sizes = np.diff(each.offsets.to_numpy())
             bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-
-            def part(a: int, b: int) -> pa.ListArray:
-                at = places.indices.slice(bounds[a], bounds[b] - bounds[a])
-                total = np.concatenate([[0], np.cumsum(sizes[at.to_numpy()])])
-                outer = total[bounds[a : b + 1] - bounds[a]].astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(outer), each.take(at).flatten())
-
-            return pa.concat_arrays([part(a, b) for a, b in slices(np.diff(bounds), PLACES)] or [part(0, 0)])
+            at = places.indices.to_numpy()
+            ranges = list(slices(np.diff(bounds), PLACES))
+            # A word's bytes are at least as many as its ids, so 32 bits are enough for these as well.
+            flat = np.empty(sum(int(sizes[at[bounds[a] : bounds[b]]].sum()) for a, b in ranges), np.int32)
+            ends = np.zeros(len(words) + 1, np.int32)
+            for a, b in ranges:
+                total = np.concatenate([[0], np.cumsum(sizes[at[bounds[a] : bounds[b]]])])
+                ends[a + 1 : b + 1] = ends[a] + total[bounds[a + 1 : b + 1] - bounds[a]]
+                found = each.take(places.indices.slice(bounds[a], bounds[b] - bounds[a]))
+                flat[ends[a] : ends[b]] = found.flatten().to_numpy()
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
         return ids
 
