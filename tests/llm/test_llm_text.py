@@ -82,7 +82,7 @@ def test_bpe_merges_a_rare_word_once(tokenizer, truth, monkeypatch):
     assert tokenizer.ids_of_words({})(pa.array([words])).to_pylist() == [truth.encode_ordinary("".join(words))]
 
 
-def test_bpe_merges_many_words_together(tokenizer, truth, monkeypatch):
+def test_bpe_merges_many_words_together(spark, tokenizer, truth, monkeypatch):
     """With the ids of the library; only long words and pieces are merged one by one."""
     rng = random.Random(3)
     kinds = ["abcdefgh", " theraioun", "éèßñ日本🙂", "0123!?\n\t", "aé1 \x00"]
@@ -97,7 +97,7 @@ def test_bpe_merges_many_words_together(tokenizer, truth, monkeypatch):
     assert single and all(len(w) > bpe.SHORT or w in tokenizer.ranks for w in single)
 
 
-def test_bpe_pairs_find_all(tokenizer):
+def test_bpe_pairs_find_all(spark, tokenizer):
     pieces = list(tokenizer.ranks)
     rng = random.Random(4)
     cuts = [(p[:i], p[i:]) for p in pieces for i in range(1, len(p))]
