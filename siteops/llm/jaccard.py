@@ -3,12 +3,15 @@
 1. Sets of equal shingles are one: their documents link to the smallest id.
 2. Sizes are cut into bands whose ends differ by the similarity, so that linked sets are in the same band
    or in neighbouring ones, which make a tile. Sets of a tile that link differ in at most d shingles.
-   Each set is dealt by a hash into more than d parts, so at least one part is the same in both. Sets
-   that share a part (tile, number, contents) may link; no other pair can. A part has several shingles,
-   so it is rarely shared by chance. Sets that may link, directly or over others, are a cluster.
-3. In the tiles of a cluster, cut into blocks of bounded size, bitmaps of hashed shingles are compared:
-   each bit that only one set has is a shingle that the other lacks, which bounds the overlap from
-   above. Sets that may still link make smaller clusters, and most sets are in none.
+   Each set is dealt by a hash into more than d parts, so at least one part is the same in both, and it
+   has shingles if one of the sets has more than d parts with shingles. The few sets with fewer such
+   parts have each shingle as a part, too. Sets that share a part (tile, number, contents) may link; no
+   other pair can. A part has several shingles, so it is rarely shared by chance.
+3. Where few sets share a part, each pair of them is compared by bitmaps of hashed shingles: each bit that
+   only one set has is a shingle that the other lacks, which bounds the overlap from above. Where more
+   share one, the sets that such parts connect are a cluster, and bitmaps are compared in the tiles of
+   a cluster, cut into blocks of bounded size. Sets that may still link, directly or over others, are
+   clusters of their own, and most sets are in none.
 4. In those each set is compared with the one of the smallest id, and those that don't link to it with
    all others, in blocks. What sizes and bitmaps leave open is decided by intersecting the sorted sets.
 
@@ -34,6 +37,8 @@ SLICE = 1 << 20
 KEYS, BLOCK = 1 << 21, 1024
 #: Bitmaps of a block.
 BITMAPS = 2048
+#: Up to so many sets with a part in common are compared as pairs.
+SMALL = 16
 LEAST_GROUPS = 64
 WORDS = 8  # of a bitmap, 64 bits each
 GOLD = 0x9E3779B97F4A7C15
@@ -77,23 +82,34 @@ def payload(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("payload"))
 
 
-def signatures(df: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, h1, h2): the size of each set, and two numbers that only equal sets share."""
+def signatures(df: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, h1, h2, band, bits): the size of each set, two numbers that only equal sets share, its band, a bitmap."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts], SLICE):
                 sets = shingle_sets(texts[a:b], words)
-                n = pa.array([len(s) for s in sets], pa.int64())
+                starts = band_starts(max(map(len, sets)), percent)
                 h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(GOLD))) for s in sets], np.uint64)
+                band = [max(bisect.bisect_right(starts, len(s)) - 1, 0) for s in sets]
+                # Two bits or more for each shingle of the band, so that they are of use for long texts, too.
+                width = [max(WORDS, 1 << (starts[x + 1] // 32).bit_length()) for x in band]
+                bits = [bitmap(s, w).view(np.int64) for s, w in zip(sets, width)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), n, pa.array(h1), pa.array(h2.view(np.int64))],
-                    names=["doc_id", "n", "h1", "h2"],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(h1),
+                        pa.array(h2.view(np.int64)),
+                        pa.array(band, pa.int32()),
+                        pa.array(bits, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n", "h1", "h2", "band", "bits"],
                 )
 
-    return payload(df).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return payload(df).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, band int, bits array<long>")
 
 
 def band_starts(most: int, percent: int) -> list[int]:
@@ -105,33 +121,36 @@ def band_starts(most: int, percent: int) -> list[int]:
 
 
 def tile_parts(tile: int, starts: list[int], percent: int) -> tuple[int, int]:
-    """Into how many parts sets of a tile are dealt, and how many of them may be empty.
+    """In how many shingles linked sets of a tile differ at most, and into how many parts its sets are dealt.
 
-    The smaller set of a link is in the tile's lower band. Of d + 1 + e parts at least e + 1 are the same
-    in both sets, so with up to e empty parts one with contents is.
+    The smaller set of a link is in the tile's lower band. The more parts there are beyond d + 1, the fewer
+    sets have only d parts with shingles.
     """
     d = (100 - percent) * (starts[tile + 1] - 1) // percent
-    spare = (d + 1) // 16
-    return d + 1 + spare, spare
+    return d, d + 1 + (d + 1) // 8 + (d > 0)
 
 
-def part_keys(s: np.ndarray, mixed: np.ndarray, tile: int, parts: int, spare: int) -> np.ndarray:
-    """The keys of the parts of one set; empty parts have keys only in sets with more than `spare` of them."""
+def part_keys(s: np.ndarray, mixed: np.ndarray, tile: int, d: int, parts: int) -> np.ndarray:
+    """The keys of the parts of one set that have shingles; if these are d parts at most, of each shingle as well.
+
+    Of the parts at most d differ between linked sets. If one of them has more than d with shingles, then
+    fewer than all that are the same are empty; if neither has, they share a shingle.
+    """
     salt = np.uint64((tile + 1) * GOLD & MASK)
     number = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     order = np.argsort(number, kind="stable")
     number = number[order]
     first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-    sums = np.add.reduceat(mix(s + np.uint64(GOLD))[order], first)
+    single = mix(s + np.uint64(GOLD))
+    sums = np.add.reduceat(single[order], first)
     number = number[first]
-    if parts - len(first) > spare:
-        empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), number)
-        number, sums = np.concatenate([number, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+    if len(first) <= d:  # one number more than parts have
+        sums, number = np.concatenate([sums, single]), np.concatenate([number, np.full(len(s), parts, np.uint64)])
     return mix(mix(sums ^ salt) + number * np.uint64(GOLD))
 
 
 def shared_parts(df: DataFrame, words: int, percent: int, sizes: DataFrame, starts: list[int]) -> DataFrame:
-    """(a, b): edges that connect all documents with a part in common. They form trees for each part."""
+    """(few, a, b): documents with a part in common. Where few share one, all pairs, else trees that connect them."""
     expected = 2 * (sizes.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // percent
     groups = max(LEAST_GROUPS, -(-expected // KEYS))
 
@@ -140,53 +159,60 @@ def shared_parts(df: DataFrame, words: int, percent: int, sizes: DataFrame, star
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts], SLICE):
-                keys, owner = [], []
-                for doc, s in zip(ids[a:b], shingle_sets(texts[a:b], words)):
-                    if not len(s):
+                keys, owner, seen = [], [], set()
+                # Of equal sets in a slice the smallest id stands for all.
+                for doc, s in sorted(zip(ids[a:b].tolist(), shingle_sets(texts[a:b], words)), key=lambda x: x[0]):
+                    whole = xxhash.xxh128_digest(s)
+                    if not len(s) or whole in seen:
                         continue
+                    seen.add(whole)
                     mixed = mix(s)
                     band = bisect.bisect_right(starts, len(s)) - 1
                     for tile in {band, max(band - 1, 0)}:
                         keys.append(part_keys(s, mixed, tile, *dealt[tile]))
                         owner.append(np.full(len(keys[-1]), doc))
                 if keys:
-                    yield from packed(np.concatenate(keys), np.concatenate(owner), groups)
+                    yield packed(np.concatenate(keys).view(np.int64), np.concatenate(owner), groups)
 
     def meet(found: pa.Table) -> pa.Table:
         keys, docs = (found.column(x).combine_chunks().flatten().to_numpy() for x in ("keys", "docs"))
-        order = np.lexsort((docs, keys))
-        a, b, _, _ = first_of_each(keys[order], docs[order])
-        return pa.table({"a": a, "b": b})
+        few, a, b = met(keys, docs)
+        return pa.table({"few": few, "a": a, "b": b})
 
     rows = payload(df.where("doc_id IS NOT NULL")).mapInArrow(gather, "part int, keys array<long>, docs array<long>")
-    # Documents of one slice are joined there already; their edges travel as groups of their own.
-    return rows.groupBy("part").applyInArrow(meet, "a long, b long")
-
-
-def first_of_each(keys: np.ndarray, docs: np.ndarray):
-    """From sorted keys: edges from the first document of each key to the others, and those first ones."""
-    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-    first = docs[new][np.cumsum(new) - 1] if len(keys) else docs
-    edges = np.unique(np.stack([first, docs], 1)[first != docs], axis=0).reshape(-1, 2)
-    return edges[:, 0], edges[:, 1], keys[new], docs[new]
-
+    return rows.groupBy("part").applyInArrow(meet, "few boolean, a long, b long")
 
-def packed(keys: np.ndarray, docs: np.ndarray, groups: int):
-    """Batches (part, keys, docs): the keys of a slice of documents, one row for each group of keys.
 
-    A key that several documents of the slice have is sent for the first one. The others are joined to
-    it by a key of their own that no set has: the number of the first.
-    """
+def met(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(few, a, b) with a < b: all pairs of the documents of a key that few have, else its first beside each other one."""
     order = np.lexsort((docs, keys))
-    a, b, keys, docs = first_of_each(keys[order].view(np.int64), docs[order])
-    tie = mix(a.astype(np.uint64) ^ np.uint64(GOLD)).view(np.int64)
-    keys, docs = np.concatenate([keys, tie, tie]), np.concatenate([docs, a, b])
+    keys, docs = keys[order], docs[order]
+    again = (keys[1:] == keys[:-1]) & (docs[1:] == docs[:-1])  # rows that repeat an id, or equal parts
+    once = np.concatenate([np.ones(min(len(keys), 1), bool), ~again])
+    keys, docs = keys[once], docs[once]
+    at = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    many = np.diff(np.append(at, len(keys)))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for size in range(2, SMALL + 1):
+        rows = docs[at[many == size][:, None] + np.arange(size)]
+        i, j = np.triu_indices(size, 1)
+        pairs.append(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    large = np.repeat(many > SMALL, many)
+    trees = np.stack([np.repeat(docs[at], many)[large], docs[large]], 1)
+    trees = np.unique(trees[trees[:, 0] != trees[:, 1]], axis=0)
+    both = np.concatenate([pairs, trees])
+    return np.arange(len(both)) < len(pairs), both[:, 0], both[:, 1]
+
+
+def packed(keys: np.ndarray, docs: np.ndarray, groups: int) -> pa.RecordBatch:
+    """(part, keys, docs): the keys of a slice of documents, one row for each group of keys."""
     part = (keys.view(np.uint64) % np.uint64(groups)).astype(np.int32)
-    order = np.lexsort((docs, part))
+    order = np.argsort(part, kind="stable")
     part, keys, docs = part[order], keys[order], docs[order]
     here, at = np.unique(part, return_index=True)
     offsets = pa.array([*at, len(part)], pa.int32())
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [pa.array(here), pa.ListArray.from_arrays(offsets, keys), pa.ListArray.from_arrays(offsets, docs)],
         names=["part", "keys", "docs"],
     )
@@ -199,6 +225,14 @@ def bitmap(s: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of more words, a power of two, as those of so many."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 def may_link(n, bits, others, other_bits, percent: int) -> np.ndarray:
     """Which of the other sets can overlap enough, by sizes and by the bits that only one side has."""
     alone = np.bitwise_count(bits & ~other_bits).sum(-1, dtype=np.int64)
@@ -217,7 +251,7 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def candidate_sets(df: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """(cluster, doc_id, shingles, bits) of the documents of clusters."""
+    """(cluster, doc_id, shingles, bits) of the documents of clusters, (doc_id, cluster)."""
 
     def run(batches):
         for batch in batches:
@@ -248,36 +282,34 @@ def arrays(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
-    """(cluster, doc_id): clusters of sets whose sizes and bitmaps allow links, within the given ones.
+def paired(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs whose sizes and bitmaps allow a link. Pairs without a sketch on either side go."""
+    for side in ("a", "b"):
+        own = sketches.select(
+            F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")
+        )
+        pairs = pairs.join(own, side)
 
-    Bitmaps have two bits or more for each shingle of the tile's lower band, so that they are of use for
-    long texts, too.
-    """
-
-    def tiled(batches):
+    def run(batches):
         for batch in batches:
-            found = []
-            for i, s in enumerate(arrays(batch.column(2))):
-                band = bisect.bisect_right(starts, len(s)) - 1
-                for tile in {band, max(band - 1, 0)}:
-                    size = max(WORDS, 1 << (starts[tile + 1] // 32).bit_length())
-                    found.append((i, tile, len(s), bitmap(s, size).view(np.int64)))
-            place, tile, n, bits = zip(*found) if found else ((), (), (), ())
-            at = pa.array(place, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    batch.column(1).take(at),
-                    pa.array(tile, pa.int32()),
-                    pa.array(n, pa.int32()),
-                    pa.array(list(bits), pa.list_(pa.int64())),
-                ],
-                names=["cluster", "doc_id", "tile", "n", "bits"],
-            )
-
-    schema = "cluster long, doc_id long, tile int, n int, bits array<long>"
-    rows = stored(sets.select("cluster", "doc_id", "shingles").mapInArrow(tiled, schema))
+            n, m = (batch.column(i).to_numpy() for i in (2, 4))
+            s, t = (arrays(batch.column(i)) for i in (3, 5))
+            near = np.zeros(batch.num_rows, bool)
+            shapes = np.array([[len(x), len(y)] for x, y in zip(s, t)]).reshape(-1, 2)
+            for shape in np.unique(shapes, axis=0):
+                at = np.flatnonzero((shapes == shape).all(1))
+                x, y = (folded(np.array([z[i] for i in at]), int(shape.min())) for z in (s, t))
+                near[at] = may_link(n[at], x, m[at], y, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def narrowed(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): trees of the sets of a cluster whose sizes and bitmaps allow links, from (doc_id, cluster)."""
+    band = F.col("band")
+    tile = F.explode(F.array_distinct(F.array(band, F.greatest(band - 1, F.lit(0)))))
+    rows = stored(members.join(sketches, "doc_id").select("cluster", "doc_id", tile.alias("tile"), "n", "bits"))
     counts = rows.groupBy("cluster", "tile").agg(F.ceil(F.count("*") / BITMAPS).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     cells = F.transform(
@@ -287,8 +319,10 @@ def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
     rows = rows.join(counts, ["cluster", "tile"]).withColumn("cell", F.explode(cells))
 
     def meet(found: pa.Table) -> pa.Table:
-        ids, n = found.column("doc_id").to_numpy(), found.column("n").to_numpy().astype(np.int64)
-        bits = np.array(arrays(found.column("bits").combine_chunks()))
+        ids, n = found.column("doc_id").to_numpy(), found.column("n").to_numpy()
+        bits = arrays(found.column("bits").combine_chunks())
+        least = min(map(len, bits))  # that of the tile's lower band, if it has sets
+        bits = np.array([folded(x, least) for x in bits])
         left = np.arange(len(ids))  # not reached yet
         out = []
         while len(left):
@@ -303,8 +337,7 @@ def narrowed(sets: DataFrame, starts: list[int], percent: int) -> DataFrame:
         return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
     rows = rows.select("cluster", "tile", "cell", "doc_id", "n", "bits")
-    edges = rows.groupBy("cluster", "tile", "cell").applyInArrow(meet, "a long, b long")
-    return with_roots(components(edges))
+    return rows.groupBy("cluster", "tile", "cell").applyInArrow(meet, "a long, b long")
 
 
 def with_roots(found: DataFrame) -> DataFrame:
@@ -415,19 +448,24 @@ def similar_groups(df: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
 def groups_of_texts(df: DataFrame, words: int, percent: int) -> DataFrame:
     """The same where all rows with an id have one text."""
-    sizes = stored(signatures(df, words))
+    sizes = stored(signatures(df, words, percent))
     known = sizes.where("n > 0 AND doc_id IS NOT NULL")
     same = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     same = stored(same.where("first < last"))
     copies = known.join(same, ["n", "h1", "h2"]).where("doc_id <> first")
     copies = stored(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     starts = band_starts(sizes.agg(F.max("n")).first()[0] or 0, percent)
-    members = with_roots(components(shared_parts(df, words, percent, sizes, starts)))
+    shared = stored(shared_parts(df, words, percent, sizes, starts))
+    pairs = stored(shared.where("few").select("a", "b").distinct())
+    members = stored(with_roots(components(shared.where("NOT few").select("a", "b"))))
     # Copies are linked already; the first of them stands for all.
-    members = stored(members.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"))
-    wanted = members.groupBy("cluster").count().where("count > 1").select("cluster")
-    wide = stored(candidate_sets(df, members.join(wanted, "cluster"), words).where("size(shingles) > 0"))
-    sets = stored(wide.drop("cluster").join(narrowed(wide, starts, percent), "doc_id"))
+    firsts = known.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(members.select("doc_id"))
+    sketches = firsts.select("doc_id", "n", "band", "bits").join(ends, "doc_id", "left_semi")
+    sketches = stored(sketches.dropDuplicates(["doc_id"]))
+    near = stored(paired(pairs, sketches, percent).unionAll(narrowed(members, sketches, percent)))
+    clusters = with_roots(components(near))
+    sets = stored(candidate_sets(df, clusters, words).where("size(shingles) > 0"))
     compared = stored(against_leader(sets, percent))
     near = compared.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     found = components(copies.unionAll(near).unionAll(in_blocks(sets, compared, percent)))

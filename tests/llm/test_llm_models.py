@@ -1,5 +1,6 @@
 """Quality, language, audio, search and near copies on small inputs."""
 
+import bisect
 import math
 import random
 import re
@@ -338,6 +339,54 @@ def test_groups_equal_plain(spark, words, percent, block, monkeypatch):
     assert got == plain_groups(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_part(percent):
+    """Also sets with few parts that have shingles, and those at the border of two bands."""
+    rng = np.random.default_rng(8)
+    starts = jaccard.band_starts(400, percent)
+    alone = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        most = n * (100 - percent) // percent  # shingles that the larger set may have more
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a, rng.integers(0, 1 << 63, int(rng.integers(0, most + 1))).astype(np.uint64)]))
+        assert jaccard.links(a, b, percent)
+        tile = bisect.bisect_right(starts, len(a)) - 1  # its lower band has the smaller set
+        assert bisect.bisect_right(starts, len(b)) - 1 in (tile, tile + 1)
+        d, parts = jaccard.tile_parts(tile, starts, percent)
+        x, y = (jaccard.part_keys(s, jaccard.mix(s), tile, d, parts) for s in (a, b))
+        assert len(np.intersect1d(x, y))
+        alone += len(x) > len(a)  # each shingle is a part of its own, too
+    assert alone or percent == 90  # sets of these sizes have more parts with shingles there
+
+
+def test_unrelated_sets_share_no_part(spark):
+    """Parts without shingles connected a large share of all documents, which were compared with each other."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randint(25, 60)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = spark.createDataFrame([(i, len(t.split()) - 4) for i, t in rows], "doc_id long, n long")
+    assert jaccard.shared_parts(df, 5, 80, sizes, jaccard.band_starts(60, 80)).count() == 0
+
+
+def test_groups_of_many_that_share_a_part(spark, monkeypatch):
+    """Sets that share a part are pairs where they are few, and clusters else."""
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "BITMAPS", 4)
+    rng = random.Random(10)
+    rows = []
+    for n in (2, 3, 4, 9, 12):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([8, 60, 150]))]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rng.randint(0, len(own) // 30)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(300)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect()}
+    assert got == plain_groups(rows, 5, 80)
+
+
 def test_groups_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(5, text), (5, text), (7, text), (None, text), (None, None), (9, "other words are here now")]
